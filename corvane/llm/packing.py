@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.pretokens import WORD_PATTERN, library
+from corvane.llm.pretokens import WORD_PATTERN, library, little_endian
 
 #: Documents that one group packs together; each group ends with at most about one part-filled sequence.
 GROUP_DOCUMENTS = 8192
@@ -35,11 +35,11 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 1)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_to_ids = library(vocabulary, WORD_PATTERN, "ids", lambda ids: np.array(ids, "<u4").tobytes())
-        tail = np.array([end_id], "<u4").tobytes()
+        words_to_ids = library(vocabulary, WORD_PATTERN, "ids", little_endian)
+        tail = little_endian([end_id])
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            encoded = words_to_ids.per_text(batch.column(1), str.lower, b"".join, lambda ids: np.array(ids, "<u4").tobytes())
+            encoded = words_to_ids.per_text(batch.column(1), str.lower, b"".join, little_endian)
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids += tail
                 for k, at in enumerate(range(0, len(ids), 4 * size)):

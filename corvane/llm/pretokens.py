@@ -8,18 +8,22 @@ token's string, goes to the library whole. Both ways give the same ids.
 from __future__ import annotations
 
 import os
+import re
+import sys
+from array import array
 
-import regex
 from tokenizers import Tokenizer
 
 # Latin letters, digits, ASCII signs and common typographic marks: classes and cases that no version disputes,
 # already in composed form, with no white space besides space, tab and line ends.
-_PLAIN = regex.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ɏ–—‘-„•…€]*")
-#: Patterns of the two vocabularies (fixed values).
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens that a worker remembers; it forgets them all beyond that.
-CACHE = 400_000
+_PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2013\u2014\u2018\u2019\u201c-\u201e\u2022\u2026\u20ac]*")
+# Letters and digits of that range, and the patterns of the two vocabularies over it (fixed values).
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+WORD_PATTERN = rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+"
+BYTE_PATTERN = rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
+#: Distinct pre-tokens that a worker remembers; it forgets the others beyond that.
+CACHE = 800_000
 #: Texts that are split together.
 CHUNK = 256
 
@@ -28,6 +32,14 @@ def plain(text: str) -> bool:
     return "<|" not in text and _PLAIN.fullmatch(text) is not None
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit little-endian integers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
 class Library:
     """One vocabulary in this worker, with a cache from pre-token to what ``value`` makes of its ids."""
 
@@ -36,7 +48,7 @@ class Library:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.split = regex.compile(pattern).findall
+        self.split = re.compile(pattern).findall
         self.value = value
         self.known: dict = {}
 

@@ -174,7 +174,7 @@ def _fit_lexicon(sample: DataFrame) -> Lexicon:
 
     def precise(f: str) -> bool:
         p, q = seen[f] / n_toxic, (bad.get(f, 0) + 0.5) / (n_clean + 1)
-        return p / (p + q) >= 0.95 and bad.get(f, 0) <= 0.2 * seen[f]
+        return p / (p + q) >= 0.95 and bad.get(f, 0) <= 0.01 * seen[f]
 
     candidates = frozenset(f for f in seen if precise(f))
     covers: dict[str, set[int]] = {f: set() for f in candidates}
@@ -204,6 +204,11 @@ def _fit_lexicon(sample: DataFrame) -> Lexicon:
     for f in candidates:
         if f[0] != "^" and seen[f] >= 0.1 * n_toxic and bad.get(f, 0) == 0:
             words.add(f)
+    # and productive stems: shortest first, with several endings, in no clean text
+    endings = Counter("^" + w[:n] for w in candidates if w[0] != "^" for n in STEM_LENGTHS if len(w) > n)
+    for f in sorted(candidates, key=lambda f: (len(f), f)):
+        if f[0] == "^" and endings[f] >= 4 and bad.get(f, 0) == 0 and seen[f] >= 0.01 * n_toxic and not any(f[1:].startswith(s) for s in stems):
+            stems.add(f[1:])
     return Lexicon(frozenset(words | set(SEED_INSULTS)), frozenset(stems))
 
 
@@ -242,8 +247,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE_
     w[0] = max(w[0], 1e-3)
     w[1] = max(w[1], w[0])
     for k, share in ((2, 0.5), (3, 0.5), (4, 1.0), (5, 0.05)):
-        if not (x[:, k] > 0).any():
+        met = x[:, k] > 0
+        if not met.any():
             w[k] = share * w[0]
+        elif k < 5 and times[met] @ y[met] >= 0.9 * times[met].sum():
+            w[k] = w[0]  # the labels do not excuse this pattern
     return ToxicityModel(lexicon, tuple(float(v) for v in w), float(b))
 
 
