@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,95 +59,80 @@ class Item:
 class Index:
     """An inverted index of items. A posting holds the term's BM25 weight divided by the item's own score.
 
-    An item therefore scores 1 against a passage that holds all its words. Postings are in item order and in
-    blocks, each with the maximum of its weights.
+    An item therefore scores 1 against a passage that holds all its words. Items of like vocabulary and length
+    stand in one block of ``BLOCK``; for each term the index lists the blocks it occurs in, with its greatest
+    weight there.
     """
 
-    BLOCK = 32
+    BLOCK = 4
 
     def __init__(self, items: list[Item], k1: float = 1.2, b: float = 0.75) -> None:
-        self.items = items
+        counts = {id(i): Counter(i.words) for i in items}
+        df = Counter(w for c in counts.values() for w in c)
+        common = {w: k for k, (w, _) in enumerate(df.most_common())}
+        self.items = sorted(items, key=lambda i: (min(map(common.__getitem__, i.words)), len(i.words), i.item_id))
         mean = max(1.0, sum(len(i.words) for i in items) / max(1, len(items)))
-        counts = [Counter(i.words) for i in items]
-        df = Counter(w for c in counts for w in c)
         self.term = {w: t for t, w in enumerate(df)}
         idf = {w: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
-        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for at, (item, c) in enumerate(zip(items, counts, strict=True)):
+        self.weights: list[dict[int, float]] = []
+        maxima: list[dict[int, float]] = [{} for _ in df]
+        for at, item in enumerate(self.items):
+            c = counts[id(item)]
             weight = {w: idf[w] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(item.words) / mean)) for w, n in c.items()}
             own = sum(weight.values())
-            for w, x in weight.items():
-                lists[self.term[w]].append((at, x / own))
-        self.postings = [lists[t] for t in range(len(self.term))]
-        self.blocks = [[max(x for _, x in p[k : k + self.BLOCK]) for k in range(0, len(p), self.BLOCK)] for p in self.postings]
-        self.most = np.array([max(b) for b in self.blocks] + [0.0])  # the last is for words of no item
+            self.weights.append({self.term[w]: x / own for w, x in weight.items()})
+            for t, x in self.weights[-1].items():
+                maxima[t][at // self.BLOCK] = max(x, maxima[t].get(at // self.BLOCK, 0.0))
+        self.blocks = -(-len(items) // self.BLOCK)
+        self.starts = np.concatenate([[0], np.cumsum([len(m) for m in maxima])]).astype(np.int64)
+        self.block = np.array([k for m in maxima for k in m], np.int64)
+        self.maximum = np.array([x for m in maxima for x in m.values()], float)
+        self.most = np.array([max(m.values()) for m in maxima] + [0.0])  # the last is for words of no item
         self.longest = max((len(i.words) for i in items), default=1)
 
-    def wand(self, terms: list[int], threshold: float) -> list[int]:
-        """Items whose score over the distinct ``terms`` is at least ``threshold``, by block-max WAND."""
-        slack = threshold - 1e-9
-        cursors = [[self.postings[t][0][0], 0, t] for t in terms]  # (item, position, term)
-        found = []
-        while cursors:
-            cursors.sort()
-            bound, pivot = 0.0, -1
-            for k, (_, _, t) in enumerate(cursors):
-                bound += self.most[t]
-                if bound >= slack:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            blocks = 0.0
-            jump = 1 << 60
-            for _, at, t in cursors[: pivot + 1]:
-                p, k = self.postings[t], at // self.BLOCK
-                while (k + 1) * self.BLOCK <= len(p) - 1 and p[(k + 1) * self.BLOCK - 1][0] < item:
-                    k += 1
-                end = min(len(p), (k + 1) * self.BLOCK) - 1
-                if p[end][0] >= item:
-                    blocks += self.blocks[t][k]
-                    jump = min(jump, p[end][0] + 1)
-            if blocks >= slack:
-                if cursors[0][0] == item:
-                    score = sum(self.postings[t][at][1] for i, at, t in cursors[: pivot + 1] if i == item)
-                    if score >= slack:
-                        found.append(item)
-                    target = item + 1
-                else:
-                    target = item
-            else:  # no item before the end of a block, or before the next list's item, can reach it
-                after = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else 1 << 60
-                target = max(item + 1, min(jump, after))
-            for c in cursors[: pivot + 1]:
-                p, at = self.postings[c[2]], c[1]
-                while at < len(p) and p[at][0] < target:
-                    at += 1
-                c[:2] = [p[at][0], at] if at < len(p) else [-1, at]
-            cursors = [c for c in cursors if c[0] >= 0]
-        return found
+    def pivots(self, passage: np.ndarray, term: np.ndarray, n: int, threshold: float) -> np.ndarray:
+        """Numbers passage * blocks + block wherever the maxima of a passage's terms in a block reach the threshold.
+
+        This is the pivot step of block-max WAND, taken for all passages of a text at once: no other block can
+        hold an item that reaches it.
+        """
+        listed = self.starts[term + 1] - self.starts[term]
+        ends = np.cumsum(listed)
+        posting = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - listed, listed) + np.repeat(self.starts[term], listed)
+        key = np.repeat(passage, listed) * self.blocks + self.block[posting]
+        return np.flatnonzero(np.bincount(key, self.maximum[posting], n * self.blocks) >= threshold - 1e-9)
 
     def passages(self, text: str, threshold: float, span: int) -> Iterator[tuple[list[str], list[int]]]:
-        """Passages of a text and the items retrieved for each: windows of ``span`` words, half overlapping."""
+        """Passages of a text and the items that reach the threshold in each: windows of ``span`` words, half overlapping."""
         words = words_of(text)
-        ids = np.fromiter(map(self.term.get, words, [len(self.term)] * len(words)), np.int64, len(words))
-        weight = self.most[ids]
-        if weight.sum() < threshold - 1e-9:
-            return
-        half = span // 2
-        sums = np.concatenate([[0.0], np.cumsum(weight)])
+        ids = np.fromiter(map(self.term.get, words, repeat(len(self.term))), np.int64, len(words))
+        half, size = span // 2, len(self.term) + 1
         starts = np.arange(0, max(1, len(words) - half), half)
-        ends = np.minimum(starts + span, len(words))
-        for k in np.flatnonzero(sums[ends] - sums[starts] >= threshold - 1e-6):
-            lo, hi = int(starts[k]), int(ends[k])
-            terms = np.unique(ids[lo:hi])
-            terms = terms[terms < len(self.term)]
-            if self.most[terms].sum() >= threshold - 1e-9:
-                if items := self.wand(terms.tolist(), threshold):
-                    yield words[max(0, lo - half) : hi + half], items
+        for first in range(0, len(starts), 64):  # so many passages at a time that memory stays bounded
+            some = starts[first : first + 64]
+            lo, hi = int(some[0]), min(int(some[-1]) + span, len(words))
+            at = np.arange(lo, hi)
+            own = at // half - first  # each position lies in the passage that starts before it and in the one before that
+            both = np.concatenate([np.minimum(own, len(some) - 1) * size + ids[lo:hi], (own[half:] - 1) * size + ids[lo + half : hi]])
+            pairs = np.unique(both)
+            passage, term = pairs // size, pairs % size
+            known = term < size - 1
+            passage, term = passage[known], term[known]
+            total = np.bincount(passage, self.most[term], len(some))
+            keep = total[passage] >= threshold - 1e-9
+            passage, term = passage[keep], term[keep]
+            found: dict[int, list[int]] = defaultdict(list)
+            bounds = np.searchsorted(passage, np.arange(len(some) + 1))
+            for pivot in self.pivots(passage, term, len(some), threshold).tolist():
+                k, block = divmod(pivot, self.blocks)
+                terms = term[bounds[k] : bounds[k + 1]].tolist()
+                for item in range(block * self.BLOCK, min(len(self.items), (block + 1) * self.BLOCK)):
+                    weight = self.weights[item]
+                    if sum(weight[t] for t in terms if t in weight) >= threshold - 1e-9:
+                        found[k].append(item)
+            for k, items in found.items():
+                start = int(some[k])
+                yield words[max(0, start - half) : start + span + half], items
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str], overlap: float = 0.8, width: int = 5, threshold: float = 0.6) -> DataFrame:
