@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.llm.runtime import with_text
+
 #: Items in one index; more items are split into several indexes, each run over all documents.
 INDEX_ITEMS = 20_000
 _WORD = re.compile(r"\w+")
@@ -151,7 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str], over
     parts_of = [
         sorted((r.item_id, r.text) for r in usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()) for part in range(parts)
     ]
-    return _scan(docs.select(*columns, F.col("text").cast("string").alias("passage_text")), parts_of, columns, overlap, width, threshold)
+    return _scan(with_text(docs, columns), parts_of, columns, overlap, width, threshold)
 
 
 def _scan(docs: DataFrame, parts: list[list[tuple[int, str]]], columns: list[str], overlap: float, width: int, threshold: float) -> DataFrame:

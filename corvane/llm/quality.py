@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.runtime import labelled_sample, utf8
+from corvane.llm.runtime import labelled_sample, utf8, with_text
 from corvane.llm.wordhash import hashed_words
 
 #: At most about this many labelled rows are read to fit the trees.
@@ -170,4 +170,4 @@ def score_quality(docs: DataFrame, forest: Forest, columns: list[str]) -> DataFr
             scores = [forest.scores(x[i : i + 1024]) for i in range(0, len(x), 1024)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*columns, "score"])
 
-    return docs.select(*columns, F.col("text").cast("string")).mapInArrow(run, schema)
+    return with_text(docs, columns).mapInArrow(run, schema)

@@ -73,6 +73,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, limi
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
 
 
+def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and, last, the text as a string under a name that clashes with none of them."""
+    name = "text"
+    while name in columns:
+        name += "_"
+    return docs.select(*columns, F.col("text").cast("string").alias(name))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column and n + 1 offsets into them; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.runtime import labelled_sample, materialise
+from corvane.llm.runtime import labelled_sample, materialise, with_text
 
 # Seed words of each class, in English, German, French and Spanish.
 SEED_INSULTS = ("clown", "disgusting", "idiot", "idiota", "imbécile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -222,7 +222,7 @@ def _pattern_counts(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> Da
             counts = [clause_patterns(t.as_py() or "", lexicon, trigger) for t in batch.column(len(columns))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(counts, pa.list_(pa.int32()))], names=[*columns, "counts"])
 
-    return docs.select(*columns, F.col("text").cast("string")).mapInArrow(run, schema)
+    return with_text(docs, columns).mapInArrow(run, schema)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE_ROWS) -> ToxicityModel:
@@ -270,4 +270,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str]) ->
             scores = model.scores(np.array(counts, float).reshape(-1, len(PATTERNS)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(scores)], names=[*columns, "score"])
 
-    return docs.select(*columns, F.col("text").cast("string")).mapInArrow(run, schema)
+    return with_text(docs, columns).mapInArrow(run, schema)
