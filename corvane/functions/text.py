@@ -132,7 +132,7 @@ def sentences(text: Column) -> Column:
 
 def markdown_row(row: Column) -> Column:
     """Cells of a table row between pipes, trimmed."""
-    return F.transform(F.split(F.regexp_replace(F.trim(row), r"^\||\|$", ""), r"\|"), F.trim)
+    return F.transform(F.split(F.regexp_replace(F.trim(row), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
 
 
 def scrub(text: Column) -> Column:

@@ -101,7 +101,8 @@ def new_pairs(pairs: DataFrame, stored: DataFrame) -> DataFrame:
 
 def newer_side(conflicts: DataFrame, effective: DataFrame, cited: DataFrame) -> DataFrame:
     """Conflicts that touch a cited chunk, with the chunk of later date as ``newer``, null on a tie."""
-    touching = conflicts.join(cited.select("chunk_id"), (F.col("chunk_a") == F.col("chunk_id")) | (F.col("chunk_b") == F.col("chunk_id")), "left_semi")
+    sides = [conflicts.join(cited.select(F.col("chunk_id").alias(s)), s, "left_semi") for s in ("chunk_a", "chunk_b")]  # two equality joins, not one by OR
+    touching = sides[0].unionByName(sides[1]).distinct()
     e = lambda s: effective.select(F.col("chunk_id").alias(f"chunk_{s}"), F.col("effective_from").alias(f"from_{s}"))
     both = touching.join(e("a"), "chunk_a").join(e("b"), "chunk_b")
     newer = F.when(F.col("from_a") > F.col("from_b"), F.col("chunk_a")).when(F.col("from_b") > F.col("from_a"), F.col("chunk_b"))
