@@ -55,11 +55,11 @@ def _decide(times: list[float], limit: int, seconds: float, kept: list[float]) -
     return out, kept
 
 
-def sliding_budget(events: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
+def sliding_budget(events: DataFrame, limit: int = 30, seconds: int = 60, late: str = "1 minute") -> DataFrame:
     """(user_id, ts, accepted): at most ``limit`` accepted hits of a user in any ``seconds``.
 
     The state of a user is the list of accepted hits inside the window, ``limit`` numbers at most; it times out
-    with the window. Hits are taken in the order of time inside each batch.
+    once the watermark passes the window. Hits are taken in the order of time inside each batch.
     """
     rows = events.select(F.col("user_id").cast("long").alias("user_id"), "ts")
     if not events.isStreaming:
@@ -78,10 +78,11 @@ def sliding_budget(events: DataFrame, limit: int = 30, seconds: int = 60) -> Dat
         kept = list(state.get[0]) if state.exists else []
         accepted, kept = _decide([t.timestamp() for t in hits["ts"]], limit, seconds, kept)
         state.update((kept,))
-        state.setTimeoutDuration(seconds * 1000)
+        last = int((hits["ts"].iloc[-1].timestamp() + seconds) * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
         yield hits.assign(accepted=accepted)[["user_id", "ts", "accepted"]]
 
-    return rows.groupBy("user_id").applyInPandasWithState(step, HITS, "kept array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, HITS, "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def ingest(source: DataFrame, prepare: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], fail: Callable[[DataFrame, int], None], checkpoint: str):
