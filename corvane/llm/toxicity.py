@@ -97,10 +97,18 @@ class Lexicon:
         return "o"
 
 
+def _word_end(text: str, at: int, whole: int) -> int:
+    """``at``, or the end of the word that it cuts; a clause's own start ``whole`` cuts none."""
+    while at != whole and 0 < at < len(text) and text[at - 1].isalpha() and text[at].isalpha():
+        at += 1
+    return at
+
+
 def clause_patterns(text: str, lexicon: Lexicon, trigger: re.Pattern) -> list[int]:
-    """How often each of ``PATTERNS`` matches in the clauses of a text.
+    """How often each of ``PATTERNS`` matches in the clauses of a whole text.
 
-    A threat verb counts in full only with a target in its clause.
+    A threat verb counts in full only with a target in its clause. A clause that runs on for more than 400
+    characters after a match, as in tables without stops, is read in several parts, none of them left out.
     """
     lowered = text.lower()
     counts = [0] * len(PATTERNS)
@@ -111,10 +119,9 @@ def clause_patterns(text: str, lexicon: Lexicon, trigger: re.Pattern) -> list[in
         begin = done if done > 0 else 0
         for b in _BREAK.finditer(lowered, max(begin, hit.start() - 400), hit.start()):
             begin = b.end()
-        begin = max(begin, hit.start() - 400)
+        begin = _word_end(lowered, max(begin, hit.start() - 400), begin)
         end = _BREAK.search(lowered, hit.end())
-        done = min(end.start() if end else len(lowered), hit.end() + 400)
-        done = max(done, hit.end())
+        done = _word_end(lowered, min(end.start() if end else len(lowered), hit.end() + 400), -1)
         classes = [lexicon.classes(w[0]) for w in _WORD.finditer(lowered, begin, done)]
         aimed = "P" in classes
         for step in CASCADE:
