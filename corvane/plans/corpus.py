@@ -293,3 +293,40 @@ def f11(spark, sf):
     """Shared stems of each question and its gold passages."""
     both = gold(spark, sf).join(questions(spark, sf), "question_id").join(passages(spark, sf), "chunk_id")
     return both.select("question_id", "chunk_id", F.size(F.array_intersect(stemmed_words(F.col("question")), stemmed_words(F.col("text")))).alias("shared"))
+
+
+@query("f11_hash_embeddings", "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[a-z0-9]') THEN 1.0 ELSE 0.0 END AS norm FROM documents")
+def f11b(spark, sf):
+    from corvane.functions.embedding import hash_embed
+
+    v = hash_embed(texts(spark, sf), "doc_id")
+    return v.select("doc_id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))), 4).alias("norm"))
+
+
+@query("e15_answer_units")
+def e15(spark, sf):
+    """Answer units of all documents: sentences of three words or more, in order."""
+    units = texts(spark, sf).select("doc_id", F.posexplode(F.split("text", r"(?<=[.;])\s+(?=[A-Z(])|\n")).alias("pos", "unit"))
+    return units.filter(F.size(F.split(F.trim("unit"), r"\s+")) >= 3)
+
+
+@query("k11_quick_value_check", "SELECT event_id AS question_id, event_id % 2 = 0 OR event_id % 6 = 3 AS ok FROM events")
+def k11(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_id").alias("question_id"))
+    k = F.col("question_id")
+    values = e.select("question_id", F.lit("S1").alias("marker"), F.when(k % 2 == 0, "12 units").when(k % 6 == 3, "every 6 to 12").otherwise("9 units").alias("value"))
+    known = e.select("question_id", F.lit("S1").alias("marker"), F.lit("Run at 12 units, then 6 units").alias("body"))
+    return answers.quick_value_check(values, known).select("question_id", "ok")
+
+
+@query("k01_passages", "SELECT event_id % 97 AS question_id, count(*) AS n, 'S' || CAST(count(*) AS VARCHAR) AS last_marker FROM events GROUP BY 1")
+def k01(spark, sf):
+    ctx = table(spark, sf, "events").select((F.col("event_id") % 97).alias("question_id"), F.col("event_id").alias("place"), F.lit("T").alias("title"), F.lit("H").alias("heading"), F.lit("text").alias("text"))
+    return answers.passages(ctx).groupBy("question_id").agg(F.count("*").alias("n"), F.max_by("marker", "place").alias("last_marker"))
+
+
+@query("f14_record_hash", "SELECT event_id, sha256(repeat('0', 64) || props) AS hash FROM events")
+def f14(spark, sf):
+    from corvane.functions.text import record_hash
+
+    return table(spark, sf, "events").select("event_id", record_hash(F.lit("0" * 64), F.col("props")).alias("hash"))
