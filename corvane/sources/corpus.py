@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,12 +61,26 @@ def new_versions(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return incoming.join(stored.select("document_id", "version_label"), ["document_id", "version_label"], "left_anti")
 
 
-def rewrite_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace all chunks of the versions at hand: a dynamic overwrite of their partitions.
+def rewrite_chunks(chunks: DataFrame, path: str, scratch: str, buckets: int = 256) -> None:
+    """Replace all chunks of the versions at hand in a table of hash buckets of version_id.
 
-    Partitions of other versions stay as they are, so writing the same versions again changes nothing.
+    Only the buckets that the versions fall in are read and written again (a dynamic partition overwrite), by
+    way of a table in the shared ``scratch`` folder, so that a lost executor or a second run changes nothing.
     """
-    chunks.repartition("version_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version_id").parquet(path)
+    spark = chunks.sparkSession
+    keyed = chunks.withColumn("bucket", F.pmod(F.xxhash64("version_id"), F.lit(buckets)).cast("int"))
+    merged = keyed
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        same = stored.select(*keyed.columns).join(keyed.select("bucket").distinct(), "bucket", "left_semi").join(keyed.select("version_id").distinct(), "version_id", "left_anti")
+        merged = keyed.unionByName(same)
+    at = f"{scratch.rstrip('/')}/rewrite-{uuid.uuid4().hex}"
+    merged.write.parquet(at)
+    spark.read.parquet(at).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def first_supported_claims(verdicts: DataFrame) -> DataFrame:
