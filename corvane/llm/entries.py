@@ -31,11 +31,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``documents``; fitted without the held-out third."""
+    """(doc_id, held_out, score, predicted) of every row of ``documents``; fitted without the held-out third. A null id is not held out."""
     docs, labels = with_id(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels, lambda doc_id: fold(doc_id, 3) != 1)
     scored = score_toxicity(docs, model, ["doc_id"])
-    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))
 
 
 def op3_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +112,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of ``documents``; fitted without the held-out fifth."""
+    """(doc_id, held_out, score, predicted) of every row of ``documents``; fitted without the held-out fifth. A null id is not held out."""
     docs, labels = with_id(read_table(spark, sf_dir, "documents")), read_table(spark, sf_dir, "labels")
     forest = fit_quality(docs, labels, lambda doc_id: fold(doc_id, 5) != 0)
     scored = score_quality(docs, forest, ["doc_id"])
-    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
 
 
 QUERIES = {
