@@ -9,7 +9,9 @@ from corvane.operators import answers, conflicts, evaluation, metadata, privacy,
 from corvane.operators import retrieval as r
 from corvane.plans.governance import views
 from corvane.plans.registry import query
-from corvane.plans.retrieval import gold, keyword, passages, questions
+from corvane.plans.retrieval import KEYWORD, PASSAGES, POSTS, TERMS, gold, keyword, passages, questions
+from corvane.plans.text import stems_sql
+from corvane.functions import words as W
 from corvane.sources import corpus
 from corvane.sources.views import duck, table
 
@@ -244,12 +246,26 @@ def k06(spark, sf):
     return made.groupBy("question_id").agg(F.count("*").cast("int").alias("n_claims"), F.count_if(F.size("cited") > 0).cast("int").alias("n_cited"))
 
 
-@query("k08_verified_claims")
+META = "[" + ", ".join(f"'{conflicts.stem_word(w)}'" for w in W.CITATION_WORDS) + "]"
+CHECKED = f"""WITH {PASSAGES}, {TERMS}, {POSTS}, {KEYWORD}, own AS (SELECT question_id, text AS body, regexp_replace(q, '[.!?]\\s+', ' ', 'g') AS q, list_filter({stems_sql('q')}, lambda w: NOT list_contains({META}, w)) AS own
+        FROM (SELECT k.question_id, b.text AS q, d.text FROM kw k JOIN benchmark b ON b.item_id = k.question_id JOIN docs d USING (chunk_id) WHERE k.rank = 1)),
+    judged AS (SELECT question_id, q, CASE WHEN len(own) = 0 THEN 1.0 ELSE round(len(list_intersect(own, {stems_sql("'text ' || body")})) / len(own), 4) END AS score FROM own)"""
+
+
+@query(
+    "k08_verified_claims",
+    f"""{CHECKED} SELECT question_id, 0 AS line, 0 AS pos, score >= 0.75 AS supported, CASE WHEN score >= 0.75 THEN CAST(score AS DOUBLE) ELSE 0.0 END AS score, CASE WHEN score < 0.75 THEN 'not supported' END AS issue FROM judged
+        UNION ALL SELECT item_id, 1, 0, false, 0.0, 'no citation' FROM benchmark""",
+)
 def k08(spark, sf):
     return answers.verify_claims(answers.claims(drafts(spark, sf)), answers.passages(context_rows(spark, sf))).select("question_id", "line", "pos", "supported", "score", "issue")
 
 
-@query("k10_assembled_answers")
+@query(
+    "k10_assembled_answers",
+    f"""{CHECKED} SELECT question_id, CASE WHEN score >= 0.75 THEN '- ' || regexp_replace(q, '[.!?]$', '') || ' [S1]' || regexp_extract(q, '[.!?]$') ELSE '' END AS answer, CASE WHEN score >= 0.75 THEN 'partial' ELSE 'abstained' END AS outcome,
+        2 AS n_claims, CASE WHEN score >= 0.75 THEN 1 ELSE 0 END AS n_supported FROM judged""",
+)
 def k10(spark, sf):
     verdicts = answers.verify_claims(answers.claims(drafts(spark, sf)), answers.passages(context_rows(spark, sf)))
     return answers.assemble(verdicts).select("question_id", "answer", "outcome", "n_claims", "n_supported")
@@ -330,3 +346,22 @@ def f14(spark, sf):
     from corvane.functions.text import record_hash
 
     return table(spark, sf, "events").select("event_id", record_hash(F.lit("0" * 64), F.col("props")).alias("hash"))
+
+
+@query("m01_gold_references", f"WITH {duck('chunks_v', 'versions_v', 'documents_v')} SELECT chunk_id FROM chunks_v JOIN versions_v USING (version_id) JOIN documents_v USING (document_id) WHERE doc_code || '@' || version_label || '#' || section_path IN (SELECT 'D-' || CAST(c_custkey AS VARCHAR) || '@v3#2.1' FROM customer)")
+def m01_references(spark, sf):
+    """Chunks that a gold reference ``code@label#section`` names."""
+    c, v, d = views(spark, sf, "chunks_v", "versions_v", "documents_v")
+    full = c.join(v.select("version_id", "document_id", "version_label"), "version_id").join(d.select("document_id", "doc_code"), "document_id")
+    wanted = table(spark, sf, "customer").select(F.concat(F.lit("D-"), F.col("c_custkey").cast("string"), F.lit("@v3#2.1")).alias("reference")).withColumn("doc_code", evaluation.gold_reference(F.col("reference"))["doc_code"])
+    hit = evaluation.matches_gold(F.col("reference"), F.col("doc_code"), F.col("version_label"), F.col("section_path"), F.array("section_path"))
+    return full.join(wanted, "doc_code").filter(hit).select("chunk_id")
+
+
+@query("f13_canonical_records", f"WITH {duck('audit_v')} SELECT seq, length(payload) > 0 AS has_payload FROM audit_v")
+def f13(spark, sf):
+    """Canonical records hold the payload as it was stored."""
+    from corvane.operators.audit import canonical_record
+
+    events = table(spark, sf, "audit_v").withColumn("record", canonical_record())
+    return events.select("seq", F.get_json_object("record", "$.payload").eqNullSafe(F.col("payload")).alias("has_payload"))
