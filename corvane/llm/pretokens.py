@@ -11,6 +11,7 @@ import os
 import re
 import sys
 from array import array
+from itertools import islice
 
 from tokenizers import Tokenizer
 
@@ -22,8 +23,12 @@ _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORD_PATTERN = rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+"
 BYTE_PATTERN = rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
-#: Distinct pre-tokens that a worker remembers; it forgets the others beyond that.
-CACHE = 800_000
+# Byte-level vocabularies write each byte as a sign: a printable one as itself, the others as signs from 256 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_SPACE_SIGN = chr(_BYTE_SIGNS[0x20])
+#: Distinct pre-tokens that a worker remembers. Beyond that it keeps the half it met first: common ones come early.
+CACHE = 400_000
 #: Texts that are split together.
 CHUNK = 256
 
@@ -68,32 +73,15 @@ class Library:
                 yield whole(self.ids(t)) if w is None else total([known[x] for x in w])
 
     def learn(self, met: set[str]) -> None:
-        """Have the library encode those of the distinct pre-tokens ``met`` that are not known yet.
-
-        Many go in one call, in a line: those with a leading space follow one another, others are set apart
-        by line ends, and the library tells to which pre-token each id belongs.
-        """
+        """Have the vocabulary's model encode those of the distinct pre-tokens ``met`` that are not known yet."""
         new = list(met - self.known.keys())
         if len(self.known) + len(new) > CACHE:
-            self.known = {p: self.known[p] for p in met if p in self.known}
-        spaced = [p for p in new if p[0] == " " and len(p) > 1 and not p.isspace()]
-        bare = [p for p in new if not p[0].isspace()]
-        for group, between in ((spaced, ""), (bare, "\n")):
-            for i in range(0, len(group), 512):
-                self._together(group[i : i + 512], between)
+            self.known = dict(islice(self.known.items(), CACHE // 2))
+            new = list(met - self.known.keys())
+        pieces, value = self.tokenizer.model.tokenize, self.value
         for p in new:
-            if p not in self.known:
-                self.known[p] = self.value(self.ids(p))
-
-    def _together(self, group: list[str], between: str) -> None:
-        encoded = self.tokenizer.encode(between.join(group), add_special_tokens=False)
-        ids, owner = encoded.ids, encoded.word_ids
-        cuts = [k for k in range(1, len(owner)) if owner[k] != owner[k - 1]]
-        parts = [ids[a:b] for a, b in zip([0, *cuts], [*cuts, len(ids)], strict=True)]
-        if between and len(parts) == 2 * len(group) - 1:  # this vocabulary keeps white space
-            parts = parts[::2]
-        if len(parts) == len(group):  # else one by one
-            self.known.update(zip(group, map(self.value, parts), strict=True))
+            signs = p.replace(" ", _SPACE_SIGN) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            self.known[p] = value([piece.id for piece in pieces(signs)])
 
 
 _libraries: dict[tuple[str, str, str], Library] = {}

@@ -28,6 +28,18 @@ def test_ids_equal_the_library(path, pattern, prepare):
     assert any(plain(t) for t in texts) and not all(plain(t) for t in texts)
 
 
+def test_forgetting_changes_no_result(monkeypatch):
+    from pyarrow import array
+
+    from corvane.llm import pretokens
+
+    monkeypatch.setattr(pretokens, "CACHE", 40)
+    texts = [f"some {i} words {chr(97 + i % 26) * (i % 7 + 1)} again" for i in range(900)]
+    got = list(Library(BYTES, BYTE_PATTERN, len).per_text(array(texts), str, sum, len))
+    tokenizer = Tokenizer.from_file(BYTES)
+    assert got == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts(spark):
     rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(0, "again", 2), (None, "none", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
