@@ -143,16 +143,18 @@ def measure(node: Node, in_link: bool = False) -> None:
 
 
 def rate(body: Node) -> None:
-    """Composite text density of every node under the body: characters a tag, adjusted by links."""
+    """Composite text density of every node under the body: characters a tag, adjusted by links.
+
+    C / T * log_b(C / LC * T / LT) with b = ln(C / (C - LC) * LC + LC_body / C_body * C + e), where C and T count
+    the characters and tags of a node and LC and LT those in links; a zero divisor counts as one.
+    """
     ratio = body.link_chars / max(1, body.chars)
-    stack = [body]
-    while stack:
-        node = stack.pop()
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        if c:
+    for node in _walk(body):
+        if c := node.chars:
+            tags = max(1, node.tags)
             base = math.log(c / max(1, c - node.link_chars) * node.link_chars + ratio * c + math.e)
-            node.density = c / t * math.log(max(c / lc * t / lt, 1.0) + 1e-9) / math.log(max(base, 1.0) + 1e-9) if base > 1.0 + 1e-6 else c / t * math.log(max(c / lc * t / lt, 1.0) + 1e-9)
-        stack.extend(x for x in node.items if isinstance(x, Node) and not x.apart)
+            spread = math.log(max(1.0, c / max(1, node.link_chars) * tags / max(1, node.link_tags)))
+            node.density = c / tags * spread / (math.log(base) if base > 1 + 1e-6 else 1.0)  # no links at all: no adjustment
 
 
 def main_nodes(root: Node) -> list[Node]:
@@ -175,7 +177,7 @@ def main_nodes(root: Node) -> list[Node]:
     way = list(_path(best))
     way = way[: way.index(body) + 1]
     if holders := [n for n in way if n.article]:
-        return [holders[-1] if holders[-1].tag == "article" or len(holders) == 1 else next((n for n in reversed(holders) if n.tag == "article"), holders[-1])]
+        return [([n for n in holders if n.tag == "article"] or holders)[-1]]
     threshold = min(n.density for n in way)
     inside = {id(n) for n in way}
     chosen = [c for n in _walk(body) if id(n) in inside and n is not best for c in n.items if isinstance(c, Node) and not c.apart and id(c) not in inside and c.density >= threshold]
