@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -14,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.runtime import with_text
+from corvane.llm.runtime import materialise, with_text
 
-#: Items in one index; more items are split into several indexes, each run over all documents.
+#: Items in one index; more items are split into several indexes, run over all documents one after another.
 INDEX_ITEMS = 20_000
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -57,18 +58,41 @@ class Item:
         own = grams(self.answer, size)
         return question, len(own & (there if size == width else grams(passage, size))) / len(own)
 
+    def share(self, passage: list[str], width: int) -> float:
+        """The greater of the whole item's share in the passage and the lesser one of question and answer."""
+        whole = grams(self.words, width)
+        size = min(width, len(self.words))
+        return max(len(whole & grams(passage, size)) / len(whole), min(self.overlap(passage, width)))
+
+
+def _greatest_loss(runs: set[tuple[str, ...]], weight: dict[str, float], overlap: float) -> float:
+    """No less than the weight of the words that can be missing where at least ``overlap`` of the runs stand.
+
+    A missing word takes along every run it is in, and a run is taken by no more words than it is long.
+    """
+    width = max(map(len, runs), default=0)
+    room, lost = width * math.floor((1 - overlap) * len(runs) + 1e-9), 0.0
+    inside = Counter(w for run in runs for w in set(run))
+    for word in sorted(inside, key=lambda w: inside[w] / max(weight[w], 1e-12)):
+        if room <= 0:
+            break
+        lost += weight[word] * min(1.0, room / inside[word])
+        room -= inside[word]
+    return lost
+
 
 class Index:
     """An inverted index of items. A posting holds the term's BM25 weight divided by the item's own score.
 
-    An item therefore scores 1 against a passage that holds all its words. Items of like vocabulary and length
+    An item therefore scores 1 against a passage that holds all its words, or more with ``reach``, an (overlap, width,
+    threshold): then each passage that can hold the item at that overlap scores the threshold. Items of like vocabulary and length
     stand in one block of ``BLOCK``; for each term the index lists the blocks it occurs in, with its greatest
     weight there.
     """
 
     BLOCK = 4
 
-    def __init__(self, items: list[Item], k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, items: list[Item], k1: float = 1.2, b: float = 0.75, reach: tuple[float, int, float] | None = None) -> None:
         counts = {id(i): Counter(i.words) for i in items}
         df = Counter(w for c in counts.values() for w in c)
         common = {w: k for k, (w, _) in enumerate(df.most_common())}
@@ -82,6 +106,10 @@ class Index:
             c = counts[id(item)]
             weight = {w: idf[w] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(item.words) / mean)) for w, n in c.items()}
             own = sum(weight.values())
+            if reach:
+                overlap, width, threshold = reach
+                loss = max(sum(_greatest_loss(runs, weight, overlap) for runs in parts) for parts in ([grams(item.words, width)], [item.question, grams(item.answer, width)]))
+                own = min(own, max(own - loss, 1e-9) / threshold)
             self.weights.append({self.term[w]: x / own for w, x in weight.items()})
             for t, x in self.weights[-1].items():
                 maxima[t][at // self.BLOCK] = max(x, maxima[t].get(at // self.BLOCK, 0.0))
@@ -141,37 +169,44 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, columns: list[str], over
     """``columns`` of ``docs`` with ``item_ids`` (sorted array of leaked items) and ``overlap`` (the greatest).
 
     Every passage of every whole text queries a BM25 index of the items; each item that scores at least
-    ``threshold`` of its own score is verified: its question and its answer must each share at least
-    ``overlap`` of their ``width``-word runs with the passage. Words are compared in lower case without signs.
+    ``threshold`` of its own score, or less where ``overlap`` can be reached with less, is verified: the whole item, or both its question and its answer, must share
+    at least ``overlap`` of their ``width``-word runs with the passage. Words are compared in lower case without signs.
 
     Items with a null id or without a word leak nowhere; null and empty texts hold no leak; items that repeat
-    leak together. The index holds at most ``INDEX_ITEMS`` items; a larger benchmark is
-    taken in parts, one index after another over the same passages. Items are test data: small beside the corpus.
+    leak together. The index holds at most ``INDEX_ITEMS`` items; a larger benchmark is taken in parts, one scan
+    of all texts after another, so that one part is in memory at a time. Items are test data: small beside the corpus.
     """
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     parts = max(1, -(-usable.count() // INDEX_ITEMS))
-    parts_of = [
-        sorted((r.item_id, r.text) for r in usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()) for part in range(parts)
-    ]
-    return _scan(with_text(docs, columns), parts_of, columns, overlap, width, threshold)
-
-
-def _scan(docs: DataFrame, parts: list[list[tuple[int, str]]], columns: list[str], overlap: float, width: int, threshold: float) -> DataFrame:
+    part_of = lambda part: sorted((r.item_id, r.text) for r in usable.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect())
+    texts = with_text(docs, columns)
+    if parts == 1:
+        return _scan(texts, part_of(0), columns, overlap, width, threshold)
+    # a leak depends on the text alone: each part leaves the digests of the texts in which it found some
+    name = texts.columns[-1]
+    digests = texts.select(F.sha2(F.col(name).cast("binary"), 256).alias("digest"), F.col(name).alias("text"))
+    found = [materialise(_scan(digests, part_of(part), ["digest"], overlap, width, threshold).filter("size(item_ids) > 0").distinct()) for part in range(parts)]
+    leaks = reduce(DataFrame.unionByName, found).groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("leaked"), F.max("overlap").alias("most"))
+    keyed = texts.select(F.struct(*columns).alias("row"), F.sha2(F.col(name).cast("binary"), 256).alias("digest"))
+    joined = keyed.join(leaks, "digest", "left")
+    return joined.select("row.*", F.coalesce("leaked", F.array().cast("array<bigint>")).alias("item_ids"), F.coalesce("most", F.lit(0.0)).alias("overlap"))
+
+
+def _scan(docs: DataFrame, items: list[tuple[int, str]], columns: list[str], overlap: float, width: int, threshold: float) -> DataFrame:
     schema = docs.select(*columns).schema.add("item_ids", T.ArrayType(T.LongType())).add("overlap", "double")
     k = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [Index([item for item in (Item(i, t, width) for i, t in rows) if item.words]) for rows in parts]
+        index = Index([item for item in (Item(i, t, width) for i, t in items) if item.words], reach=(overlap, width, threshold))
         for batch in batches:
             ids, best = [], []
             for text in batch.column(k):
                 leaked: dict[int, float] = {}
-                for index in indexes:
-                    for passage, hits in index.passages(text.as_py() or "", threshold, max(128, 2 * index.longest)):
-                        for item in map(index.items.__getitem__, hits):
-                            share = min(item.overlap(passage, width))
-                            if share >= overlap:
-                                leaked[item.item_id] = max(share, leaked.get(item.item_id, 0.0))
+                for passage, hits in index.passages(text.as_py() or "", threshold, max(128, 2 * index.longest)):
+                    for item in map(index.items.__getitem__, hits):
+                        share = item.share(passage, width)
+                        if share >= overlap:
+                            leaked[item.item_id] = max(share, leaked.get(item.item_id, 0.0))
                 ids.append(sorted(leaked))
                 best.append(max(leaked.values(), default=0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], names=[*columns, "item_ids", "overlap"])

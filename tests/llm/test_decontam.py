@@ -52,3 +52,56 @@ def test_finds_leaks_and_leaves_clean_texts(spark):
     assert len(contaminated(docs, bench, ["doc_id"]).collect()) == len(rows)
     assert contaminated(docs, bench.limit(0), ["doc_id"]).filter("size(item_ids) > 0").count() == 0
     assert contaminated(docs.limit(0), bench, ["doc_id"]).count() == 0
+
+
+def leaked_in(text, items, overlap=0.8, width=5):
+    """Items of which the whole, or both question and answer, stand in the text; every run is compared."""
+    runs = lambda words, n: {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+    share = lambda part, words: len(runs(part, min(width, len(part))) & runs(words, min(width, len(part)))) / len(runs(part, min(width, len(part))))
+    words, out = words_of(text), []
+    for item_id, question, answer in items:
+        q, a = words_of(question), words_of(answer)
+        if share(q + a, words) >= overlap or share(q, words) >= overlap and share(a, words) >= overlap:
+            out.append(item_id)
+    return out
+
+
+def near_copies(rng, items):
+    rows = []
+    for i, (_, question, answer) in enumerate(items):
+        edited = answer.split()
+        edited[len(edited) // 2] = "edited"
+        for k, copy in enumerate((f"{question}. {answer}.", f"{question}. {' '.join(edited)}.", question, f"{question}. {' '.join(edited[:2])}.")):
+            rows.append((4 * i + k, f"{prose(rng, rng.randint(0, 300))} {copy} {prose(rng, 150)}"))
+    return rows
+
+
+def test_one_word_edits_in_short_last_sentences(spark):
+    rng = random.Random(8)
+    items = [(i, prose(rng, 52 - i), prose(rng, 8 - i % 6)) for i in range(24)]
+    rows = near_copies(rng, items)
+    want = {d: leaked_in(text, items) for d, text in rows}
+    assert all(d // 4 in want[d] for d in want if d % 4 == 1 and d < 40) and any(not ids for ids in want.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"{q}. {a}.") for i, q, a in items], "item_id long, text string")
+    assert {r.doc_id: r.item_ids for r in contaminated(docs, bench, ["doc_id"]).collect()} == want
+
+
+def test_heavy_words_in_the_edited_end(spark):
+    question = " ".join(random.Random(5).choices("the of and to in".split(), k=70))
+    items = [(0, question, "quark lepton gluon boson"), *((i, "the of and to in " * 3 + f"w{i}", "in the") for i in range(1, 40))]
+    bench = spark.createDataFrame([(i, f"{q}. {a}.") for i, q, a in items], "item_id long, text string")
+    docs = spark.createDataFrame([(0, question + " and more")], "doc_id long, text string")
+    assert contaminated(docs, bench, ["doc_id"]).first().item_ids == leaked_in(question + " and more", items) == [0]
+
+
+def test_parts_give_the_same_leaks(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, prose(rng, 40), prose(rng, 6)) for i in range(20)]
+    rows = near_copies(rng, items)
+    docs = spark.createDataFrame([*rows, *rows[:9], (None, rows[0][1]), (500, None), (501, ""), (501, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"{q}. {a}.") for i, q, a in items], "item_id long, text string")
+    result = lambda: sorted(map(str, contaminated(docs, bench, ["doc_id"]).collect()))
+    whole = result()
+    monkeypatch.setattr("corvane.llm.decontam.INDEX_ITEMS", 6)
+    assert result() == whole and len(whole) == len(rows) + 13
