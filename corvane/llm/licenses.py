@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+from importlib import resources
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm.license_texts import EQUIVALENT, KNOWN, TRIGGERS
 
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright (?:\(c\) |© )?[0-9][^\n]*|\(c\) [^\n]*|© [^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
+#: Words that follow "copyright" in sentences of licences; a line wrapped there is no copyright line.
+_SENTENCE = "a also an and applies are as at by can claim disclaimer doctrines for from has have holder holders if in interest interests into is it law laws like license licenses licence licences list may must notice notices of on or owner owners ownership patent permission protection resulting right rights shall statement statements status term terms that the this those to treaty under which with you"
+_SENTENCE_WORD = rf"(?:{'|'.join(_SENTENCE.replace(' the ', ' ').split())}|the (?:{'|'.join('above following interest disclaimer covered combined application software program library work license licence document package'.split())}))(?![\p{{L}}\p{{N}}])"
+_COPYRIGHT = (
+    rf"(?m)^[^\p{{L}}\p{{N}}\n]*(?:copyright(?![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}\n]*(?!{_SENTENCE_WORD})[\p{{L}}\p{{N}}][^\n]*"
+    rf"|\(c\)[^\p{{L}}\p{{N}}\n]+(?!{_SENTENCE_WORD})[\p{{L}}\p{{N}}][^\n]*|© [^\n]*|all rights reserved[^\p{{L}}\p{{N}}\n]*)$"
+)
+#: The expression of the stated SQL, which does not know copyright lines that open with a name.
+_SQL_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright (?:\(c\) |© )?[0-9][^\n]*|\(c\) [^\n]*|© [^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
 _SIGNS = r"[^\p{L}\p{N}\n]+"
 
 
@@ -39,21 +48,34 @@ def known_digests() -> dict[str, str]:
     return {canonical_digest(text): name for name, text in KNOWN}
 
 
-def license_scan(docs: DataFrame, columns: list[str]) -> DataFrame:
+def known_texts(spark: SparkSession) -> DataFrame:
+    """(license_id, text): the notices and short licences of ``KNOWN`` and the whole texts in ``license_files``."""
+    folder = resources.files("corvane.llm").joinpath("license_files")
+    whole = [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in folder.iterdir() if f.name.endswith(".txt")]
+    return spark.createDataFrame([*KNOWN, *sorted(whole)], "license_id string, text string")
+
+
+def license_scan(docs: DataFrame, columns: list[str], texts: DataFrame | None = None) -> DataFrame:
     """``columns`` of ``docs`` with ``license_id``, ``notice_ids`` and ``n_notices``.
 
-    ``license_id``: the licence whose known text equals the whole text in canonical form, by a hash join of
-    digests with the fixed table (null if none). ``notice_ids``: the sorted distinct licences whose known text
-    equals one line, and ``n_notices`` the number of such lines. Null and empty texts match nothing. Only
-    texts and lines that hold a word which every known text holds are put into canonical form: no other can
-    match. The table is fixed and small, so its broadcast has a fixed size.
+    ``texts(license_id, text)`` are the known licences, :func:`known_texts` if not given. ``license_id``: the
+    licence whose known text equals the whole text in canonical form, by a hash join of digests (null if none).
+    ``notice_ids``: the sorted distinct licences whose known text equals one line, and ``n_notices`` the number of
+    such lines. Null and empty texts match nothing; where two licences have one text, the first name counts. Where
+    every known text holds one of ``TRIGGERS``, only texts and lines that do are put into canonical form: no other
+    can match. The known licences are few, so their broadcast has a fixed size.
     """
     spark = docs.sparkSession
-    table = known_digests()
+    hint = lambda c: F.exists(F.array(*map(F.lit, TRIGGERS)), lambda t: F.contains(c, t))
+    given = (known_texts(spark) if texts is None else texts).filter("license_id is not null and text is not null").select("license_id", F.col("text").cast("string").alias("text"))
+    form = one_line(canonical(F.col("text")))
+    rows = given.select("license_id", form.alias("form"), hint(F.col("form")).alias("hinted")).filter("form != ''").select("license_id", F.sha2(F.col("form").cast("binary"), 256).alias("digest"), "hinted").collect()
+    table = {r.digest: r.license_id for r in sorted(rows, key=lambda r: r.license_id, reverse=True)}
+    if not all(r.hinted for r in rows):
+        hint = lambda c: F.lit(True)
     known = spark.createDataFrame(sorted(table.items()), "whole_digest string, license_id string")
     low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    hint = lambda c: F.exists(F.array(*map(F.lit, TRIGGERS)), lambda t: F.contains(c, t))
-    by_digest = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
+    by_digest = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair]).cast("map<string,string>")
     form = F.when(hint(low), canonical(F.col("text").cast("string")))
     lines = F.filter(F.split("form", "\n"), hint)
     found = F.filter(F.transform(lines, lambda line: F.element_at(by_digest, F.sha2(one_line(line).cast("binary"), 256))), lambda x: x.isNotNull())
@@ -70,7 +92,7 @@ def license_scan(docs: DataFrame, columns: list[str]) -> DataFrame:
 def oracle_sql() -> str:
     """The same scan of ``documents`` as DuckDB SQL."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    form = f"regexp_replace(regexp_replace(lower(text), {quote(_COPYRIGHT)}, '', 'g'), {quote(_SIGNS)}, ' ', 'g')"
+    form = f"regexp_replace(regexp_replace(lower(text), {quote(_SQL_COPYRIGHT)}, '', 'g'), {quote(_SIGNS)}, ' ', 'g')"
     for spelling, same in EQUIVALENT:
         form = f"replace({form}, {quote(spelling)}, {quote(same)})"
     hint = lambda c: "(" + " OR ".join(f"contains({c}, {quote(t)})" for t in TRIGGERS) + ")"

@@ -3,7 +3,7 @@ from html import unescape
 
 from corvane.llm.chat import rotate_perspectives
 from corvane.llm.htmltext import extract_main_text, main_text
-from corvane.llm.licenses import canonical_digest, known_digests, license_scan
+from corvane.llm.licenses import canonical_digest, known_digests, known_texts, license_scan
 from corvane.llm.license_texts import KNOWN, TRIGGERS
 
 
@@ -62,3 +62,23 @@ def test_license_scan(spark):
 def test_known_texts_hold_a_trigger_and_differ():
     assert all(any(t in text.lower() for t in TRIGGERS) for _, text in KNOWN)
     assert len(known_digests()) == len({(canonical_digest(t)) for _, t in KNOWN}) and all(t.isascii() for _, t in KNOWN)
+
+
+def test_copyright_lines_that_open_with_a_name_or_sign(spark):
+    heads = ["Copyright (c) Microsoft Corporation.", "Copyright (c) Jane Doe 2020", "Copyright (C), 2020 X", "Copyright: 2020 X", "Copyright Joyent, Inc.", " * copyright joyent", "Copyright © 2020 X", "Copyright [yyyy] [name]", "(c) The Regents", "Copyright The Regents"]
+    wrapped = {name: " ".join(text.split()).replace(" copyright ", "\ncopyright ").replace(" COPYRIGHT ", "\nCOPYRIGHT ") for name, text in KNOWN if text in (KNOWN[0][1], KNOWN[10][1], KNOWN[12][1])}
+    want = [(head, name) for head in heads for name in wrapped]
+    rows = [(i, f"{head}\n\n{wrapped[name]}") for i, (head, name) in enumerate(want)]
+    got = {r.doc_id: r.license_id for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"]).collect()}
+    assert len(wrapped) == 3 and {i: want[i] for i in got if got[i] != want[i][1]} == {}
+
+
+def test_whole_license_texts(spark):
+    whole = [(name, text) for name, text in ((r.license_id, r.text) for r in known_texts(spark).collect()) if len(text) > 6000]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {name for name, _ in whole}
+    rows = [(i, "\n".join(f"# {line}" for line in text.splitlines())) for i, (_, text) in enumerate(whole)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.license_id for r in license_scan(docs, ["doc_id"]).collect()} == {i: name for i, (name, _) in enumerate(whole)}
+    own = spark.createDataFrame([("own", "Use it as you like."), (None, "x"), ("null", None)], "license_id string, text string")
+    docs = spark.createDataFrame([(1, "use it, as you like"), (2, "a\nUse it as you like\nb"), (3, whole[0][1]), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: (r.license_id, r.notice_ids) for r in license_scan(docs, ["doc_id"], own).collect()} == {1: ("own", ["own"]), 2: (None, ["own"]), 3: (None, []), 4: (None, [])}
