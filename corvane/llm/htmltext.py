@@ -29,6 +29,9 @@ APART_WORDS = frozenset(
     "header masthead footer sidebar aside widget cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments commentlist disqus respond replies reply skip toolbar contentinfo complementary search".split()
 )
+#: First and last parts of layout classes such as no-sidebar, with-comments, header-fixed and search-results: no marks.
+LAYOUT_FIRST = frozenset("no not has have with without is show hide".split())
+LAYOUT_LAST = frozenset("fixed sticky results enabled disabled visible open closed".split())
 ARTICLE_WORDS = frozenset("article articlebody main".split())
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -43,21 +46,25 @@ _P_SCOPE = frozenset("table td th article section div body html".split())
 class Node:
     """An element: its text pieces and child elements in page order, and its counts for the densities."""
 
-    __slots__ = ("tag", "apart", "article", "items", "parent", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "apart", "marked", "article", "items", "parent", "chars", "tags", "link_chars", "link_tags", "density")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None) -> None:
         self.tag, self.parent, self.items = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
         self.apart, self.article = tag in APART or tag in RAW, tag in ("article", "main")
+        self.marked = tag in APART and tag != "head"  # set apart by a mark that the text inside can overrule
         if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "itemprop" in attributes or "hidden" in attributes):
             for name, *values in _ATTRIBUTE.findall(attributes):
                 name = name.lower()
                 if name == "hidden":
-                    self.apart = True
+                    self.apart, self.marked = True, False
+                    break
                 elif name in ("class", "id", "role", "itemprop"):
-                    words = set(re.split(r"[^a-z0-9]+", "".join(values).lower()))
-                    self.apart = self.apart or bool(words & APART_WORDS) and tag not in ("html", "body", "article", "main")
+                    tokens = [re.findall(r"[a-z0-9]+", t) for t in "".join(values).lower().split()]
+                    words = {w for t in tokens if t and not (len(t) > 1 and (t[0] in LAYOUT_FIRST or t[-1] in LAYOUT_LAST)) for w in t}
+                    if words & APART_WORDS and tag not in ("html", "body", "article", "main") and tag not in RAW and not self.apart:
+                        self.apart = self.marked = True
                     self.article = self.article or name in ("role", "itemprop") and bool(words & ARTICLE_WORDS)
 
 
@@ -157,6 +164,39 @@ def rate(body: Node) -> None:
             node.density = c / tags * spread / (math.log(base) if base > 1 + 1e-6 else 1.0)  # no links at all: no adjustment
 
 
+def restore(body: Node) -> None:
+    """Take back the marks of nodes that hold most of the body's text, or the only article or main elements.
+
+    Text in links does not count. Elements that are navigation by their tag are taken back for an article only.
+    """
+    order: list[tuple[Node, bool]] = []  # every element that can show, parents first
+    stack: list[tuple[Node, bool]] = [(body, False)]
+    while stack:
+        node, link = stack.pop()
+        link = link or node.tag == "a"
+        order.append((node, link))
+        stack.extend((c, link) for c in reversed(node.items) if isinstance(c, Node) and (not c.apart or c.marked))
+    if not any(node.marked for node, _ in order):
+        return
+    size: dict[int, int] = {}
+    holds: set[int] = set()
+    free = False  # whether an article or main element with text stands outside all marked nodes
+    for node, link in reversed(order):
+        own = 0 if link else sum(len(" ".join(html.unescape(t).split())) for t in node.items if isinstance(t, str))
+        below = [c for c in node.items if isinstance(c, Node) and id(c) in size]
+        size[id(node)] = own + sum(size[id(c)] for c in below)
+        if any(id(c) in holds or c.article and not c.apart and size[id(c)] for c in below):
+            holds.add(id(node))
+    inner = [body]
+    while inner and not free:
+        node = inner.pop()
+        free = node.article and size[id(node)] > 0
+        inner.extend(c for c in node.items if isinstance(c, Node) and not c.apart)
+    for node, _ in order:
+        if node.marked and (not free and id(node) in holds or (node.tag == "form" or node.tag not in APART) and 2 * size[id(node)] > size[id(body)]):
+            node.apart = False
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order.
 
@@ -165,6 +205,7 @@ def main_nodes(root: Node) -> list[Node]:
     and beside the core each child of a node on that way counts whose own density reaches the threshold.
     """
     body = next((n for n in _walk(root) if n.tag == "body"), root)
+    restore(body)
     measure(body)
     if not body.chars:
         return []

@@ -82,3 +82,16 @@ def test_whole_license_texts(spark):
     own = spark.createDataFrame([("own", "Use it as you like."), (None, "x"), ("null", None)], "license_id string, text string")
     docs = spark.createDataFrame([(1, "use it, as you like"), (2, "a\nUse it as you like\nb"), (3, whole[0][1]), (4, None)], "doc_id long, text string")
     assert {r.doc_id: (r.license_id, r.notice_ids) for r in license_scan(docs, ["doc_id"], own).collect()} == {1: ("own", ["own"]), 2: (None, ["own"]), 3: (None, []), 4: (None, [])}
+
+
+def test_layout_wrappers_keep_the_article():
+    want = main_text(PAGE)
+    opens = [*(f"<div class='{c}'>" for c in ("content no-sidebar", "page has-sidebar", "wrapper header-fixed", "post with-comments", "sidebar")), "<div id='search-results'>", "<form>"]
+    for tag in opens:
+        end = "</form>" if tag == "<form>" else "</div>"
+        page = PAGE.replace('<div id="page">', tag + '<div id="page">').replace("</table></div></div>", "</table></div></div>" + end)
+        assert main_text(page) == want, tag
+    article = "<div class='sidebar'><article><p>The only article here, short.</p></article></div><p>" + "Words of the page outside. " * 9 + "</p>"
+    assert "The only article here, short." in main_text(f"<body>{article}</body>")
+    comments = "<article><p>" + "A long article stands here. " * 30 + "</p></article><div class='comments'><article><p>Nice post.</p></article></div>"
+    assert "Nice" not in main_text(f"<body><main>{comments}</main></body>")
