@@ -42,5 +42,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = step.select(F.col("node").alias("root"), F.col("up").alias("next"))
         nodes = nodes.join(up, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     nodes = materialise(nodes)
+    for step in [first, *steps]:
+        drop_materialised(step)
     smallest = materialise(nodes.groupBy("root").agg(F.min("node").alias("component")))
     return nodes.join(smallest, "root").select("node", "component")

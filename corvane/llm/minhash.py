@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import connected_components
-from corvane.llm.runtime import materialise, utf8
+from corvane.llm.runtime import drop_materialised, materialise, utf8
 from corvane.llm.wordhash import mix, shingle_sets
 
 SLOTS = 1 << 18
@@ -45,6 +47,11 @@ class Circulant:
         return mix(parts.sum(axis=1, dtype=np.uint64) + self.salt).view(np.int64)
 
 
+def set_hash(values: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set of shingle hashes, as two signed integers."""
+    return values.sum(dtype=np.uint64).view(np.int64), mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)
+
+
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands): the set's size, a 128-bit hash of it, and its band hashes."""
 
@@ -58,38 +65,60 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             for row, values in shingle_sets(data, offsets, width):
                 sizes[row] = len(values)
                 if len(values):
-                    a[row] = values.sum(dtype=np.uint64).view(np.int64)
-                    b[row] = mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)
+                    a[row], b[row] = set_hash(values)
                     found.append(circulant.band_hashes(circulant.signature(values)))
-            ends = np.concatenate([[0], np.cumsum((sizes > 0) * bands)]).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(a), pa.array(b), lists], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"]
+                [batch.column(0), pa.array(sizes), pa.array(a), pa.array(b), band_lists(found, sizes > 0, bands)], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"]
             )
 
     schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def shingle_blocks(docs: DataFrame, width: int) -> DataFrame:
-    """(coarse, parts, doc_id, values): the shingle set of each text as sorted little-endian 64-bit integers."""
+def band_lists(found: list[np.ndarray], present: np.ndarray, bands: int) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum(present * bands)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+
+
+def class_sets(classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``classes(node, rep, set_a, set_b)`` -> (node, values): the set as sorted 64-bit integers.
+
+    An id may stand on several texts: only the text whose set has the class's hash counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            wanted = list(zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True))
             data, offsets = utf8(batch.column(3))
-            values = [v.tobytes() for _, v in shingle_sets(data, offsets, width)]
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(values[i : i + 512], pa.binary())], names=["coarse", "parts", "doc_id", "values"])
+            rows, values = [], []
+            for row, found in shingle_sets(data, offsets, width):
+                if len(found) and set_hash(found) == wanted[row]:
+                    rows.append(row)
+                    values.append(found.tobytes())
+            nodes = batch.column(0).take(pa.array(rows, pa.int64()))
+            for i in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_arrays([nodes[i : i + 512], pa.array(values[i : i + 512], pa.binary())], names=["node", "values"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    return classes.join(texts, "rep").select("node", "set_a", "set_b", "text").mapInArrow(run, "node long, values binary")
+
 
-    return docs.select("coarse", "parts", "doc_id", "text").mapInArrow(run, "coarse long, parts int, doc_id long, values binary")
+def long_bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """``sets(node, n, values)`` -> (node, n, bands) with bands of more rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        circulant = Circulant(bands, rows, seed=11)
+        for batch in batches:
+            found = [circulant.band_hashes(circulant.signature(np.frombuffer(v.as_py(), np.uint64))) for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], band_lists(found, np.ones(len(found), bool), bands)], names=["node", "n", "bands"])
 
-def forest(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    return sets.select("node", "n", "values").mapInArrow(run, "node long, n long, bands array<long>")
+
+
+def forest(ids: list[int], side: np.ndarray, cluster: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph of pairs with 100 * intersection >= percent * union.
 
-    Only pairs of different sides count where both sides are present.
+    Only pairs of different clusters count, and of different sides where both sides are present.
     """
     sizes = np.array([len(s) for s in sets], np.int64)
     shared = np.zeros((len(sets), len(sets)), np.float32 if sizes.max(initial=0) < 1 << 24 else np.float64)
@@ -109,7 +138,7 @@ def forest(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: in
         shared += has @ has.T
     inter = np.rint(shared).astype(np.int64)
     linked = 100 * inter >= percent * (sizes[:, None] + sizes[None, :] - inter)
-    linked &= (sizes[:, None] > 0) & (sizes[None, :] > 0)
+    linked &= (sizes[:, None] > 0) & (sizes[None, :] > 0) & (cluster[:, None] != cluster[None, :])
     if side.any() and not side.all():
         linked &= side[:, None] != side[None, :]
     left, right = np.nonzero(np.triu(linked, 1))
@@ -129,28 +158,27 @@ def forest(ids: list[int], side: np.ndarray, sets: list[np.ndarray], percent: in
     return edges
 
 
-def verified_edges(pairs: DataFrame, percent: int) -> DataFrame:
-    """Rows (coarse, i, j, block, doc_id, values), clustered and sorted by (coarse, i, j) -> edges (a, b)."""
+def block_links(pairs: DataFrame, percent: int) -> DataFrame:
+    """Rows (bucket, i, j, block, node, cluster, values), clustered and sorted by (bucket, i, j) -> links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list) -> list[tuple[int, int]]:
-            unique = {r[2]: r for r in rows}  # a document may stand in the table more than once
-            rows = list(unique.values())
+            rows = list({r[2]: r for r in rows}.values())  # rows of one node are equal
             if len(rows) < 2:
                 return []
             side = np.array([r[1] != r[0][1] for r in rows])
-            return forest([r[2] for r in rows], side, [np.frombuffer(r[3], np.uint64) for r in rows], percent)
+            return forest([r[2] for r in rows], side, np.array([r[3] for r in rows]), [np.frombuffer(r[4], np.uint64) for r in rows], percent)
 
         held: list = []
         out: list[tuple[int, int]] = []
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            rest = (batch.column(k).to_pylist() for k in (3, 4))
-            for key, block, doc, values in zip(keys, *rest, batch.column(5), strict=True):
+            rest = (batch.column(k).to_pylist() for k in (3, 4, 5))
+            for key, block, node, cluster, values in zip(keys, *rest, batch.column(6), strict=True):
                 if held and held[0][0] != key:
                     out += solve(held)
                     held = []
-                held.append((key, block, doc, values.as_py()))
+                held.append((key, block, node, cluster, values.as_py()))
             if out:
                 yield edge_batch(out)
                 out = []
@@ -160,54 +188,192 @@ def verified_edges(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def star_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (first, salt, member, node, values), clustered and sorted by the first four -> links (first, node).
+
+    In each (first, salt) the centre's own row comes before its members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, centre = (0, -1), np.zeros(0, np.uint64)
+        for batch in batches:
+            first, salt, member, node = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            lengths = pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False) // 8
+            new = np.flatnonzero((np.diff(first) != 0) | (np.diff(salt) != 0)) + 1
+            found: list[tuple[int, int]] = []
+            for i, j in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                if (int(first[i]), int(salt[i])) != unit:
+                    unit, centre = (int(first[i]), int(salt[i])), np.frombuffer(batch.column(4)[i].as_py(), np.uint64)
+                some = np.arange(i, j)[member[i:j] == 1]
+                if not len(some):
+                    continue
+                flat = np.frombuffer(b"".join(batch.column(4)[some[0] : some[-1] + 1].to_pylist()), np.uint64)
+                size = lengths[some]
+                at = np.minimum(np.searchsorted(centre, flat), len(centre) - 1)
+                inter = np.add.reduceat(centre[at] == flat, np.cumsum(size) - size, dtype=np.int64)
+                linked = some[100 * inter >= percent * (len(centre) + size - inter)]
+                found += zip([unit[0]] * len(linked), node[linked].tolist(), strict=True)
+            if found:
+                yield edge_batch(found)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     a, b = zip(*edges, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 25, rows: int = 5, block: int = 64, block_shingles: int = 200_000) -> DataFrame:
+def band_count(percent: int, rows: int, miss: float = 1e-7) -> int:
+    """Bands of ``rows`` rows with which a pair at ``percent`` shares none with probability ``miss`` at most."""
+    return math.ceil(math.log(miss) / math.log1p(-((percent / 100) ** rows)))
+
+
+class Matcher:
+    """The steps of :func:`near_duplicates` that find links between set classes, over tables in the shared folder."""
+
+    def __init__(self, percent: int, block: int, block_shingles: int) -> None:
+        self.percent, self.block, self.block_shingles = percent, block, block_shingles
+        self.made: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made.append(materialise(df))
+        return self.made[-1]
+
+    def drop(self) -> None:
+        for table in self.made:
+            drop_materialised(table)
+
+    def parts(self, count, total, size: int, shingles: int):
+        return F.greatest(F.lit(1), F.ceil(count / size), F.ceil(total / shingles)).cast("int")
+
+    def shared(self, banded: DataFrame) -> DataFrame:
+        """``banded(node, n, bands)`` -> (bucket, first, node, n): the members of buckets of two or more, first the smallest."""
+        members = banded.select("node", "n", F.explode("bands").alias("bucket"))
+        several = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("bucket", "first")
+        return self.keep(members.join(several, "bucket").select("bucket", "first", "node", "n"))
+
+    def stars(self, shared: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between the first of each bucket and the others. A centre of very many goes to several tasks."""
+        pairs = self.keep(shared.filter("node <> first").select("first", "node", "n").distinct())
+        dealt = self.parts(F.count("*"), F.sum("n"), 1024, 1_000_000)
+        split = self.keep(pairs.groupBy("first").agg(dealt.alias("parts")).filter("parts > 1"))
+        salted = pairs.join(split, "first", "left").select("first", F.pmod(F.xxhash64("node", F.lit("salt")), F.coalesce("parts", F.lit(1))).alias("salt"), F.lit(1).alias("member"), "node")
+        centres = salted.select("first", "salt").distinct().select("first", "salt", F.lit(0).alias("member"), F.col("first").alias("node"))
+        rows = salted.unionByName(centres).join(sets.select("node", "values"), "node").select("first", "salt", "member", "node", "values")
+        return self.keep(star_links(rows.repartition("first", "salt").sortWithinPartitions("first", "salt", "member", "node"), self.percent))
+
+    def clusters(self, links: DataFrame) -> DataFrame:
+        return self.keep(connected_components(links).select("node", F.col("component").alias("cluster")))
+
+    def rest(self, shared: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What the stars leave: (bucket, node, n, cluster) without the firsts, and the buckets that hold several clusters.
+
+        Buckets with the same members count once. ``major`` is a bucket's largest cluster, ``minors`` the number
+        of members outside it.
+        """
+        others = shared.filter("node <> first").join(clusters, "node", "left")
+        placed = self.keep(others.select("bucket", "node", "n", F.coalesce("cluster", "node").alias("cluster")))
+        each = placed.groupBy("bucket", "cluster").agg(
+            F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit("h"))).alias("g")
+        )
+        open_ = each.groupBy("bucket").agg(
+            F.count("*").alias("clusters"), F.max_by("cluster", "m").alias("major"), (F.sum("m") - F.max("m")).alias("minors"), F.max("m").alias("majors"),
+            (F.sum("total") - F.max_by("total", "m")).alias("minor_total"), F.max_by("total", "m").alias("major_total"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"),
+        )
+        same = open_.filter("clusters > 1").groupBy("h", "g", "minors", "majors").agg(F.min("bucket").alias("bucket"))
+        return placed, self.keep(open_.join(same.select("bucket"), "bucket").drop("h", "g", "clusters"))
+
+    def blocks(self, placed: DataFrame, several: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links between different clusters of one bucket: minors with each other and with the members of the major.
+
+        Both are dealt into blocks; each pair of blocks with a minor one is a unit of work that emits a spanning
+        forest of its links. A major is shipped once for each block of minors.
+        """
+        n_minor = self.parts(F.col("minors"), F.col("minor_total"), self.block, self.block_shingles)
+        n_major = self.parts(F.col("majors"), F.col("major_total"), 4 * self.block, 2 * self.block_shingles)
+        at = several.select("bucket", "major", n_minor.alias("n_minor"), n_major.alias("n_major"))
+        is_major, spread = F.col("cluster") == F.col("major"), F.xxhash64("node", F.lit("block"))
+        own = F.when(is_major, F.col("n_minor") + F.pmod(spread, F.col("n_major"))).otherwise(F.pmod(spread, F.col("n_minor"))).cast("int")
+        last = F.when(is_major, F.col("n_minor") - 1).otherwise(F.col("n_minor") + F.col("n_major") - 1)
+        dealt = placed.join(at, "bucket").select("bucket", "node", "cluster", own.alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+        keyed = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "cluster")
+        rows = keyed.join(sets.select("node", "values"), "node").select("bucket", "i", "j", "block", "node", "cluster", "values")
+        return self.keep(block_links(rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), self.percent))
+
+    def contract(self, clusters: DataFrame, links: DataFrame) -> DataFrame:
+        """Clusters after more links between their nodes."""
+        side = lambda c, to: clusters.select(F.col("node").alias(c), F.col("cluster").alias(to))
+        ends = links.join(side("a", "ca"), "a", "left").join(side("b", "cb"), "b", "left")
+        between = self.keep(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct())
+        if between.isEmpty():
+            return clusters
+        merged = self.clusters(between)
+        up = merged.select(F.col("node").alias("cluster"), F.col("cluster").alias("top"))
+        old = clusters.join(up, "cluster", "left").select("node", F.coalesce("top", "cluster").alias("cluster"))
+        return self.keep(old.unionByName(merged.join(clusters, "node", "left_anti")))
+
+
+def shared_id_links(full: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the set classes of texts that stand under one id; none if no id has two sets."""
+    ends = [f(c).alias(f"{c}_{n}") for c in ("set_a", "set_b") for n, f in (("least", F.min), ("most", F.max))]
+    several = full.filter("doc_id is not null").groupBy("doc_id").agg(*ends).filter("set_a_least <> set_a_most or set_b_least <> set_b_most").select("doc_id")
+    if several.isEmpty():
+        return None
+    rows = full.join(several, "doc_id", "left_semi").select("doc_id", "set_a", "set_b").distinct().join(classes, ["set_a", "set_b"]).select("doc_id", "node")
+    return rows.join(rows.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b").filter("a <> b")
+
+
+def near_duplicates(
+    docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 25, rows: int = 5, long_rows: int = 12, hot: int = 1024, block: int = 64, block_shingles: int = 200_000
+) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, n_shingles, component_id, kept), one row per row.
 
     Two documents are linked when 100 * |intersection| >= ``percent`` * |union| of their sets of distinct
     ``width``-word shingles; ``component_id`` is the smallest doc_id reachable over links.
 
     1. Every text becomes a set size, a 128-bit set hash and ``bands`` band hashes of a circulant MinHash
-       signature. Equal sets collapse to the smallest doc_id before anything is paired.
-    2. Members of a band bucket point at the bucket's smallest member; the components of that graph are the
-       candidate groups. A pair at similarity 0.85 shares no band with probability (1 - 0.85**5)**25 = 4e-7.
-    3. Each candidate group is dealt into blocks of about ``block`` members; every pair of blocks of a group
-       is one small unit of work that computes all exact Jaccard similarities inside and emits only a
-       spanning forest of the links, so no pairs of a group are ever materialised.
-    4. Components over the verified links.
+       signature. Texts of equal sets are one class before anything is paired. A pair at similarity 0.85 shares
+       no band with probability (1 - 0.85**5)**25 = 4e-7.
+    2. In each band bucket the first member is compared with every other on full sets, and the verified links
+       are contracted to clusters: a bucket of near copies of its first is settled by as many comparisons as it
+       has members.
+    3. A bucket that still holds several clusters is settled in blocks: the members outside its largest cluster
+       with each other and with that cluster. Buckets with the same members count once. Where more than ``hot``
+       members stand outside, they are first dealt anew by bands of ``long_rows`` rows, as many as keep the
+       chance of a missed pair below 1e-7, and steps 2 and 3 run on those buckets.
+    4. Components over the verified links. Texts under one doc_id belong to one document, so they are linked.
 
     Null, empty and blank texts have an empty set, link with nothing and keep their own id. Rows that repeat
     a text share a component; a row with a null id gets the component of its text, null if alone. Other columns
     are ignored, whatever their names. An empty table gives an empty result.
     """
+    m = Matcher(percent, block, block_shingles)
     sketch = materialise(sketches(docs, width, bands, rows))
     full = sketch.filter("n_shingles > 0")
-    classes = materialise(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")).filter("rep is not null"))
-    keyed = classes.withColumnRenamed("rep", "doc_id").join(full, ["doc_id", "set_a", "set_b"])
-    banded = keyed.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
-    buckets = materialise(banded.groupBy("band", "bucket").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))
-    stars = banded.join(buckets, ["band", "bucket"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    groups = materialise(connected_components(stars).withColumnRenamed("component", "coarse"))
-
-    members = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    sizes = members.groupBy("coarse").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    parts = F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("total") / block_shingles)).cast("int")
-    split = materialise(sizes.select("coarse", parts.alias("parts")).filter("parts > 1"))
-    members = groups.join(split, "coarse", "left").select(F.col("node").alias("doc_id"), "coarse", F.coalesce("parts", F.lit(1)).alias("parts"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = shingle_blocks(members.join(texts, "doc_id"), width)
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    pairs = sets.select("coarse", "block", "doc_id", "values", other).select("coarse", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "values")
-    pairs = pairs.repartition("coarse", "i", "j").sortWithinPartitions("coarse", "i", "j")
-    links = verified_edges(pairs, percent)
-
-    joined = connected_components(links).withColumnRenamed("node", "rep")
-    final = materialise(classes.join(joined, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component")))
+    grouped = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+    classes = m.keep(grouped.filter("rep is not null").withColumn("node", F.monotonically_increasing_id()))
+
+    shared = m.shared(classes)
+    involved = shared.select("node").distinct().join(classes.select("node", "rep", "set_a", "set_b"), "node")
+    values = class_sets(involved, docs, width)
+    sets = m.keep(values.withColumn("n", (F.octet_length("values") / 8).cast("long")))
+    clusters = m.clusters(m.stars(shared, sets))
+    placed, several = m.rest(shared, clusters)
+    crowded = several.filter(F.col("minors") > hot)
+    if not crowded.isEmpty():
+        nodes = placed.join(crowded.select("bucket"), "bucket", "left_semi").select("node").distinct()
+        longer = m.shared(m.keep(long_bands(sets.join(nodes, "node", "left_semi"), band_count(percent, long_rows), long_rows)))
+        clusters = m.contract(clusters, m.stars(longer, sets))
+        clusters = m.contract(clusters, m.blocks(*m.rest(longer, clusters), sets))
+    clusters = m.contract(clusters, m.blocks(placed, several.filter(F.col("minors") <= hot), sets))
+    if (same_id := shared_id_links(full, classes)) is not None:
+        clusters = m.contract(clusters, same_id)
+
+    placed = classes.join(clusters, "node", "left").select("set_a", "set_b", "rep", F.coalesce("cluster", "node").alias("cluster"))
+    least = placed.groupBy("cluster").agg(F.min("rep").alias("component"))
+    final = materialise(placed.join(least, "cluster").select("set_a", "set_b", "component"))
+    m.drop()
     out = sketch.join(final, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

@@ -15,10 +15,12 @@ _LOCAL_SCRATCH: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset and the master local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL_SCRATCH:
         _LOCAL_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="corvane-"))
     return _LOCAL_SCRATCH[0]

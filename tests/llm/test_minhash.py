@@ -22,6 +22,10 @@ def brute(rows, percent=85, width=5):
             inter = len(a & sets[j])
             if inter and 100 * inter >= percent * (len(a) + len(sets[j]) - inter):
                 up[top(i)] = top(j)
+    first = {}
+    for i, (doc, _) in enumerate(rows):  # texts under one id are one document
+        if sets[i] and doc is not None:
+            up[top(i)] = top(first.setdefault(doc, i))
     least = {}
     for i, (doc, _) in enumerate(rows):
         least[top(i)] = min(doc, least.get(top(i), doc))
@@ -56,8 +60,34 @@ def test_against_brute_force(spark):
     rng.shuffle(texts)
     rows = [(i * 3, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = near_duplicates(docs, block=16, block_shingles=3000).collect()
-    assert {tuple(r)[:4] for r in got} == brute(rows) and len(got) == len(rows)
+    expected = brute(rows)
+    for options in ({"block": 16, "block_shingles": 3000}, {"hot": 3, "block": 4}):
+        got = near_duplicates(docs, **options).collect()
+        assert {tuple(r)[:4] for r in got} == expected and len(got) == len(rows)
+
+
+def test_one_id_on_several_texts(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(900)]
+    a, b = rng.sample(words, 100), rng.sample(words, 100)
+    near = lambda text: [*text[:-1], "other"]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join(near(a))), (8, " ".join(near(b))), (9, " ".join(rng.sample(words, 100))), (5, "")]
+    for order in (rows, rows[::-1]):
+        got = near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True)]
+
+
+def test_large_group_of_one_template(spark):
+    """20,000 variants of a template: every set meets its centre once, no block holds them all."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(20_000):
+        text = list(base)
+        text[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 20_000)]
 
 
 def test_nulls_repeats_and_clashing_columns(spark):
