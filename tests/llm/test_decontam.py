@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from corvane.llm.decontam import Index, Item, contaminated, words_of
 
 
@@ -25,12 +27,52 @@ def test_retrieves_all_above_threshold():
     for n in (0, 1, 40, 127, 128, 129, 700, 9000):
         for threshold in (0.15, 0.3, 0.6):
             text = prose(rng, n) + " " + " ".join(items[n % 150].words) + " " + prose(rng, n // 2)
-            got = {i for _, found in index.passages(text, threshold, 128) for i in found}
-            assert got == brute(index, text, threshold, 128)
-            hits += len(got)
+            got: dict[int, set[int]] = {0: set(), 1: set(), 2: set()}
+            for number, _, found in index.passages([text, "", text[: len(text) // 2]], threshold, 128):
+                got[number].update(found)
+            assert got == {0: brute(index, text, threshold, 128), 1: set(), 2: brute(index, text[: len(text) // 2], threshold, 128)}
+            hits += len(got[0])
     assert hits > 100
 
 
+def test_pivots_skip_blocks():
+    """A passage whose terms reach the threshold in one block only reads few others."""
+    rng = random.Random(6)
+    items = [Item(i, " ".join(["the", *(f"i{i}w{k}" for k in range(20))]), 5) for i in range(800)]
+    index = Index(items)
+    reads = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray):
+                reads.append(len(at))
+            return np.ndarray.__getitem__(self, at)
+
+    index.maximum = index.maximum.view(Counted)
+    text = " ".join(["the"] * 50 + items[rng.randrange(800)].words)
+    assert len(list(index.passages([text], 0.6, 128))) == 1
+    assert 0 < sum(map(int, reads)) < 100 < index.blocks * 2
+
+
+def test_recall_of_the_threshold():
+    """Every item whose runs stand in a text at 0.8 is retrieved: all items against all texts."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.randint(8, 60)), prose(rng, rng.randint(2, 12))) for i in range(60)]
+    index = Index([Item(i, f"{q}. {a}.", 5) for i, q, a in items], reach=(0.8, 5, 0.6))
+    texts = []
+    for _ in range(300):
+        _, q, a = rng.choice(items)
+        words = f"{q} {a}".split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = "edit"
+        texts.append(" ".join([prose(rng, rng.randint(0, 90)), *words, prose(rng, rng.randint(0, 90))]))
+    got = [set() for _ in texts]
+    for number, passage, hits in index.passages(texts, 0.6, max(128, 2 * index.longest)):
+        got[number] |= {index.items[h].item_id for h in hits if index.items[h].share(passage, 5) >= 0.8}
+    want = [set(leaked_in(text, items)) for text in texts]
+    assert sum(map(len, want)) > 150 and got == want
+
+
 def test_finds_leaks_and_leaves_clean_texts(spark):
     rng = random.Random(4)
     tests = [(i, f"{prose(rng, 25)}. {prose(rng, 8)}.") for i in range(30)] + [(30, "Short one. Yes."), (31, ""), (None, prose(rng, 20)), (32, None), (7, "a b")]
