@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.pretokens import WORD_PATTERN, library, little_endian
+from corvane.llm.pretokens import WORD_PATTERN, id_bytes, little_endian, pretoken_table
+from corvane.llm.runtime import materialise
 
-#: Documents that one group packs together; each group ends with at most about one part-filled sequence.
-GROUP_DOCUMENTS = 8192
+#: Pieces that one group packs together.
+GROUP_PIECES = 8192
+#: Share of a sequence's tokens that may stay free without its pieces being packed again.
+SLACK = 1 / 64
+#: Weights of tokens, pieces and attention cost in the choice of a sequence.
+WEIGHTS = (1.0, 0.25, 0.25)
 
 
 @dataclass(frozen=True)
@@ -35,13 +41,12 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 1)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_to_ids = library(vocabulary, WORD_PATTERN, "ids", little_endian)
+        ids_of = pretoken_table(vocabulary, WORD_PATTERN, str.lower, id_bytes)
         tail = little_endian([end_id])
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            encoded = words_to_ids.per_text(batch.column(1), str.lower, b"".join, little_endian)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                ids += tail
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = b"".join(map(ids_of.__getitem__, ids_of.split(text.as_py() or ""))) + tail
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     doc.append(doc_id)
@@ -58,7 +63,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 4096, end_id: int = 1)
     return texts.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: np.ndarray, capacity: Capacity, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def best_fit(lengths: np.ndarray, capacity: Capacity, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset in tokens) of each item, by vector best-fit decreasing.
 
     Items and residuals are vectors of tokens, pieces and attention cost, each as a share of its capacity. An
@@ -66,70 +71,87 @@ def best_fit(lengths: np.ndarray, capacity: Capacity, weights: tuple[float, floa
     norm of what would remain (``norm``) or the greatest weighted dot product of item and residual (``dot``),
     ties to the earliest; a new bin is opened only where none can take it.
     """
-    caps = np.array([capacity.tokens, capacity.pieces, capacity.attention], float)
-    w = np.array(weights)
-    dims = np.flatnonzero(w)
+    caps = np.array([[capacity.tokens], [capacity.pieces], [capacity.attention]], float)
     n = len(lengths)
+    needs = np.stack([lengths, np.ones(n, np.int64), lengths * lengths])
+    if n and (needs.max(axis=1) > caps[:, 0]).any():
+        raise ValueError(f"a piece of {lengths.max()} tokens exceeds the capacity of an empty sequence")
+    scale = np.sqrt(np.array(weights)[:, None]) / caps  # a weighted residual is scale * residual
     where, offset = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    tokens, count, cost = (np.zeros(n, np.int64) for _ in range(3))  # residuals of open bins
-    number = np.zeros(n, np.int64)
+    left, number = np.zeros((3, n), np.int64), np.zeros(n, np.int64)  # residuals and numbers of open bins
     n_open = n_bins = 0
-    order = np.argsort(-lengths, kind="stable")
-    least = int(lengths.min()) if n else 0
-    for done, item in enumerate(order):
-        size = int(lengths[item])
-        square = size * size
-        fits = np.flatnonzero((tokens[:n_open] >= size) & (count[:n_open] >= 1) & (cost[:n_open] >= square))
+    least = needs.min(axis=1) if n else None
+    for done, item in enumerate(np.argsort(-lengths, kind="stable")):
+        need = needs[:, item]
+        fits = np.flatnonzero((left[:, :n_open] >= need[:, None]).all(axis=0))
         if len(fits):
-            left = (tokens[fits] - size, count[fits] - 1, cost[fits] - square)
+            room = left[:, fits]
             if rule == "norm":
-                score = sum(w[d] * (left[d] / caps[d]) ** 2 for d in dims)
-                at = fits[int(np.argmin(score))]
+                rest = (room - need[:, None]) * scale
+                at = fits[int(np.argmin(np.einsum("ij,ij->j", rest, rest)))]
             else:
-                need = (size, 1, square)
-                score = sum(w[d] * (need[d] / caps[d]) * ((left[d] + need[d]) / caps[d]) for d in dims)
-                at = fits[int(np.argmax(score))]
+                at = fits[int(np.argmax((need[:, None] * scale * scale * room).sum(axis=0)))]
         else:
-            if size > capacity.tokens or square > capacity.attention or capacity.pieces < 1:
-                raise ValueError(f"a piece of {size} tokens exceeds the capacity of an empty sequence")
             at = n_open
-            tokens[at], count[at], cost[at], number[at] = capacity.tokens, capacity.pieces, capacity.attention, n_bins
+            left[:, at], number[at] = caps[:, 0], n_bins
             n_open += 1
             n_bins += 1
-        where[item], offset[item] = number[at], capacity.tokens - tokens[at]
-        tokens[at] -= size
-        count[at] -= 1
-        cost[at] -= square
-        if done % 512 == 511:  # bins that can take nothing more are closed
-            keep = np.flatnonzero((tokens[:n_open] >= least) & (count[:n_open] >= 1) & (cost[:n_open] >= least * least))
-            for residual in (tokens, count, cost, number):
-                residual[: len(keep)] = residual[keep]
+        where[item], offset[item] = number[at], capacity.tokens - left[0, at]
+        left[:, at] -= need
+        if done % 64 == 63:  # bins that can take nothing more are closed
+            keep = np.flatnonzero((left[:, :n_open] >= least[:, None]).all(axis=0))
+            left[:, : len(keep)], number[: len(keep)] = left[:, keep], number[keep]
             n_open = len(keep)
     return where, offset
 
 
-def pack(cut: DataFrame, groups: int, capacity: Capacity, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> DataFrame:
-    """``cut(doc_id, piece, start, length, ids_crc32)`` with ``sequence_id`` and ``offset``.
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-    Pieces are dealt by a hash into ``groups`` groups of bounded size, each packed on its own.
-    """
-    keyed = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+
+def _pack_groups(cut: DataFrame, groups: int, level: int, capacity: Capacity, weights: tuple[float, float, float], rule: str) -> DataFrame:
+    keyed = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
         where, offset = best_fit(rows["length"].to_numpy(np.int64), capacity, weights, rule)
-        rows["sequence_id"] = where + (rows["part"].to_numpy(np.int64) << 32)
+        rows["sequence_id"] = where + (rows["part"].to_numpy(np.int64) << 20) + (level << 58)
         rows["offset"] = offset
         return rows.drop(columns="part")
 
-    return keyed.groupBy("part").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return keyed.groupBy("part").applyInPandas(run, PLACED)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: Capacity = Capacity(), weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> DataFrame:
+def pack(cut: DataFrame, capacity: Capacity = Capacity(), weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", group: int = GROUP_PIECES) -> DataFrame:
+    """``cut(doc_id, piece, start, length, ids_crc32)``, a written table, with ``sequence_id`` and ``offset``.
+
+    Pieces are dealt by a hash into groups of about ``group`` pieces, each packed on its own. What ends in
+    sequences with more than ``SLACK`` of their tokens free is dealt and packed again, until one group holds it
+    all or a round gains nothing; so part-filled sequences do not grow with the number of groups.
+    """
+    columns, done = cut.columns, []
+    groups, level = max(1, -(-cut.count() // group)), 0
+    placed = materialise(_pack_groups(cut, groups, level, capacity, weights, rule))
+    while groups > 1 and level < 20:
+        filled = placed.groupBy("sequence_id").agg(F.sum("length").alias("filled"), F.count("*").alias("n"))
+        loose = materialise(filled.filter(F.col("filled") < capacity.tokens * (1 - SLACK)))
+        pieces_left, bins, tokens = loose.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum("filled"), F.lit(0))).first()
+        fewer = max(1, -(-pieces_left // group))
+        if bins - -(-tokens // capacity.tokens) < fewer:  # no more to gain than a round may leave
+            break
+        done.append(placed.join(loose, "sequence_id", "left_anti").select(*columns, "sequence_id", "offset"))
+        level += 1
+        groups, before = fewer, groups
+        placed = materialise(_pack_groups(placed.join(loose, "sequence_id", "left_semi").select(*columns), groups, level, capacity, weights, rule))
+        if groups >= before:
+            break
+    return reduce(DataFrame.unionByName, done, placed)
+
+
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: Capacity = Capacity(), weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> DataFrame:
     """Tokenise, cut and pack ``docs(doc_id, text)``: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
     Every document is packed once per row, repeated rows included; null and empty texts are one-token
-    documents; an empty table gives an empty result; other columns have no effect.
+    documents; a very long text is many pieces, dealt like all others; an empty table gives an empty result; other
+    columns have no effect, whatever their names.
     """
-    groups = max(1, -(-docs.count() // GROUP_DOCUMENTS))
-    return pack(pieces(docs, vocabulary, capacity.tokens), groups, capacity, weights, rule)
+    return pack(materialise(pieces(docs, vocabulary, capacity.tokens)), capacity, weights, rule)

@@ -1,25 +1,28 @@
-"""Splitting of texts into the pre-tokens of two public vocabularies, and caches of what each pre-token becomes.
+"""Pre-tokens of texts under two public vocabularies, and a worker's table of what each distinct one becomes.
 
-Texts whose characters all lie in a plain range are split here, by the vocabulary's own pattern, and each
-distinct pre-token goes to the tokenizers library once; any other text, and any that may hold a special
-token's string, goes to the library whole. Both ways give the same ids.
+Special strings are cut out first, as the tokenizers library does. Parts whose characters all lie in a plain range
+are split here, by the vocabulary's own pattern; parts in any other script are normalised and split by the
+library. Either way each distinct pre-token goes to the vocabulary's model once, and the ids are the library's.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 from array import array
+from collections.abc import Callable
 from itertools import islice
+from types import SimpleNamespace
 
 from tokenizers import Tokenizer
 
 # Latin letters, digits, ASCII signs and common typographic marks: classes and cases that no version disputes,
 # already in composed form, with no white space besides space, tab and line ends.
-_PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\u012f\u0131-\u024f\u2013\u2014\u2018\u2019\u201c-\u201e\u2022\u2026\u20ac]*")
+_PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ɏ–—‘’“-„•…€]*")
 # Letters and digits of that range, and the patterns of the two vocabularies over it (fixed values).
-_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORD_PATTERN = rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+"
 BYTE_PATTERN = rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+"
@@ -27,14 +30,10 @@ BYTE_PATTERN = rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_NUMBERS}]+| ?[^\s{_
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _SPACE_SIGN = chr(_BYTE_SIGNS[0x20])
+# First characters, in no plain text, of pre-tokens that are already in signs and of special strings.
+_IN_SIGNS, _SPECIAL = "\x00", "\x01"
 #: Distinct pre-tokens that a worker remembers. Beyond that it keeps the half it met first: common ones come early.
 CACHE = 400_000
-#: Texts that are split together.
-CHUNK = 256
-
-
-def plain(text: str) -> bool:
-    return "<|" not in text and _PLAIN.fullmatch(text) is not None
 
 
 def little_endian(ids: list[int]) -> bytes:
@@ -45,51 +44,64 @@ def little_endian(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class Library:
-    """One vocabulary in this worker, with a cache from pre-token to what ``value`` makes of its ids."""
+class Pretokens(dict):
+    """From each distinct pre-token that this worker met to ``value`` of the model's pieces for it."""
 
-    def __init__(self, path: str, pattern: str, value) -> None:
+    def __init__(self, path: str, pattern: str, prepare: Callable[[str], str], value: Callable[[list], object]) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.split = re.compile(pattern).findall
-        self.value = value
-        self.known: dict = {}
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def per_text(self, texts, prepare, total, whole):
-        """For each text (null: empty), ``total`` over the values of its pre-tokens, or ``whole`` of the library's ids."""
-        for i in range(0, len(texts), CHUNK):
-            part = [t.as_py() or "" for t in texts[i : i + CHUNK]]
-            words = [self.split(prepare(t)) if plain(t) else None for t in part]
-            met = set().union(*filter(None, words))
-            if not met <= self.known.keys():
-                self.learn(met)
-            known = self.known
-            for t, w in zip(part, words, strict=True):
-                yield whole(self.ids(t)) if w is None else total([known[x] for x in w])
-
-    def learn(self, met: set[str]) -> None:
-        """Have the vocabulary's model encode those of the distinct pre-tokens ``met`` that are not known yet."""
-        new = list(met - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known = dict(islice(self.known.items(), CACHE // 2))
-            new = list(met - self.known.keys())
-        pieces, value = self.tokenizer.model.tokenize, self.value
-        for p in new:
-            signs = p.replace(" ", _SPACE_SIGN) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(_BYTE_SIGNS)
-            self.known[p] = value([piece.id for piece in pieces(signs)])
-
-
-_libraries: dict[tuple[str, str, str], Library] = {}
-
-
-def library(path: str, pattern: str, kind: str, value) -> Library:
-    """The worker's library for a vocabulary; it outlives a task, so later tasks find its cache warm."""
-    key = (path, pattern, kind)
-    if key not in _libraries:
-        _libraries[key] = Library(path, pattern, value)
-    return _libraries[key]
+        self.prepare, self.find, self.value = prepare, re.compile(pattern).findall, value
+        with open(path, encoding="utf-8") as f:
+            added = {t["content"]: t for t in json.load(f)["added_tokens"]}
+        if any(t[flag] for t in added.values() for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("special strings that take part in the splitting of their surroundings are not supported")
+        self.special = {s: t["id"] for s, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a whole text, in order: keys of this table."""
+        if self.cut is None or self.cut.search(text) is None:
+            return self._part(text)
+        out: list[str] = []
+        for k, part in enumerate(self.cut.split(text)):
+            out += [_SPECIAL + part] if k % 2 else self._part(part)
+        return out
+
+    def _part(self, text: str) -> list[str]:
+        if _PLAIN.fullmatch(text):
+            return self.find(self.prepare(text))
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return [_IN_SIGNS + signs for signs, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def __missing__(self, pretoken: str):
+        if len(self) >= CACHE:
+            for old in list(islice(self, CACHE // 2, None)):
+                del self[old]
+        if pretoken[:1] == _SPECIAL:
+            pieces = [SimpleNamespace(id=self.special[pretoken[1:]])]
+        else:
+            if pretoken[:1] == _IN_SIGNS:
+                signs = pretoken[1:]
+            elif pretoken.isascii() and pretoken.isprintable():
+                signs = pretoken.replace(" ", _SPACE_SIGN)
+            else:
+                signs = pretoken.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            pieces = self.tokenizer.model.tokenize(signs)
+        self[pretoken] = made = self.value(pieces)
+        return made
+
+
+def id_bytes(pieces: list) -> bytes:
+    return little_endian([p.id for p in pieces])
+
+
+_tables: dict[tuple, Pretokens] = {}
+
+
+def pretoken_table(path: str, pattern: str, prepare: Callable[[str], str], value: Callable[[list], object]) -> Pretokens:
+    """The worker's table for a vocabulary; it outlives a task, so later tasks find it filled."""
+    key = (path, pattern, value.__name__)
+    if key not in _tables:
+        _tables[key] = Pretokens(path, pattern, prepare, value)
+    return _tables[key]

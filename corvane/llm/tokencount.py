@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,25 +10,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.pretokens import BYTE_PATTERN, library
+from corvane.llm.pretokens import BYTE_PATTERN, pretoken_table
 from corvane.llm.runtime import utf8
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, n_bytes, n_tokens, over_limit), one row per row, of whole texts.
 
-    Pieces are counted once per distinct pre-token that a worker meets, and a text's count is the sum, over the
-    pre-tokens it holds, of the pieces of each; no ids are made for a text. That join of texts and counts stays
-    in the task: pre-token frequencies shuffled by pre-token would take several times the input on disk.
-    Texts with characters outside a plain range, or with a special token's string, are counted by the library
-    whole. A null text counts as empty: no bytes, no tokens. Row order and other columns have no effect.
+    Each text becomes the frequencies of its distinct pre-tokens. They are joined to the table of piece counts,
+    made once per distinct pre-token that a worker meets, and a text's count is the sum of frequency times
+    pieces; no ids are made. That join stays in the task: frequencies shuffled by pre-token would take several
+    times the input on disk. Texts of any script and with a special token's string go this way. A null text counts
+    as empty: no bytes, no tokens. An empty table gives an empty result; row order and other columns have no effect.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = library(vocabulary, BYTE_PATTERN, "pieces", len)
+        pieces = pretoken_table(vocabulary, BYTE_PATTERN, str, len)
         for batch in batches:
             n_bytes = np.diff(utf8(batch.column(1))[1])
-            n_tokens = np.fromiter(pieces.per_text(batch.column(1), str, sum, len), np.int64, batch.num_rows)
+            n_tokens = np.zeros(batch.num_rows, np.int64)
+            for row, text in enumerate(batch.column(1)):
+                frequencies = Counter(pieces.split(text.as_py() or ""))
+                n_tokens[row] = sum(n * pieces[pretoken] for pretoken, n in frequencies.items())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

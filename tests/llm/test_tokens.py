@@ -6,8 +6,9 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from corvane.llm.packing import Capacity, best_fit, pack_documents
-from corvane.llm.pretokens import BYTE_PATTERN, WORD_PATTERN, Library, plain
+from corvane.llm.packing import WEIGHTS, Capacity, best_fit, pack, pack_documents
+from corvane.llm.pretokens import BYTE_PATTERN, WORD_PATTERN, Pretokens
+from corvane.llm.runtime import materialise
 from corvane.llm.tokencount import token_counts
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -19,25 +20,21 @@ TEXTS = [
 
 @pytest.mark.parametrize(("path", "pattern", "prepare"), [(WORDS, WORD_PATTERN, str.lower), (BYTES, BYTE_PATTERN, str)])
 def test_ids_equal_the_library(path, pattern, prepare):
-    tokenizer, library = Tokenizer.from_file(path), Library(path, pattern, list)
+    tokenizer, table = Tokenizer.from_file(path), Pretokens(path, pattern, prepare, lambda pieces: [p.id for p in pieces])
     texts = [t or "" for t in TEXTS] * 2
-    from pyarrow import array
-
-    got = list(library.per_text(array(texts), prepare, lambda parts: [i for p in parts for i in p], list))
+    got = [[i for p in table.split(t) for i in table[p]] for t in texts]
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert any(plain(t) for t in texts) and not all(plain(t) for t in texts)
 
 
 def test_forgetting_changes_no_result(monkeypatch):
-    from pyarrow import array
-
     from corvane.llm import pretokens
 
     monkeypatch.setattr(pretokens, "CACHE", 40)
     texts = [f"some {i} words {chr(97 + i % 26) * (i % 7 + 1)} again" for i in range(900)]
-    got = list(Library(BYTES, BYTE_PATTERN, len).per_text(array(texts), str, sum, len))
+    table = Pretokens(BYTES, BYTE_PATTERN, str, len)
+    got = [sum(table[p] for p in table.split(t)) for t in texts]
     tokenizer = Tokenizer.from_file(BYTES)
-    assert got == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert got == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts] and len(table) <= 40
 
 
 def test_token_counts(spark):
@@ -89,3 +86,69 @@ def test_every_capacity_holds(rule):
         assert sorted(offset[where == b].tolist()) == [0, *np.cumsum(own[np.argsort(offset[where == b])])[:-1].tolist()]
     with pytest.raises(ValueError, match="exceeds"):
         best_fit(np.array([2000]), capacity)
+
+
+def brute_best_fit(lengths, capacity, weights, rule):
+    """The same choice with every open bin scored for every item, one at a time."""
+    caps, bins, out = (capacity.tokens, capacity.pieces, capacity.attention), [], {}
+    for item in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need = (int(lengths[item]), 1, int(lengths[item]) ** 2)
+        scored = []
+        for k, left in enumerate(bins):
+            if all(a >= b for a, b in zip(left, need, strict=True)):
+                if rule == "norm":
+                    score = sum(w * ((a - b) / c) ** 2 for w, a, b, c in zip(weights, left, need, caps, strict=True))
+                else:
+                    score = -sum(w * a / c * b / c for w, a, b, c in zip(weights, left, need, caps, strict=True))
+                scored.append((round(score, 12), k))
+        if not scored:
+            bins.append(list(caps))
+            scored = [(0.0, len(bins) - 1)]
+        k = min(scored)[1]
+        out[item] = (k, caps[0] - bins[k][0])
+        bins[k] = [a - b for a, b in zip(bins[k], need, strict=True)]
+    return out
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [Capacity(), Capacity(tokens=1000, pieces=5, attention=420_000)])
+def test_choice_of_bins_against_brute_force(rule, capacity):
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 600, 400)
+    for weights in (WEIGHTS, (0.3, 1.0, 2.0)):
+        where, offset = best_fit(lengths, capacity, weights, rule)
+        want = brute_best_fit(lengths, capacity, weights, rule)
+        assert [(int(a), int(b)) for a, b in zip(where, offset, strict=True)] == [want[i] for i in range(len(lengths))]
+
+
+def test_weights_change_the_choice():
+    """In production capacities too, pieces and attention cost have a say in the choice."""
+    lengths = np.random.default_rng(4).integers(1, 1500, 600)
+    tokens_only, _ = best_fit(lengths, Capacity(), (1.0, 0.0, 0.0))
+    all_three, _ = best_fit(lengths, Capacity())
+    assert (tokens_only != all_three).any() and all_three.max() <= 1.01 * lengths.sum() / 4096 + 1
+
+
+def test_leftovers_of_groups_are_packed_again(spark):
+    """Many groups leave no more part-filled sequences than one; very many pieces of one document too."""
+    rows = [(1, k, 4096 * k, 4096 if k % 3 else 1500, k) for k in range(600)] + [(10 + i, 0, 0, 30 + i * 7 % 900, i) for i in range(2400)]
+    cut = materialise(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    placed = pack(cut, group=100).collect()
+    assert sorted(tuple(r)[:5] for r in placed) == sorted(rows)
+    rooms = defaultdict(list)
+    for r in placed:
+        rooms[r.sequence_id].append((r.offset, r.length))
+    for places in rooms.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    total = sum(r[3] for r in rows)
+    once = len({r.sequence_id for r in pack(cut, group=10**6).collect()})
+    assert len(rooms) <= once + 3 and once <= 1.01 * total / 4096 + 1
+
+
+def test_packing_ignores_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c", 7, 8), (1, "a b c", 7, 8), (None, None, 1, 1)], "doc_id long, text string, sequence_id int, offset int")
+    assert sorted((str(r.doc_id), r.piece, r.length) for r in pack_documents(docs, WORDS).collect()) == [("1", 0, 4), ("1", 0, 4), ("None", 0, 1)]
