@@ -16,6 +16,8 @@ from corvane.llm.runtime import drop_materialised, materialise, utf8
 from corvane.llm.wordhash import mix, shingle_sets
 
 SLOTS = 1 << 18
+#: Rounds of stars after the first.
+STAR_ROUNDS = 4
 
 
 class Circulant:
@@ -253,9 +255,9 @@ class Matcher:
         several = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("bucket", "first")
         return self.keep(members.join(several, "bucket").select("bucket", "first", "node", "n"))
 
-    def stars(self, shared: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between the first of each bucket and the others. A centre of very many goes to several tasks."""
-        pairs = self.keep(shared.filter("node <> first").select("first", "node", "n").distinct())
+    def stars(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links among ``pairs(first, node, n)``. A centre of very many pairs goes to several tasks."""
+        pairs = self.keep(pairs.distinct())
         dealt = self.parts(F.count("*"), F.sum("n"), 1024, 1_000_000)
         split = self.keep(pairs.groupBy("first").agg(dealt.alias("parts")).filter("parts > 1"))
         salted = pairs.join(split, "first", "left").select("first", F.pmod(F.xxhash64("node", F.lit("salt")), F.coalesce("parts", F.lit(1))).alias("salt"), F.lit(1).alias("member"), "node")
@@ -301,6 +303,29 @@ class Matcher:
         rows = keyed.join(sets.select("node", "values"), "node").select("bucket", "i", "j", "block", "node", "cluster", "values")
         return self.keep(block_links(rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), self.percent))
 
+    def settle(self, shared: DataFrame, clusters: DataFrame | None, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Clusters after stars, and what they leave of ``shared`` as :meth:`rest` gives it.
+
+        First every bucket's first is a centre; then, while buckets stand open, some member of each bucket's largest
+        cluster is, for the members outside it. A round adds links only, so ending early loses none.
+        """
+        links = self.stars(shared.filter("node <> first").select("first", "node", "n"), sets)
+        clusters = self.clusters(links) if clusters is None else self.contract(clusters, links)
+        placed, several = self.rest(shared, clusters)
+        for r in range(STAR_ROUNDS):
+            wide = self.keep(several.filter(F.col("minors") > self.block // 8).select("bucket", "major"))
+            if wide.isEmpty():
+                break
+            held = placed.join(wide, "bucket")
+            centres = held.filter("cluster = major").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("first"))
+            pairs = self.keep(held.filter("cluster <> major").join(centres, "bucket").select("first", "node", "n").distinct())
+            links = self.stars(pairs, sets)
+            clusters = self.contract(clusters, links)
+            placed, several = self.rest(shared, clusters)
+            if 50 * links.count() < pairs.count():  # few are left that further centres would take in
+                break
+        return clusters, placed, several
+
     def contract(self, clusters: DataFrame, links: DataFrame) -> DataFrame:
         """Clusters after more links between their nodes."""
         side = lambda c, to: clusters.select(F.col("node").alias(c), F.col("cluster").alias(to))
@@ -325,7 +350,7 @@ def shared_id_links(full: DataFrame, classes: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 25, rows: int = 5, long_rows: int = 12, hot: int = 1024, block: int = 64, block_shingles: int = 200_000
+    docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 25, rows: int = 5, long_rows: int = 10, hot: int = 256, block: int = 256, block_shingles: int = 200_000
 ) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, n_shingles, component_id, kept), one row per row.
 
@@ -337,7 +362,7 @@ def near_duplicates(
        no band with probability (1 - 0.85**5)**25 = 4e-7.
     2. In each band bucket the first member is compared with every other on full sets, and the verified links
        are contracted to clusters: a bucket of near copies of its first is settled by as many comparisons as it
-       has members.
+       has members. Members outside the largest cluster meet further centres from it, a few times.
     3. A bucket that still holds several clusters is settled in blocks: the members outside its largest cluster
        with each other and with that cluster. Buckets with the same members count once. Where more than ``hot``
        members stand outside, they are first dealt anew by bands of ``long_rows`` rows, as many as keep the
@@ -358,14 +383,13 @@ def near_duplicates(
     involved = shared.select("node").distinct().join(classes.select("node", "rep", "set_a", "set_b"), "node")
     values = class_sets(involved, docs, width)
     sets = m.keep(values.withColumn("n", (F.octet_length("values") / 8).cast("long")))
-    clusters = m.clusters(m.stars(shared, sets))
-    placed, several = m.rest(shared, clusters)
+    clusters, placed, several = m.settle(shared, None, sets)
     crowded = several.filter(F.col("minors") > hot)
     if not crowded.isEmpty():
         nodes = placed.join(crowded.select("bucket"), "bucket", "left_semi").select("node").distinct()
         longer = m.shared(m.keep(long_bands(sets.join(nodes, "node", "left_semi"), band_count(percent, long_rows), long_rows)))
-        clusters = m.contract(clusters, m.stars(longer, sets))
-        clusters = m.contract(clusters, m.blocks(*m.rest(longer, clusters), sets))
+        clusters, *left = m.settle(longer, clusters, sets)
+        clusters = m.contract(clusters, m.blocks(*left, sets))
     clusters = m.contract(clusters, m.blocks(placed, several.filter(F.col("minors") <= hot), sets))
     if (same_id := shared_id_links(full, classes)) is not None:
         clusters = m.contract(clusters, same_id)
