@@ -5,34 +5,34 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.DOTALL,
-)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_PLAIN_END = re.compile(r"""[^>"']*""")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # Fixed values of HTML: elements without content, with raw content, and those that stand as blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title select canvas audio video".split())
+RAW = frozenset("script style noscript template iframe object svg textarea title select canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements and words of class, id and role that mark what is no part of an article.
+#: Elements, and names of class, id and role, that mark what is no part of an article.
 APART = frozenset("nav header footer aside form menu button dialog head".split())
 APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
     "header masthead footer sidebar aside widget cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments commentlist disqus respond replies reply skip toolbar contentinfo complementary search".split()
 )
-#: First and last parts of layout classes such as no-sidebar, with-comments, header-fixed and search-results: no marks.
+#: A name of several parts is a mark if its last part is one (site-header), unless it begins like a layout class
+#: (no-sidebar), or if its first part is one and the last a container's (cookie-box) or a number (comment-12).
 LAYOUT_FIRST = frozenset("no not has have with without is show hide".split())
-LAYOUT_LAST = frozenset("fixed sticky results enabled disabled visible open closed".split())
-ARTICLE_WORDS = frozenset("article articlebody main".split())
+CONTAINERS = frozenset("area bar block body box button buttons column container content form group icons inner item items label link links list message panel posts section slot stories text thread title toggle unit wrap wrapper zone".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
     "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "thead": {"caption"},
@@ -43,6 +43,14 @@ _ROW_SCOPE = _SCOPE - {"td", "th"}
 _P_SCOPE = frozenset("table td th article section div body html".split())
 
 
+def marks(name: str) -> bool:
+    """Whether a class, an id or a role says that its element is no part of an article."""
+    parts = re.findall(r"[a-z]+|[0-9]+", name)
+    if len(parts) < 2:
+        return bool(parts) and parts[0] in APART_WORDS
+    return parts[0] not in LAYOUT_FIRST and (parts[-1] in APART_WORDS or parts[0] in APART_WORDS and (parts[-1] in CONTAINERS or parts[-1].isdigit()))
+
+
 class Node:
     """An element: its text pieces and child elements in page order, and its counts for the densities."""
 
@@ -54,63 +62,117 @@ class Node:
         self.density = 0.0
         self.apart, self.article = tag in APART or tag in RAW, tag in ("article", "main")
         self.marked = tag in APART and tag != "head"  # set apart by a mark that the text inside can overrule
-        if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "itemprop" in attributes or "hidden" in attributes):
+        if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "hidden" in attributes):
             for name, *values in _ATTRIBUTE.findall(attributes):
                 name = name.lower()
                 if name == "hidden":
                     self.apart, self.marked = True, False
                     break
-                elif name in ("class", "id", "role", "itemprop"):
-                    tokens = [re.findall(r"[a-z0-9]+", t) for t in "".join(values).lower().split()]
-                    words = {w for t in tokens if t and not (len(t) > 1 and (t[0] in LAYOUT_FIRST or t[-1] in LAYOUT_LAST)) for w in t}
-                    if words & APART_WORDS and tag not in ("html", "body", "article", "main") and tag not in RAW and not self.apart:
-                        self.apart = self.marked = True
-                    self.article = self.article or name in ("role", "itemprop") and bool(words & ARTICLE_WORDS)
+                elif name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not self.apart and any(map(marks, "".join(values).lower().split())):
+                    self.apart = self.marked = True
+
+
+class Open:
+    """The open elements of a page, outermost first, and where each tag stands among them."""
+
+    def __init__(self, root: Node) -> None:
+        self.path, self.places = [root], defaultdict(list, {root.tag: [0]})
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.path))
+        self.path.append(node)
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` and all inside it."""
+        while len(self.path) > max(1, place):
+            self.places[self.path.pop().tag].pop()
+
+    def nearest(self, tags) -> int:
+        """The place of the innermost open element of ``tags``; -1 if there is none."""
+        return max((at[-1] for at in map(self.places.get, tags) if at), default=-1)
+
+    def close_inside(self, tags, scope: frozenset[str]) -> None:
+        """Close the innermost open element of ``tags`` if no element of ``scope`` stands inside it."""
+        if (place := self.nearest(tags)) > 0 and self.nearest(scope) <= place:
+            self.close(place)
+
+
+class Tags:
+    """Finds the ends of tags. Quotes may hide a ``>``; the search is linear over a whole page, hostile ones too."""
+
+    MISSES = 16
+
+    def __init__(self, source: str) -> None:
+        self.source, self.misses = source, 0
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``; -1 if there is none.
+
+        Where quotes leave no end up to the end of the page, the first ``>`` counts. After ``MISSES`` such tags
+        quotes are no longer looked at.
+        """
+        place = at
+        while self.misses < self.MISSES:
+            place = _PLAIN_END.match(self.source, place).end()
+            if place < len(self.source) and self.source[place] == ">":
+                return place
+            place = self.source.find(self.source[place], place + 1) + 1 if place < len(self.source) else 0
+            if not place:
+                self.misses += 1
+                break
+        return self.source.find(">", at)
 
 
 def parse(source: str) -> Node:
     """The tree of a page. Unclosed and stray tags are taken as browsers take the common cases."""
-    root = at = Node("html", "", None)
-    place = 0
-    while m := _TOKEN.search(source, place):
-        if m.start() > place:
-            at.items.append(source[place : m.start()])
-        place = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        if m[1] or m[4]:
-            at = _after_end(at, tag)
-            continue
-        attributes = (m[3] if m[2] else m[6]) or ""
-        if tag == "html" or tag == "body" and any(n.tag == "body" for n in _path(at)):
-            continue
-        if tag in BLOCK:
-            at = _closed(at, {"p"}, _P_SCOPE)
-            if tag in _CLOSES:
-                at = _closed(at, _CLOSES[tag], _ROW_SCOPE if tag in ("tr", "td", "th", "tbody", "tfoot") else _SCOPE)
-        node = Node(tag, attributes, at)
-        at.items.append(node)
-        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
-            continue
-        if tag in RAW:  # its content is no markup of this page
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(source, place)
-            place = end.end() if end else len(source)
+    root = Node("html", "", None)
+    opened, tags = Open(root), Tags(source)
+    place, size = 0, len(source)
+    while place < size:
+        start = source.find("<", place)
+        while start >= 0 and not (source[start + 1 : start + 2] in "!?" and start + 1 < size or (name := _NAME.match(source, start + 1))):
+            start = source.find("<", start + 1)
+        if start < 0:
+            break
+        if source[start + 1] in "!?":
+            close = "-->" if source.startswith("<!--", start) else "]]>" if source.startswith("<![CDATA[", start) else ">"
+            end = source.find(close, start + 2)
+            end = end + len(close) if end >= 0 else size if close != ">" else -1
+            attributes = tag = ""
         else:
-            at = node
-    if place < len(source):
-        at.items.append(source[place:])
+            end = tags.end(name.end()) + 1 or -1
+            tag, attributes = name[0].lower(), source[name.end() : end - 1]
+        if end < 0:
+            break
+        if start > place:
+            opened.path[-1].items.append(source[place:start])
+        place = end
+        if tag[:1] == "/":
+            _end(opened, tag[1:])
+        elif tag and tag != "html" and not (tag == "body" and opened.places["body"]):
+            if tag in BLOCK:
+                opened.close_inside(("p",), _P_SCOPE)
+                if tag in _CLOSES:
+                    opened.close_inside(_CLOSES[tag], _ROW_SCOPE if tag in ("tr", "td", "th", "tbody", "tfoot") else _SCOPE)
+            node = Node(tag, attributes, opened.path[-1])
+            opened.path[-1].items.append(node)
+            if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK and tag not in RAW:
+                continue
+            if tag in RAW:  # its content is no markup of this page
+                inside = re.compile(rf"</{re.escape(tag)}(?![^\s/>])", re.IGNORECASE).search(source, place)
+                place = source.find(">", inside.end()) + 1 or size if inside else size
+            else:
+                opened.push(node)
+    if place < size:
+        opened.path[-1].items.append(source[place:])
     return root
 
 
-def _after_end(at: Node, tag: str) -> Node:
-    """Where the next piece goes after an end tag; an end tag without its start changes nothing."""
-    for node in _path(at):
-        if node.tag == tag and node.parent is not None:
-            return node.parent
-        if tag not in BLOCK and node.tag in _SCOPE:
-            break
-    return at
+def _end(opened: Open, tag: str) -> None:
+    """What an end tag closes; without its start, or with a block around an inline start, it changes nothing."""
+    place = opened.nearest((tag,))
+    if place > 0 and (tag in BLOCK or opened.nearest(_SCOPE) < place):
+        opened.close(place)
 
 
 def _path(node: Node | None) -> Iterator[Node]:
@@ -119,16 +181,6 @@ def _path(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _closed(at: Node, tags: set[str], scope: frozenset[str]) -> Node:
-    """Where the next element goes once the nearest open element of ``tags`` inside ``scope`` is closed."""
-    for node in _path(at):
-        if node.tag in tags and node.parent is not None:
-            return node.parent
-        if node.tag in scope:
-            break
-    return at
-
-
 def measure(node: Node, in_link: bool = False) -> None:
     """Count characters, tags, and those inside links, of every node that is not set apart; without recursion."""
     stack: list[tuple[Node, bool, bool]] = [(node, in_link, False)]
@@ -200,9 +252,9 @@ def restore(body: Node) -> None:
 def main_nodes(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order.
 
-    The node with the greatest sum of its children's densities is the core. An article or main element that
-    holds it is taken whole. Otherwise the threshold is the least density on the way from the body to the core,
-    and beside the core each child of a node on that way counts whose own density reaches the threshold.
+    The core is the node with the greatest sum of densities over its child blocks. The threshold is the least density
+    on the way from the body to the core. Beside the core each child of a node on that way counts whose own
+    density reaches the threshold, and so do headings before such a child and blocks between two.
     """
     body = next((n for n in _walk(root) if n.tag == "body"), root)
     restore(body)
@@ -210,20 +262,23 @@ def main_nodes(root: Node) -> list[Node]:
     if not body.chars:
         return []
     rate(body)
-    best, most = body, -1.0
+    best, most = body, 0.0
     for node in _walk(body):
-        total = sum(c.density for c in node.items if isinstance(c, Node) and not c.apart)
+        total = sum(c.density for c in node.items if isinstance(c, Node) and not c.apart and c.tag in BLOCK)
         if total > most and node.chars:
             best, most = node, total
     way = list(_path(best))
     way = way[: way.index(body) + 1]
-    if holders := [n for n in way if n.article]:
-        return [([n for n in holders if n.tag == "article"] or holders)[-1]]
     threshold = min(n.density for n in way)
-    inside = {id(n) for n in way}
-    chosen = [c for n in _walk(body) if id(n) in inside and n is not best for c in n.items if isinstance(c, Node) and not c.apart and id(c) not in inside and c.density >= threshold]
-    wanted = {id(n) for n in [*chosen, best]}
-    return [n for n in _walk(body) if id(n) in wanted]
+    chosen = {id(best)}
+    for below, node in zip(way, way[1:]):
+        children = [c for c in node.items if isinstance(c, Node) and not c.apart]
+        taken = [k for k, c in enumerate(children) if c is below or c.density >= threshold]
+        first = taken[0]
+        while first and (children[first - 1].tag in HEADINGS or not children[first - 1].chars):
+            first -= 1
+        chosen |= {id(c) for c in children[first : taken[-1] + 1] if c is not below}
+    return [n for n in _walk(body) if id(n) in chosen]
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -274,8 +329,9 @@ def main_text(source: str) -> str:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` -> (page_id, url, text, n_chars), one row per row, from whole pages.
 
-    Null, empty and text-free pages give an empty text. Other columns have no effect. Trees and counts are
-    made with explicit stacks, so deep nesting is no limit.
+    Null, empty and text-free pages give an empty text, an empty table an empty result; repeated rows stay. Other
+    columns have no effect, whatever their names. Trees and counts are made with explicit stacks, and tags are
+    found in time linear in the page, so neither deep nesting nor very long pages are a limit.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

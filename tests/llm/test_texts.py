@@ -41,6 +41,58 @@ def test_odd_pages(spark):
     assert extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
 
 
+TEXT = [f"Paragraph {k} says something of a fair length about one thing or another, over and over." for k in range(6)]
+PARAGRAPHS = "".join(f"<p>{t}</p>" for t in TEXT)
+MENU = "<ul>" + "".join(f"<li><a href='/{k}'>Menu {k}</a></li>" for k in range(12)) + "</ul>"
+
+
+def test_density_chooses_without_an_article():
+    for body in (
+        f"<div>{MENU}</div><div>{PARAGRAPHS}</div><div>{MENU}</div>",
+        f"<div><div>{MENU}</div><div><div><div>{PARAGRAPHS}</div></div></div></div>",
+        f"<table><tr><td>{MENU}</td><td>{PARAGRAPHS}</td></tr></table>",
+        f"<div>{MENU}</div><article>{PARAGRAPHS}</article>",
+        f"<article>{MENU}</article><div>{PARAGRAPHS}</div>",  # the tag alone decides nothing
+    ):
+        assert main_text(f"<html><body>{body}</body></html>").split("\n") == TEXT
+
+
+def test_sections_and_their_headings_stay_together():
+    half = [f"<section><h2>Part {k}</h2>{''.join(f'<p>{t}</p>' for t in part)}</section>" for k, part in ((1, TEXT[:3]), (2, TEXT[3:]))]
+    page = f"<body><div>{MENU}</div><div><h1>Title</h1>{half[0]}<p>Short.</p>{half[1]}</div></body>"
+    assert main_text(page).split("\n") == ["Title", "Part 1", *TEXT[:3], "Short.", "Part 2", *TEXT[3:]]
+
+
+def test_layout_classes_and_marks():
+    for name in ("layout has-sidebar", "content no-sidebar", "wrapper header-fixed", "post with-comments", "page", "headers-list", "admin", "download"):
+        assert main_text(f'<body><div class="{name}">{PARAGRAPHS}</div></body>').split("\n") == TEXT
+    for name in ("sidebar", "site-header", "cookie-notice", "comment-12", "related_posts", "share-buttons", "x ad", "main-nav"):
+        assert main_text(f'<body><div>{PARAGRAPHS}<div class="{name}"><p>{TEXT[0]}</p></div></div></body>').split("\n") == TEXT
+    assert main_text("<body><p>Formula <math><mi>x</mi> = <mn>2</mn></math> holds here.</p></body>") == "Formula x = 2 holds here."
+
+
+def test_hostile_pages_take_linear_time():
+    from time import process_time
+
+    shapes = ["<a ", '<a ">" ', "<a b='", "<!", "</x", "<script>", "<i><b>", "<div>", "</section>", "<td>", "<p>x", "<script</script"]
+    for shape in shapes:
+        took = []
+        for n in (4_000, 16_000):
+            began = process_time()
+            main_text("<div>" * 2000 + shape * n)
+            took.append(process_time() - began)
+        assert took[1] < 8 * took[0] + 0.5, shape
+    began = process_time()
+    main_text(f"<body><div>{MENU}</div><div>{PARAGRAPHS * 2000}</div></body>")
+    assert process_time() - began < 5
+
+
+def test_clashing_columns_of_pages(spark):
+    pages = spark.createDataFrame([(1, "u", f"<body>{PARAGRAPHS}</body>", "t", 5)] * 2, "page_id long, url string, html string, text string, n_chars int")
+    got = extract_main_text(pages).collect()
+    assert [(r.page_id, r.text, r.n_chars) for r in got] == [(1, "\n".join(TEXT), len("\n".join(TEXT)))] * 2
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r.page_id: r.text for r in extract_main_text(pages).collect()}
