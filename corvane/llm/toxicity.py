@@ -1,16 +1,16 @@
 """Toxicity scores from a weighted grammar of finite-state transducers over clauses.
 
-The lexicon of insults (whole words and productive stems) is learned from labelled rows; the grammar composes
-five transducers that read a clause as a sequence of word classes and rewrite it step by step; each complete
-match contributes to one of a few clause patterns, and a small logistic model turns the counts of matched
-patterns of a text into its score.
+The lexicon of insults (whole words and productive stems) is learned from labelled rows. Insult, threat, target,
+negation and reported-speech transducers are composed into one weighted machine that reads a clause as a
+sequence of word classes; the best path of a clause gives its patterns. The arc weights of the patterns are those
+of a logistic model over how often each stands in a text, which also turns them into the text's score.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,40 +39,106 @@ SAMPLE_ROWS = 20_000
 
 @dataclass(frozen=True)
 class Transducer:
-    """A finite-state machine over word classes. ``arcs[state, class] = (next state, emitted class)``.
+    """A finite-state transducer over word classes that may have several arcs for one class.
 
-    A class without an arc passes unchanged and leads to ``otherwise[state]`` (state 0 if not given).
+    ``arcs[state, class]`` are alternatives (next state, emitted class). A class without arcs passes unchanged and
+    leads to ``otherwise[state]``; a state without such an entry has no way on. A clause must end in ``final``.
     """
 
-    arcs: dict[tuple[int, str], tuple[int, str]]
+    arcs: dict[tuple[int, str], tuple[tuple[int, str], ...]]
     otherwise: dict[int, int]
+    final: frozenset[int]
 
-    def __call__(self, classes: list[str]) -> list[str]:
-        state, out = 0, []
-        for c in classes:
-            if (state, c) in self.arcs:
-                state, c = self.arcs[state, c]
-            else:
-                state = self.otherwise.get(state, 0)
-            out.append(c)
-        return out
+    def step(self, state: int, c: str) -> tuple[tuple[int, str], ...]:
+        if found := self.arcs.get((state, c)):
+            return found
+        return ((self.otherwise[state], c),) if state in self.otherwise else ()
 
 
 def _window(opener: str, rewrites: dict[str, str], reach: int) -> Transducer:
     """Rewrites classes that follow ``opener`` within ``reach`` words."""
-    arcs = {(s, opener): (1, opener) for s in range(reach + 1)}
+    arcs = {(s, opener): ((1, opener),) for s in range(reach + 1)}
     for s in range(1, reach + 1):
-        arcs |= {(s, c): (s, to) for c, to in rewrites.items()}
-    return Transducer(arcs, {s: s + 1 if s < reach else 0 for s in range(1, reach + 1)})
+        arcs |= {(s, c): ((s, to),) for c, to in rewrites.items()}
+    return Transducer(arcs, {s: s + 1 if 0 < s < reach else 0 for s in range(reach + 1)}, frozenset(range(reach + 1)))
+
 
+def _target(before: int, after: int) -> Transducer:
+    """Aims insults (i, j) at a target at most ``before`` words earlier or ``after`` later, intended threats (t) at any of the clause.
 
-# Classes: I insult, V violent verb, W intent, P target, N negation, R report, o other.
-THREAT = _window("W", {"V": "T"}, 3)  # an intent, then a violent verb
-AIM_AFTER = _window("P", {"I": "A", "T": "T"}, 5)  # a target, then an insult
-NEGATE = _window("N", {"I": "n", "A": "n", "T": "V"}, 2)  # a negation just before
-REPORT = _window("R", {"I": "r", "A": "r", "T": "V"}, 8)  # a report verb earlier in the clause
-CASCADE = (THREAT, AIM_AFTER, NEGATE, REPORT)
-_EMITS = {"I": 0, "A": 1, "n": 2, "r": 3, "T": 4, "V": 5}
+    A target still to come is a guess: the state then owes one, within ``after`` words for an insult, by the end of
+    the clause for a threat, and a path that does not pay has no way on or does not end in a final state.
+    """
+    states = [(near, seen, due, owed) for near in range(before + 1) for seen in (0, 1) for due in range(after + 1) for owed in (0, 1)]
+    number = {s: k for k, s in enumerate(states)}
+    arcs: dict[tuple[int, str], tuple[tuple[int, str], ...]] = {}
+    otherwise: dict[int, int] = {}
+    for (near, seen, due, owed), k in number.items():
+        arcs[k, "P"] = ((number[before, 1, 0, 0], "P"),)
+        if due == 1:  # the next word has to be the target
+            continue
+        later = (max(near - 1, 0), seen, max(due - 1, 0), owed)
+        otherwise[k] = number[later]
+        for c in "ij":
+            guess = (later[0], seen, due - 1 if due else after, owed)
+            arcs[k, c] = ((number[later], "a"),) if near else ((number[later], c), (number[guess], "a"))
+        arcs[k, "t"] = ((number[later], "T"),) if seen else ((number[later], "t"), (number[(*later[:3], 1)], "T"))
+    return Transducer(arcs, otherwise, frozenset(k for (_, _, due, owed), k in number.items() if not due and not owed))
+
+
+# Classes: I insult, V violent verb, W intent, P target, N negation, R report, o other; i and j the first and further
+# words of an insult, a an aimed one, t and T a threat without and with a target, n negated, r reported, w weakened.
+INSULT = Transducer({(0, "I"): ((1, "i"),), (1, "I"): ((1, "j"),)}, {0: 0, 1: 0}, frozenset((0, 1)))
+THREAT = _window("W", {"V": "t"}, 3)  # an intent, then a violent verb
+TARGET = _target(5, 3)
+NEGATE = _window("N", {"i": "n", "j": "n", "a": "n", "T": "w", "t": "w"}, 2)  # a negation just before
+REPORT = _window("R", {"i": "r", "j": "r", "a": "r", "T": "w", "t": "w"}, 8)  # a report verb earlier in the clause
+CASCADE = (INSULT, THREAT, TARGET, NEGATE, REPORT)
+_EMITS = {"i": 0, "j": 0, "a": 1, "n": 2, "r": 3, "T": 4, "t": 5, "V": 5, "w": 5}
+#: Arc weights by emitted pattern before any are learned.
+PRIOR = (3.0, 3.5, 1.5, 1.5, 3.0, 0.5)
+
+
+class Grammar:
+    """The composition of the five transducers, with the weight of the emitted pattern on each arc.
+
+    A composed state is one state of each transducer; each transducer reads what the one before emits. Arcs are
+    composed when first met and kept. A clause scores the weight of its best path.
+    """
+
+    def __init__(self, weights: tuple[float, ...] = PRIOR, cascade: tuple[Transducer, ...] = CASCADE) -> None:
+        self.weights, self.cascade = weights, cascade
+        self.number: dict[tuple[int, ...], int] = {(0,) * len(cascade): 0}
+        self.states = list(self.number)
+        self.arcs: dict[tuple[int, str], list[tuple[int, int, float]]] = {}
+
+    def _compose(self, state: int, c: str) -> list[tuple[int, int, float]]:
+        ways: list[tuple[tuple[int, ...], str]] = [((), c)]
+        for machine, own in zip(self.cascade, self.states[state], strict=True):
+            ways = [((*done, to), out) for done, read in ways for to, out in machine.step(own, read)]
+        found = []
+        for reached, out in ways:
+            if reached not in self.number:
+                self.number[reached] = len(self.states)
+                self.states.append(reached)
+            pattern = _EMITS.get(out, -1)
+            found.append((self.number[reached], pattern, self.weights[pattern] if pattern >= 0 else 0.0))
+        self.arcs[state, c] = found
+        return found
+
+    def best(self, classes: Iterable[str]) -> tuple[float, tuple[int, ...]]:
+        """Weight of the best path through a clause, and how often it emits each pattern."""
+        front: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, (0,) * len(PATTERNS))}
+        arcs = self.arcs
+        for c in classes:
+            reached: dict[int, tuple[float, tuple[int, ...]]] = {}
+            for state, (weight, counts) in front.items():
+                for to, pattern, more in arcs[state, c] if (state, c) in arcs else self._compose(state, c):
+                    if to not in reached or weight + more > reached[to][0]:
+                        reached[to] = (weight + more, (*counts[:pattern], counts[pattern] + 1, *counts[pattern + 1 :]) if pattern >= 0 else counts)
+            front = reached
+        ends = [w for s, w in front.items() if all(own in m.final for own, m in zip(self.states[s], self.cascade, strict=True))]
+        return max(ends, key=lambda w: w[0])
 
 
 @dataclass(frozen=True)
@@ -97,38 +163,24 @@ class Lexicon:
         return "o"
 
 
-def _word_end(text: str, at: int, whole: int) -> int:
-    """``at``, or the end of the word that it cuts; a clause's own start ``whole`` cuts none."""
-    while at != whole and 0 < at < len(text) and text[at - 1].isalpha() and text[at].isalpha():
-        at += 1
-    return at
-
-
-def clause_patterns(text: str, lexicon: Lexicon, trigger: re.Pattern) -> list[int]:
-    """How often each of ``PATTERNS`` matches in the clauses of a whole text.
+def clause_patterns(text: str, lexicon: Lexicon, trigger: re.Pattern, grammar: Grammar) -> list[int]:
+    """How often each of ``PATTERNS`` stands on the best paths of the clauses of a whole text.
 
-    A threat verb counts in full only with a target in its clause. A clause that runs on for more than 400
-    characters after a match, as in tables without stops, is read in several parts, none of them left out.
+    Clauses are read whole, however long; only those with a word that can start a match are read at all.
     """
     lowered = text.lower()
     counts = [0] * len(PATTERNS)
-    done = -1
+    begin = done = 0
     for hit in trigger.finditer(lowered):
         if hit.start() < done:
             continue
-        begin = done if done > 0 else 0
-        for b in _BREAK.finditer(lowered, max(begin, hit.start() - 400), hit.start()):
+        for b in _BREAK.finditer(lowered, done, hit.start()):
             begin = b.end()
-        begin = _word_end(lowered, max(begin, hit.start() - 400), begin)
+        begin = max(begin, done)
         end = _BREAK.search(lowered, hit.end())
-        done = _word_end(lowered, min(end.start() if end else len(lowered), hit.end() + 400), -1)
-        classes = [lexicon.classes(w[0]) for w in _WORD.finditer(lowered, begin, done)]
-        aimed = "P" in classes
-        for step in CASCADE:
-            classes = step(classes)
-        for c in classes:
-            if c in _EMITS:
-                counts[_EMITS["V"] if c == "T" and not aimed else _EMITS[c]] += 1
+        done = end.end() if end else len(lowered)
+        found = grammar.best(lexicon.classes(w[0]) for w in _WORD.finditer(lowered, begin, done))[1]
+        counts = [a + b for a, b in zip(counts, found, strict=True)]
     return counts
 
 
@@ -138,6 +190,10 @@ class ToxicityModel:
     weights: tuple[float, ...]
     bias: float
 
+    def grammar(self) -> Grammar:
+        """The machine with the learned weights on its arcs."""
+        return Grammar(self.weights)
+
     def scores(self, counts: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.bias + np.log1p(counts) @ np.array(self.weights))))
 
@@ -224,9 +280,9 @@ def _pattern_counts(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> Da
     schema = docs.select(*columns).schema.add("counts", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trigger = lexicon.trigger()
+        trigger, grammar = lexicon.trigger(), Grammar()
         for batch in batches:
-            counts = [clause_patterns(t.as_py() or "", lexicon, trigger) for t in batch.column(len(columns))]
+            counts = [clause_patterns(t.as_py() or "", lexicon, trigger, grammar) for t in batch.column(len(columns))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(counts, pa.list_(pa.int32()))], names=[*columns, "counts"])
 
     return with_text(docs, columns).mapInArrow(run, schema)
@@ -238,7 +294,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE_
     lexicon = _fit_lexicon(sample)
     rows = _pattern_counts(sample, lexicon, ["y"]).groupBy("y", "counts").count().collect()
     if not rows or {r.y for r in rows} != {0, 1}:
-        return ToxicityModel(lexicon, (3.0, 3.5, 1.5, 1.5, 3.0, 0.5), -1.0)
+        return ToxicityModel(lexicon, PRIOR, -1.0)
     x = np.log1p(np.array([r.counts for r in rows], float))
     y = np.array([r.y for r in rows], float)
     times = np.array([r["count"] for r in rows], float)
@@ -259,21 +315,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE_
             w[k] = share * w[0]
         elif k < 5 and times[met] @ y[met] >= 0.9 * times[met].sum():
             w[k] = w[0]  # the labels do not excuse this pattern
+    w[4] = max(w[4], w[5])
     return ToxicityModel(lexicon, tuple(float(v) for v in w), float(b))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` and ``score`` double, from 0 to 1, of each whole text.
 
-    A null text scores as an empty one: the model's score of no match at all. Equal texts score alike.
+    A null text scores as an empty one: the model's score of no match at all. Equal texts score alike, very long
+    ones are read whole, an empty table gives an empty result, and no column but the text has an effect.
     """
     schema = docs.select(*columns).schema.add("score", "double")
     k = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trigger = model.lexicon.trigger()
+        trigger, grammar = model.lexicon.trigger(), model.grammar()
         for batch in batches:
-            counts = [clause_patterns(t.as_py() or "", model.lexicon, trigger) for t in batch.column(k)]
+            counts = [clause_patterns(t.as_py() or "", model.lexicon, trigger, grammar) for t in batch.column(k)]
             scores = model.scores(np.array(counts, float).reshape(-1, len(PATTERNS)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(scores)], names=[*columns, "score"])
 

@@ -1,15 +1,16 @@
 import random
+from time import process_time
 
 from pyspark.sql import functions as F
 
 from corvane.llm.runtime import fold
-from corvane.llm.toxicity import Lexicon, ToxicityModel, clause_patterns, fit_toxicity, score_toxicity
+from corvane.llm.toxicity import _EMITS, CASCADE, PRIOR, Grammar, Lexicon, ToxicityModel, clause_patterns, fit_toxicity, score_toxicity
 
 LEXICON = Lexicon(frozenset({"idiot"}), frozenset({"lowe"}))
 
 
 def patterns(text):
-    return clause_patterns(text, LEXICON, LEXICON.trigger())
+    return clause_patterns(text, LEXICON, LEXICON.trigger(), Grammar())
 
 
 def test_clauses():
@@ -24,6 +25,45 @@ def test_clauses():
     assert patterns("idiotic slowe yellow") == [0] * 6
     assert patterns("") == [0] * 6
     assert patterns("idiot " * 3000)[0] == 3000
+    assert patterns("idiot, you are") == [0, 1, 0, 0, 0, 0]
+    assert patterns("an idiot that nobody has ever seen near you") == [1, 0, 0, 0, 0, 0]
+    assert patterns("never will I hurt you") == [0, 0, 0, 0, 1, 0] and patterns("I will not hurt you") == [0, 0, 0, 0, 0, 1]
+
+
+def test_clauses_are_read_whole():
+    for n in (1, 10, 60, 5000):
+        assert patterns("i will kill " + "and so on " * n + "you") == [0, 0, 0, 0, 1, 0]
+        assert patterns("i will kill " + "and so on " * n + "it") == [0, 0, 0, 0, 0, 1]
+        assert patterns("you " + "and so on " * n + "i will kill") == [0, 0, 0, 0, 1, 0]
+    began = process_time()
+    patterns("you idiot kill will not said " * 20_000)
+    assert process_time() - began < 10
+
+
+def brute(classes):
+    """The best weight over all outputs of the transducers, one after another, each path written out."""
+
+    def outputs(machine, read):
+        paths = [(0, ())]
+        for c in read:
+            paths = [(to, (*out, o)) for state, out in paths for to, o in machine.step(state, c)]
+        return {out for state, out in paths if state in machine.final}
+
+    texts = {tuple(classes)}
+    for machine in CASCADE:
+        texts = {out for text in texts for out in outputs(machine, text)}
+    return max(sum(PRIOR[_EMITS[c]] for c in text if c in _EMITS) for text in texts)
+
+
+def test_composition_against_brute_force():
+    rng = random.Random(1)
+    grammar = Grammar()
+    for _ in range(1500):
+        classes = rng.choices("IVWPNRo", (4, 2, 2, 2, 1, 1, 3), k=rng.randint(0, 9))
+        weight, counts = grammar.best(classes)
+        assert abs(weight - brute(classes)) < 1e-9
+        assert abs(weight - sum(n * w for n, w in zip(counts, PRIOR, strict=True))) < 1e-9
+        assert sum(counts) == sum(c in "IV" for c in classes)
 
 
 def test_learns_words_and_stems(spark):
