@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD = 4096
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 16_384
 
 
 class Shard:
@@ -26,8 +26,8 @@ class Shard:
         self.postings = np.ascontiguousarray(vectors[order].T)
         self.low, self.high = self.postings.min(axis=1), self.postings.max(axis=1)
 
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the ``k`` best vectors, ties to the smaller id."""
+    def top(self, query_id: int, query: np.ndarray, k: int, theta: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the ``k`` best vectors of at least ``theta``, ties to the smaller id."""
         ends = np.stack([query * self.low, query * self.high])
         base, bound = ends.min(axis=0), ends.max(axis=0) - ends.min(axis=0)
         terms = np.argsort(-bound, kind="stable")
@@ -36,12 +36,12 @@ class Shard:
         live = np.flatnonzero(self.ids != query_id)
         if len(live) <= k:
             scores = query @ self.postings[:, live]
-            return self._best(live, scores, k)
+            return self._best(live[scores >= theta], scores[scores >= theta], k)
         # a first threshold from the vectors that lead in the strongest few terms
         lead = terms[: max(1, len(terms) // 8)]
         partial = query[lead] @ self.postings[lead][:, live]
         seeds = live[np.argpartition(-partial, min(len(live) - 1, 4 * k))[: 4 * k + 1]]
-        theta = np.sort(query @ self.postings[:, seeds])[-k]
+        theta = max(theta, np.sort(query @ self.postings[:, seeds])[-k])
         # essential terms: without them no vector reaches theta
         essential = int(np.count_nonzero(rest[:-1] + base.sum() >= theta))
         essential = max(essential, len(lead))
@@ -57,18 +57,38 @@ class Shard:
             step = terms[at : at + 8]
             reached = reached + query[step] @ self.postings[step][:, live]
             at += len(step)
-        return self._best(live, reached, k)
+        return self._best(live[reached >= theta], reached[reached >= theta], k)
 
     def _best(self, live: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((self.ids[live], -scores))[:k]
         return live[order], scores[order]
 
 
-def _matrix(lists: pa.ListArray, width: int) -> np.ndarray:
-    """Rows of a list column, padded with zeros; doubles where all products are exact in them."""
-    lengths, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-    out = np.zeros((len(lists), width), np.int64)
-    out[np.repeat(np.arange(len(lists)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+def packed_vectors(vectors: DataFrame) -> DataFrame:
+    """``vectors(vec_id, z)`` -> (vec_id, size, raw): the components in the fewest bytes each, 2, 4 or 8, that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, raw = [], []
+            for z in batch.column(1):
+                values = z.values.to_numpy(zero_copy_only=False)
+                most = max(-int(values.min(initial=0)) - 1, int(values.max(initial=0)))
+                sizes.append(2 if most < 1 << 15 else 4 if most < 1 << 31 else 8)
+                raw.append(values.astype(f"<i{sizes[-1]}").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int8()), pa.array(raw, pa.binary())], names=["vec_id", "size", "raw"])
+
+    return vectors.select("vec_id", "z").mapInArrow(run, "vec_id long, size byte, raw binary")
+
+
+def _rows(sizes: pa.Array, raw: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(r, f"<i{s}") for s, r in zip(sizes.to_pylist(), raw.to_pylist(), strict=True)]
+
+
+def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
+    """Rows padded with zeros."""
+    out = np.zeros((len(rows), width), np.int64)
+    for at, row in enumerate(rows):
+        out[at, : len(row)] = row
     return out
 
 
@@ -80,44 +100,66 @@ def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return vectors.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), z.alias("z"))
 
 
-def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``vectors(vec_id, z)``, ``queries(vec_id, z)`` -> (query_id, rank, vec_id, score).
-
-    The ``k`` largest integer inner products of each query over all vectors whose id is not the query's, ties
-    to the smaller vec_id. Vectors are dealt into shards of about 4096 rows and queries into blocks of about
-    1024, each packed into one row; every (shard, block) pair is one task row, searched by MaxScore, and the
-    partial lists of a query, ``k`` rows a shard, are merged by a window that keeps ``k`` per task first.
-
-    A repeated vec_id counts once as a query (its smallest vector) and once a row as a candidate; vectors of
-    unlike length are padded with zeros. Empty tables give an empty result.
-    """
-    queries = queries.groupBy("vec_id").agg(F.min("z").alias("z"))
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERY_BLOCK))
-    packed = lambda df, name, parts: (
-        df.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int")).groupBy(name).agg(F.collect_list("vec_id").alias(f"{name}_ids"), F.collect_list("z").alias(f"{name}_z"))
-    )
-    left = packed(vectors, "shard", shards).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = packed(queries, "block", blocks).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    work = left.join(right, ["shard", "block"]).select("shard_ids", "shard_z", "block_ids", "block_z")
+def _searched(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """Packed ``left(shard, block, ids, sizes, raws)`` and ``right(shard, block, q_ids, q_sizes, q_raws, thetas)`` -> (query_id, vec_id, score)."""
+    work = left.join(right, ["shard", "block"]).select("ids", "sizes", "raws", "q_ids", "q_sizes", "q_raws", "thetas")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, q_ids = (np.array(batch.column(c)[i].values) for c in (0, 2))
-                z, q = batch.column(1)[i].values, batch.column(3)[i].values
-                width = max([0, *np.diff(z.offsets.to_numpy()), *np.diff(q.offsets.to_numpy())])
-                v, qv = _matrix(z, width), _matrix(q, width)
+                ids, sizes, raws, q_ids, q_sizes, q_raws, thetas = (batch.column(c)[i].values for c in range(7))
+                rows, q_rows = _rows(sizes, raws), _rows(q_sizes, q_raws)
+                width = max(map(len, [*rows, *q_rows]), default=0)
+                v, qv = _matrix(rows, width), _matrix(q_rows, width)
                 if width * float(np.abs(v).max(initial=0)) * float(np.abs(qv).max(initial=0)) < 2**52:
                     v, qv = v.astype(float), qv.astype(float)  # sums of integers below 2**53 are exact
-                shard = Shard(ids, v)
-                found = [shard.top(int(a), b, k) for a, b in zip(q_ids, qv, strict=True)]
+                shard = Shard(np.array(ids), v)
+                least = [-np.inf if t is None else t for t in thetas.to_pylist()]
+                found = [shard.top(a, b, k, t) for a, b, t in zip(q_ids.to_pylist(), qv, least, strict=True)]
                 at = np.concatenate([f[0] for f in found])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, [len(f[0]) for f in found])), pa.array(shard.ids[at]), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))],
+                    [pa.array(np.repeat(np.array(q_ids), [len(f[0]) for f in found])), pa.array(shard.ids[at]), pa.array(np.concatenate([f[1] for f in found]).astype(np.int64))],
                     names=["query_id", "vec_id", "score"],
                 )
 
-    part = work.mapInArrow(run, "query_id long, vec_id long, score long")
+    return work.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """``vectors(vec_id, z)``, ``queries(vec_id, z)`` -> (query_id, rank, vec_id, score).
+
+    The ``k`` largest integer inner products of each query over all vectors whose id is not the query's, ties
+    to the smaller vec_id. Vectors are dealt into shards of about ``SHARD`` rows and queries into blocks of about
+    ``QUERY_BLOCK``, each packed into one row of 2 bytes a component where that holds it. One shard is searched
+    first: its k-th score is a threshold with which a query goes to all shards. Every (shard, block) pair is one task
+    row, searched by MaxScore, and the partial lists of a query are merged by a window that keeps ``k`` per task first.
+    A shard is shipped once for each block of queries: at a fixed share of queries this grows with the square of the
+    table, as the search does, divided by ``QUERY_BLOCK``.
+
+    A repeated vec_id counts once as a query (its smallest vector) and once a row as a candidate; vectors of
+    unlike length are padded with zeros; other columns have no effect, whatever their names. Empty tables give an
+    empty result.
+    """
+    queries = queries.groupBy("vec_id").agg(F.min("z").alias("z"))
+    n, m = vectors.count(), queries.count()
+    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERY_BLOCK))
+    dealt = lambda df, name, parts: df.withColumn(name, F.pmod(F.xxhash64("vec_id", F.lit(name)), F.lit(parts)).cast("int"))
+    lists = lambda prefix: [F.collect_list(c).alias(f"{prefix}{c}s") for c in ("size", "raw")]
+    rows = dealt(packed_vectors(vectors), "shard", shards)
+    asked = dealt(packed_vectors(queries), "block", blocks)
+    all_blocks, all_shards = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+
+    def shard_rows(some: DataFrame) -> DataFrame:
+        return some.groupBy("shard").agg(F.collect_list("vec_id").alias("ids"), *lists("")).withColumn("block", all_blocks)
+
+    def block_rows(some: DataFrame, to) -> DataFrame:
+        # a theta of null would fall out of the list, so it travels as the least number
+        theta = F.collect_list(F.coalesce("theta", F.lit(float("-inf")))).alias("thetas")
+        return some.groupBy("block").agg(F.collect_list("vec_id").alias("q_ids"), *lists("q_"), theta).withColumn("shard", to)
+
+    first = _searched(shard_rows(rows.filter("shard = 0")), block_rows(asked.withColumn("theta", F.lit(None).cast("double")), F.lit(0)), k)
+    theta = first.groupBy("query_id").agg(F.when((F.count("*") >= k) & (F.abs(F.min("score")) < 2**52), F.min("score").cast("double")).alias("theta"))
+    asked = asked.join(theta, asked["vec_id"] == theta["query_id"], "left").drop("query_id")
+    part = _searched(shard_rows(rows), block_rows(asked, all_shards), k)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return part.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -46,3 +46,11 @@ def test_short_and_large_vectors(spark):
     v = spark.createDataFrame([(0, [2**40, 1]), (1, [2**20]), (2, [3, 2**41, 5]), (2, [3, 2**41, 5])], "vec_id long, z array<long>")
     got = [(r.vec_id, r.score) for r in exact_top_k(v, v.filter("vec_id = 0"), 5).orderBy("rank").collect()]
     assert got == [(1, 2**60), (2, 3 * 2**40 + 2**41), (2, 3 * 2**40 + 2**41)]
+
+
+def test_clashing_columns(spark):
+    rows = [(i, [i % 7 - 3, i % 5], "x", i, b"", 0.5, 1) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, z array<long>, shard string, block int, raw binary, theta double, rank int")
+    plain = v.select("vec_id", "z")
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(exact_top_k(v, v.filter("vec_id % 10 = 0"), 3)) == order(exact_top_k(plain, plain.filter("vec_id % 10 = 0"), 3))
