@@ -14,14 +14,18 @@ def rotate_perspectives(conversations: DataFrame) -> DataFrame:
     order, the character ranges [start, end) of ``rendered`` that count for the loss: the participant's texts
     and their end marks.
 
-    Names are roles in lower case without outer blanks; a null or blank one is ``unknown``; ``system`` is no
-    participant, so a conversation of system turns alone gives no row. A null text is empty. Turns are in the
-    order of turn (nulls first), name and text; repeated rows stay. Rows with a null conv_id take no part. A
-    marker string inside a text is broken by a backslash. Offsets are running sums over a window, not folds of
-    an array, so a long conversation costs no more a turn than a short one.
+    Names are roles in lower case, on one line and without outer blanks; a null or blank one is ``unknown``;
+    ``system`` is no participant, so a conversation of system turns alone gives no row. A null text is empty. Turns
+    are in the order of turn (nulls first), name and text; repeated rows stay. Rows with a null conv_id take no part.
+    A marker string inside a name or a text is broken by a backslash. Offsets are running sums over a window, not
+    folds of an array, so a long conversation costs no more a turn than a short one; a rendering is one row, so
+    the turns of one conversation and participant meet in one task. An empty table gives an empty result; other
+    columns have no effect, whatever their names.
     """
-    name = F.coalesce(F.nullif(F.lower(F.trim(F.col("role").cast("string"))), F.lit("")), F.lit("unknown"))
-    body = F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    safe = lambda c: F.replace(c, F.lit("<|"), F.lit("<\\|"))
+    role = F.trim(F.regexp_replace(F.col("role").cast("string"), r"[\t\n\x0B\f\r ]+", " "))
+    name = safe(F.coalesce(F.nullif(F.lower(role), F.lit("")), F.lit("unknown")))
+    body = safe(F.coalesce(F.col("text").cast("string"), F.lit("")))
     turns = conversations.filter("conv_id is not null").select("conv_id", "turn", name.alias("speaker"), body.alias("body"))
     people = turns.filter("speaker <> 'system'").select("conv_id", F.col("speaker").alias("participant")).distinct()
     own = F.col("speaker") == F.col("participant")

@@ -69,15 +69,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, participant, digest, mask, n_turns, n_chars, n_masked) of every perspective of ``conversations``."""
+    """(conv_id, participant, rendered, mask, n_turns, n_chars, n_masked) of every perspective of ``conversations``."""
     views = rotate_perspectives(read_table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
-    return views.select("conv_id", "participant", F.md5("rendered").alias("digest"), mask.alias("mask"), "n_turns", "n_chars", "n_masked")
+    return views.select("conv_id", "participant", "rendered", mask.alias("mask"), "n_turns", "n_chars", "n_masked")
 
 
 OP6_SQL = r"""
 WITH turns AS (
-    SELECT conv_id, turn, coalesce(nullif(lower(trim(role, ' ')), ''), 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS body
+    SELECT conv_id, turn, replace(coalesce(nullif(lower(trim(regexp_replace(role, '[\t\n\x0B\f\r ]+', ' ', 'g'), ' ')), ''), 'unknown'), '<|', '<\|') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS body
     FROM conversations WHERE conv_id IS NOT NULL
 ), people AS (SELECT DISTINCT conv_id, speaker AS participant FROM turns WHERE speaker <> 'system'),
 views AS (
@@ -88,7 +88,7 @@ placed AS (
     SELECT *, row_number() OVER o AS place, sum(length(part)) OVER (o ROWS UNBOUNDED PRECEDING) AS "end" FROM parts
     WINDOW o AS (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, speaker, body)
 ), spans AS (SELECT *, CASE WHEN speaker = participant THEN "end" - length(part) + length(head) END AS span_start FROM placed)
-SELECT conv_id, participant, md5(string_agg(part, '' ORDER BY place)) AS digest,
+SELECT conv_id, participant, string_agg(part, '' ORDER BY place) AS rendered,
     coalesce(string_agg(CAST(CAST(span_start AS BIGINT) AS VARCHAR) || '-' || CAST(CAST("end" - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY place), '') AS mask,
     count(*) AS n_turns, CAST(max("end") AS BIGINT) AS n_chars, CAST(coalesce(sum("end" - 1 - span_start), 0) AS BIGINT) AS n_masked
 FROM spans GROUP BY conv_id, participant
