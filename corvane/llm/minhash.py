@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,6 @@ from corvane.llm.runtime import drop_materialised, materialise, utf8
 from corvane.llm.wordhash import mix, shingle_sets
 
 SLOTS = 1 << 18
-#: Rounds of stars after the first.
-STAR_ROUNDS = 4
 
 
 class Circulant:
@@ -232,7 +231,11 @@ def band_count(percent: int, rows: int, miss: float = 1e-7) -> int:
 
 
 class Matcher:
-    """The steps of :func:`near_duplicates` that find links between set classes, over tables in the shared folder."""
+    """The steps of :func:`near_duplicates` that find links between set classes, over tables in the shared folder.
+
+    ``sets(node, n, values)`` are the sets of all nodes that share a bucket. Labels (node, cluster) mark nodes that
+    are known to be connected: equal labels mean one component, unequal ones nothing.
+    """
 
     def __init__(self, percent: int, block: int, block_shingles: int) -> None:
         self.percent, self.block, self.block_shingles = percent, block, block_shingles
@@ -250,41 +253,61 @@ class Matcher:
         return F.greatest(F.lit(1), F.ceil(count / size), F.ceil(total / shingles)).cast("int")
 
     def shared(self, banded: DataFrame) -> DataFrame:
-        """``banded(node, n, bands)`` -> (bucket, first, node, n): the members of buckets of two or more, first the smallest."""
+        """``banded(node, n, bands)`` -> (bucket, first, m, total, node, n): members of buckets of two or more, first the smallest."""
         members = banded.select("node", "n", F.explode("bands").alias("bucket"))
-        several = members.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last").select("bucket", "first")
-        return self.keep(members.join(several, "bucket").select("bucket", "first", "node", "n"))
+        several = members.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
+        return self.keep(members.join(several, "bucket").select("bucket", "first", "m", "total", "node", "n"))
 
     def stars(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links among ``pairs(first, node, n)``. A centre of very many pairs goes to several tasks."""
-        pairs = self.keep(pairs.distinct())
-        dealt = self.parts(F.count("*"), F.sum("n"), 1024, 1_000_000)
-        split = self.keep(pairs.groupBy("first").agg(dealt.alias("parts")).filter("parts > 1"))
-        salted = pairs.join(split, "first", "left").select("first", F.pmod(F.xxhash64("node", F.lit("salt")), F.coalesce("parts", F.lit(1))).alias("salt"), F.lit(1).alias("member"), "node")
-        centres = salted.select("first", "salt").distinct().select("first", "salt", F.lit(0).alias("member"), F.col("first").alias("node"))
-        rows = salted.unionByName(centres).join(sets.select("node", "values"), "node").select("first", "salt", "member", "node", "values")
-        return self.keep(star_links(rows.repartition("first", "salt").sortWithinPartitions("first", "salt", "member", "node"), self.percent))
-
-    def clusters(self, links: DataFrame) -> DataFrame:
-        return self.keep(connected_components(links).select("node", F.col("component").alias("cluster")))
-
-    def rest(self, shared: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """What the stars leave: (bucket, node, n, cluster) without the firsts, and the buckets that hold several clusters.
-
-        Buckets with the same members count once. ``major`` is a bucket's largest cluster, ``minors`` the number
-        of members outside it.
+        """Links among ``pairs(first, m, total, node)``. A centre whose bucket is large goes to several tasks."""
+        salt = F.pmod(F.xxhash64("node", F.lit("salt")), self.parts(F.col("m"), F.col("total"), 1024, 1_000_000))
+        ends = F.explode(F.array(F.struct(F.lit(1).alias("member"), F.col("node").alias("end")), F.struct(F.lit(0).alias("member"), F.col("first").alias("end"))))
+        rows = pairs.select("first", salt.alias("salt"), ends.alias("e")).select("first", "salt", "e.member", F.col("e.end").alias("node")).distinct()
+        full = rows.join(sets.select("node", "values"), "node").select("first", "salt", "member", "node", "values")
+        return self.keep(star_links(full.repartition("first", "salt").sortWithinPartitions("first", "salt", "member", "node"), self.percent))
+
+    def hook(self, labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels after more links: of two linked clusters the greater takes the smaller's label, then that one's own."""
+        side = lambda c, to: labels.select(F.col("node").alias(c), F.col("cluster").alias(to))
+        ends = links.join(side("a", "ca"), "a").join(side("b", "cb"), "b").filter("ca <> cb")
+        move = self.keep(ends.groupBy(F.greatest("ca", "cb").alias("cluster")).agg(F.min(F.least("ca", "cb")).alias("to")))
+        jump = move.join(move.select(F.col("cluster").alias("to"), F.col("to").alias("top")), "to", "left").select("cluster", F.coalesce("top", "to").alias("to"))
+        return self.keep(labels.join(jump, "cluster", "left").select("node", F.coalesce("to", "cluster").alias("cluster")))
+
+    def rest(self, shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What the firsts' stars leave: (bucket, node, cluster) without the firsts, and the buckets that hold several clusters.
+
+        Buckets with the same members count once. ``major`` is a bucket's largest cluster, ``centre`` some member of
+        it, ``minors`` the number of members outside it.
         """
-        others = shared.filter("node <> first").join(clusters, "node", "left")
-        placed = self.keep(others.select("bucket", "node", "n", F.coalesce("cluster", "node").alias("cluster")))
+        placed = self.keep(shared.filter("node <> first").join(labels, "node").select("bucket", "node", "n", "cluster"))
         each = placed.groupBy("bucket", "cluster").agg(
-            F.count("*").alias("m"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit("h"))).alias("g")
-        )
-        open_ = each.groupBy("bucket").agg(
-            F.count("*").alias("clusters"), F.max_by("cluster", "m").alias("major"), (F.sum("m") - F.max("m")).alias("minors"), F.max("m").alias("majors"),
-            (F.sum("total") - F.max_by("total", "m")).alias("minor_total"), F.max_by("total", "m").alias("major_total"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"),
+            F.count("*").alias("m"), F.sum("n").alias("total"), F.min_by("node", F.xxhash64("node", F.lit("centre"))).alias("centre"),
+            F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit("h"))).alias("g"),
+        )
+        largest = F.struct("m", "cluster")
+        of_bucket = each.groupBy("bucket").agg(
+            F.count("*").alias("clusters"), F.max_by("cluster", largest).alias("major"), F.max_by("centre", largest).alias("centre"), F.max("m").alias("majors"), F.max_by("total", largest).alias("major_total"),
+            F.sum("m").alias("m"), F.sum("total").alias("total"), F.bit_xor("h").alias("h"), F.bit_xor("g").alias("g"),
         )
-        same = open_.filter("clusters > 1").groupBy("h", "g", "minors", "majors").agg(F.min("bucket").alias("bucket"))
-        return placed, self.keep(open_.join(same.select("bucket"), "bucket").drop("h", "g", "clusters"))
+        once = [F.min(c).alias(c) for c in ("bucket", "major", "centre", "majors", "major_total", "m", "total")]
+        several = of_bucket.filter("clusters > 1").groupBy("h", "g").agg(*once)
+        return placed, self.keep(several.withColumn("minors", F.col("m") - F.col("majors")).withColumn("minor_total", F.col("total") - F.col("major_total")).drop("h", "g"))
+
+    def settle(self, shared: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame, DataFrame]:
+        """Labels and links after stars, and what they leave of ``shared`` as :meth:`rest` gives it.
+
+        First every bucket's first is a centre, then some member of each bucket's largest cluster, for the members outside it.
+        """
+        links = [self.stars(shared.filter("node <> first"), sets)]
+        labels = self.hook(labels, links[0])
+        placed, several = self.rest(shared, labels)
+        wide = several.filter(F.col("minors") > self.block // 8).select("bucket", "major", F.col("centre").alias("first"), F.col("minors").alias("m"), F.col("minor_total").alias("total"))
+        links.append(self.stars(placed.join(wide, "bucket").filter("cluster <> major"), sets))
+        if not links[1].isEmpty():
+            labels = self.hook(labels, links[1])
+            placed, several = self.rest(shared, labels)
+        return labels, links, placed, several
 
     def blocks(self, placed: DataFrame, several: DataFrame, sets: DataFrame) -> DataFrame:
         """Links between different clusters of one bucket: minors with each other and with the members of the major.
@@ -303,41 +326,6 @@ class Matcher:
         rows = keyed.join(sets.select("node", "values"), "node").select("bucket", "i", "j", "block", "node", "cluster", "values")
         return self.keep(block_links(rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), self.percent))
 
-    def settle(self, shared: DataFrame, clusters: DataFrame | None, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Clusters after stars, and what they leave of ``shared`` as :meth:`rest` gives it.
-
-        First every bucket's first is a centre; then, while buckets stand open, some member of each bucket's largest
-        cluster is, for the members outside it. A round adds links only, so ending early loses none.
-        """
-        links = self.stars(shared.filter("node <> first").select("first", "node", "n"), sets)
-        clusters = self.clusters(links) if clusters is None else self.contract(clusters, links)
-        placed, several = self.rest(shared, clusters)
-        for r in range(STAR_ROUNDS):
-            wide = self.keep(several.filter(F.col("minors") > self.block // 8).select("bucket", "major"))
-            if wide.isEmpty():
-                break
-            held = placed.join(wide, "bucket")
-            centres = held.filter("cluster = major").groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("first"))
-            pairs = self.keep(held.filter("cluster <> major").join(centres, "bucket").select("first", "node", "n").distinct())
-            links = self.stars(pairs, sets)
-            clusters = self.contract(clusters, links)
-            placed, several = self.rest(shared, clusters)
-            if 50 * links.count() < pairs.count():  # few are left that further centres would take in
-                break
-        return clusters, placed, several
-
-    def contract(self, clusters: DataFrame, links: DataFrame) -> DataFrame:
-        """Clusters after more links between their nodes."""
-        side = lambda c, to: clusters.select(F.col("node").alias(c), F.col("cluster").alias(to))
-        ends = links.join(side("a", "ca"), "a", "left").join(side("b", "cb"), "b", "left")
-        between = self.keep(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b").distinct())
-        if between.isEmpty():
-            return clusters
-        merged = self.clusters(between)
-        up = merged.select(F.col("node").alias("cluster"), F.col("cluster").alias("top"))
-        old = clusters.join(up, "cluster", "left").select("node", F.coalesce("top", "cluster").alias("cluster"))
-        return self.keep(old.unionByName(merged.join(clusters, "node", "left_anti")))
-
 
 def shared_id_links(full: DataFrame, classes: DataFrame) -> DataFrame | None:
     """Links (a, b) between the set classes of texts that stand under one id; none if no id has two sets."""
@@ -362,7 +350,7 @@ def near_duplicates(
        no band with probability (1 - 0.85**5)**25 = 4e-7.
     2. In each band bucket the first member is compared with every other on full sets, and the verified links
        are contracted to clusters: a bucket of near copies of its first is settled by as many comparisons as it
-       has members. Members outside the largest cluster meet further centres from it, a few times.
+       has members. Members outside the largest cluster meet a second centre from it.
     3. A bucket that still holds several clusters is settled in blocks: the members outside its largest cluster
        with each other and with that cluster. Buckets with the same members count once. Where more than ``hot``
        members stand outside, they are first dealt anew by bands of ``long_rows`` rows, as many as keep the
@@ -383,16 +371,18 @@ def near_duplicates(
     involved = shared.select("node").distinct().join(classes.select("node", "rep", "set_a", "set_b"), "node")
     values = class_sets(involved, docs, width)
     sets = m.keep(values.withColumn("n", (F.octet_length("values") / 8).cast("long")))
-    clusters, placed, several = m.settle(shared, None, sets)
+    labels, links, placed, several = m.settle(shared, sets.select("node", F.col("node").alias("cluster")), sets)
     crowded = several.filter(F.col("minors") > hot)
     if not crowded.isEmpty():
         nodes = placed.join(crowded.select("bucket"), "bucket", "left_semi").select("node").distinct()
         longer = m.shared(m.keep(long_bands(sets.join(nodes, "node", "left_semi"), band_count(percent, long_rows), long_rows)))
-        clusters, *left = m.settle(longer, clusters, sets)
-        clusters = m.contract(clusters, m.blocks(*left, sets))
-    clusters = m.contract(clusters, m.blocks(placed, several.filter(F.col("minors") <= hot), sets))
+        _, more, long_placed, long_several = m.settle(longer, labels, sets)
+        links += more
+        placed, several = placed.unionByName(long_placed), several.filter(F.col("minors") <= hot).unionByName(long_several)
+    links.append(m.blocks(placed, several, sets))
     if (same_id := shared_id_links(full, classes)) is not None:
-        clusters = m.contract(clusters, same_id)
+        links.append(same_id)
+    clusters = m.keep(connected_components(reduce(DataFrame.unionByName, links)).select("node", F.col("component").alias("cluster")))
 
     placed = classes.join(clusters, "node", "left").select("set_a", "set_b", "rep", F.coalesce("cluster", "node").alias("cluster"))
     least = placed.groupBy("cluster").agg(F.min("rep").alias("component"))
