@@ -25,7 +25,7 @@ def flatten_tables(text, between: str = " "):
     """Table rows ``| k | v |`` become lines ``k: v``; separator rows go."""
     row = lambda line: F.trim(line).rlike(r"^\|.*\|$")
     cells = lambda line: F.filter(F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)), lambda c: c != "")
-    flat = lambda line: F.when(~row(line), line).otherwise(F.when(F.size(cells(line)) > 1, F.concat(cells(line)[0], F.lit(": "), F.array_join(F.slice(cells(line), 2, 1000), between))).otherwise(F.array_join(cells(line), "")))
+    flat = lambda line: F.when(~row(line), line).otherwise(F.when(F.size(cells(line)) > 1, F.concat(cells(line)[0], F.lit(": "), F.array_join(F.slice(cells(line), F.lit(2), F.size(cells(line))), between))).otherwise(F.array_join(cells(line), "")))
     kept = F.filter(F.split(text, "\n"), lambda line: ~F.trim(line).rlike(_TABLE_RULE) | ~row(line))
     return F.array_join(F.transform(kept, flat), "\n")
 

@@ -10,12 +10,16 @@ from corvane.operators import retrieval as r
 from corvane.plans.governance import views
 from corvane.plans.registry import query
 from corvane.plans.retrieval import KEYWORD, PASSAGES, POSTS, TERMS, gold, keyword, passages, questions
-from corvane.plans.text import stems_sql
+from corvane.plans.text import stem_sql, stems_sql
 from corvane.functions import words as W
 from corvane.sources import corpus
 from corvane.sources.views import duck, table
 
 
+#: Sentences of a line in SQL: a mark before white space ends one, once citation markers stand before the mark.
+SENTENCES = r"string_split(regexp_replace(regexp_replace({}, '([.!?])((?:\s*\[S\d+\])+)', '\2\1', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
 def texts(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text")
 
@@ -43,11 +47,10 @@ def e01(spark, sf):
     return structure.markdown_blocks(texts(spark, sf)).select("doc_id", "block_no", "type", "char_start", "char_end", "text")
 
 
-@query("e01_blocks_cover_texts", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\\s*(-{3,}|\\*{3,}|_{3,})\\s*$'))) AS BIGINT) AS n_lines FROM documents WHERE NOT contains(text, chr(13)) AND trim(replace(text, chr(10), '')) <> '' AND NOT regexp_matches(text, '(?m)^\\s*(-{3,}|\\*{3,}|_{3,})\\s*$')")
+@query("e01_blocks_cover_texts", "SELECT * FROM (SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '^\\s*(-{3,}|\\*{3,}|_{3,})\\s*$'))) AS BIGINT) AS n_lines FROM (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents)) WHERE n_lines > 0")
 def e01b(spark, sf):
     """Lines of all blocks of a text: every line that is not blank, once."""
-    plain = texts(spark, sf).filter(r"not contains(text, char(13)) and trim(replace(text, char(10), '')) <> ''").filter(~F.col("text").rlike(r"(?m)^\s*(-{3,}|\*{3,}|_{3,})\s*$"))
-    return structure.markdown_blocks(plain).groupBy("doc_id").agg(F.sum(F.size(F.split("text", "\n"))).alias("n_lines"))
+    return structure.markdown_blocks(texts(spark, sf)).groupBy("doc_id").agg(F.sum(F.size(F.split("text", "\n"))).alias("n_lines"))
 
 
 @query("e02_plain_blocks")
@@ -94,12 +97,11 @@ def e14(spark, sf):
     return structure.passage_windows(texts(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.lit("Corpus").alias("title"), F.lit("text").alias("heading"), "text"))
 
 
-@query("e16_sentences", "SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(text, '[.!?]\\s+'), lambda s: trim(s) <> '')) AS INTEGER) AS n FROM conversations WHERE NOT regexp_matches(text, '[.!?]\\s*[.!?]')")
+@query("e16_sentences", "SELECT conv_id, turn, CAST(len(list_filter(" + SENTENCES.format("text") + ", lambda s: trim(s) <> '')) AS INTEGER) AS n FROM conversations")
 def e16(spark, sf):
     from corvane.functions.text import sentences
 
-    calm = table(spark, sf, "conversations").filter(~F.col("text").rlike(r"[.!?]\s*[.!?]"))
-    return calm.select("conv_id", "turn", F.size(sentences(F.col("text"))).alias("n"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.size(sentences(F.col("text"))).alias("n"))
 
 
 HEAD = "concat('# ', c_name, char(10), 'Document code: P-', CAST(c_custkey AS STRING), char(10), '| Version | v', CAST(c_custkey % 9 + 1 AS STRING), ' |', char(10), 'Effective from: 2024-0', CAST(c_custkey % 9 + 1 AS STRING), '-15', char(10), 'Review due: 3 March 2026')"
@@ -240,13 +242,21 @@ def drafts(spark, sf):
     return questions(spark, sf).select("question_id", F.concat(F.lit("- "), F.regexp_replace("question", r"[.!?]\s+", " "), F.lit(" [S1]\nPlainly uncited words here.")).alias("draft"))
 
 
-@query("k06_claims", "SELECT item_id AS question_id, 2 AS n_claims, 1 AS n_cited FROM benchmark WHERE NOT regexp_matches(text, '[!?;]')")
+@query(
+    "k06_claims",
+    r"""WITH d AS (SELECT item_id AS question_id, '- ' || regexp_replace(text, '[.!?]\s+', ' ', 'g') || ' [S1]' || chr(10) || 'Plainly uncited words here.' AS draft FROM benchmark),
+    l AS (SELECT question_id, unnest(string_split(draft, chr(10))) AS raw FROM d), b AS (SELECT question_id, regexp_replace(raw, '^\s*(?:[-*•]|\d+[.)])\s+', '') AS body FROM l WHERE trim(raw) <> ''),
+    s AS (SELECT question_id, unnest("""
+    + SENTENCES.format("body")
+    + r""") AS claim FROM b)
+    SELECT question_id, CAST(count(*) AS INTEGER) AS n_claims, CAST(count(*) FILTER (regexp_matches(claim, '\[S\d+\]')) AS INTEGER) AS n_cited FROM s WHERE trim(claim) <> '' GROUP BY 1""",
+)
 def k06(spark, sf):
-    made = answers.claims(drafts(spark, sf)).join(questions(spark, sf).filter(~F.col("question").rlike("[!?;]")).select("question_id"), "question_id", "left_semi")
+    made = answers.claims(drafts(spark, sf))
     return made.groupBy("question_id").agg(F.count("*").cast("int").alias("n_claims"), F.count_if(F.size("cited") > 0).cast("int").alias("n_cited"))
 
 
-META = "[" + ", ".join(f"'{conflicts.stem_word(w)}'" for w in W.CITATION_WORDS) + "]"
+META = "[" + ", ".join(stem_sql(f"'{w}'") for w in W.CITATION_WORDS) + "]"
 CHECKED = f"""WITH {PASSAGES}, {TERMS}, {POSTS}, {KEYWORD}, own AS (SELECT question_id, text AS body, regexp_replace(q, '[.!?]\\s+', ' ', 'g') AS q, list_filter({stems_sql('q')}, lambda w: NOT list_contains({META}, w)) AS own
         FROM (SELECT k.question_id, b.text AS q, d.text FROM kw k JOIN benchmark b ON b.item_id = k.question_id JOIN docs d USING (chunk_id) WHERE k.rank = 1)),
     judged AS (SELECT question_id, q, CASE WHEN len(own) = 0 THEN 1.0 ELSE round(len(list_intersect(own, {stems_sql("'text ' || body")})) / len(own), 4) END AS score FROM own)"""

@@ -25,7 +25,10 @@ def stream(spark, sf, name):
 
 
 def place(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corvane-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="corvane-stream-")
     return f"{root.rstrip('/')}/corvane-stream-{uuid.uuid4().hex}"
 
 

@@ -53,8 +53,8 @@ def test_parents_dates_stems(spark):
     got = {r.p: r.x for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", t.parent_path(F.col("p")).alias("x")).collect()}
     assert got == paths
     assert one(spark, t.loose_date(F.lit("3 march 2026"))) == date(2026, 3, 3) and one(spark, t.loose_date(F.lit("soon"))) is None
-    for word in "infusions stations policies dose rates used given sing".split():
-        assert one(spark, t.stem(F.lit(word))) == conflicts.stem_word(word)
+    for word, stem in {"infusions": "infusion", "rates": "rate", "sing": "sing", "used": "use", "given": "given", "policies": "polic"}.items():
+        assert one(spark, t.stem(F.lit(word))) == stem
 
 
 def test_markers_and_sentences(spark):
@@ -64,8 +64,13 @@ def test_markers_and_sentences(spark):
 
 
 def test_quantities_and_conflicts(spark):
-    found = conflicts.find_quantities("Give 25,000 units in 50 ml every 6 hours, aPTT 60-85 seconds [S3].")
-    assert [(q["value"], q["unit"]) for q in found] == [("25000", "units"), ("50", "ml"), ("6", "h"), ("60-85", "s")]
+    text = "Give >= 25,000 units in 50 ml every 6 hours, aPTT 60-85 seconds [S3]."
+    found = conflicts.quantities(spark.createDataFrame([(1, text)], "chunk_id long, text string")).orderBy("pos").collect()
+    assert [(q.value, q.unit, q.comparator) for q in found] == [("25000", "units", ">="), ("50", "ml", ""), ("6", "h", ""), ("60-85", "s", "")]
+    assert all(text[q.pos : q.end].strip() == q.raw for q in found)
+    far = "alpha " + "1, " * 400 + "5 mg " + "2; " * 300 + "omega"  # neighbours are words, however far
+    last = conflicts.quantities(spark.createDataFrame([(1, far)], "chunk_id long, text string")).filter("unit = 'mg'").first()
+    assert {"alpha", "omega"} <= set(last.context)
     rows = [(1, "Repeat the aPTT heparin sample every 6 hours until therapeutic"), (2, "Repeat the aPTT heparin sample every 4 hours until therapeutic"), (3, "Repeat the aPTT heparin sample every 6 hours until therapeutic"), (4, "Dilute in 50 ml saline"), (5, "Infuse with 100 ml saline")]
     q = conflicts.quantities(spark.createDataFrame(rows, "chunk_id long, text string"))
     pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5)], "a long, b long")
