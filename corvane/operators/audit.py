@@ -11,15 +11,32 @@ from pyspark.sql import functions as F
 GENESIS = "0" * 64
 
 
+#: JSON escapes of the characters that a string must not hold as they are.
+_ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+_ESCAPES |= {chr(n): f"\\u{n:04x}" for n in range(32) if chr(n) not in _ESCAPES}
+
+
+def json_string(value: Column) -> Column:
+    """A string as JSON, characters beyond ASCII as they are; null as ``null``."""
+    out = value
+    for plain, escaped in _ESCAPES.items():
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
+
+
 def canonical_record() -> Column:
-    """The six fields of an event as JSON with sorted keys; created_at in UTC microseconds."""
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r'(["\\])', r"\\$1"), F.lit('"'))
-    stamp = F.concat(F.lit('"'), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"'))
-    fields = {"action": quoted("action"), "actor": quoted("actor_user_id"), "created_at": stamp, "entity_id": quoted("entity_id"), "payload": quoted("payload"), "seq": F.col("seq").cast("string")}
-    parts = []
-    for k, v in sorted(fields.items()):
-        parts += [F.lit(("," if parts else "{") + f'"{k}":'), v]
-    return F.concat(*parts, F.lit("}"))
+    """The hashed fields of an event as JSON with sorted keys and no blanks.
+
+    action, actor_user_id, created_at (UTC, microseconds), entity_id, entity_type and the payload, an object whose keys
+    are sorted too; no payload is an empty object. A payload that is no JSON counts as a string.
+    """
+    text = lambda c: json_string(F.col(c).cast("string"))
+    stamp = F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    given = F.col("payload").cast("string")
+    payload = F.coalesce(F.to_json(F.try_parse_json(given)), F.when(given.isNull(), F.lit("{}")), json_string(given))
+    fields = {"action": text("action"), "actor_user_id": text("actor_user_id"), "created_at": F.concat(F.lit('"'), stamp, F.lit('+00:00"')), "entity_id": text("entity_id"), "entity_type": text("entity_type"), "payload": payload}
+    parts = [F.concat(F.lit(f'"{k}":'), v) for k, v in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
 def numbered(events: DataFrame, by: str = "seq") -> DataFrame:
@@ -28,7 +45,8 @@ def numbered(events: DataFrame, by: str = "seq") -> DataFrame:
     Rows are range-partitioned and sorted, counted per partition, and numbered inside partitions with the
     counts of those before added: only one small row per partition is gathered.
     """
-    placed = events.repartitionByRange(by).sortWithinPartitions(by).withColumn("part", F.spark_partition_id())
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is never coalesced
+    placed = events.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("part", F.spark_partition_id())
     inside = placed.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(by)))
     counts = inside.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -50,6 +68,21 @@ def verify_chain(events: DataFrame) -> DataFrame:
     return found.select(F.col("bad").isNull().alias("ok"), F.coalesce(F.col("bad.index") - 1, "n").alias("events_checked"), F.col("bad.seq").alias("first_bad_seq"), F.col("bad.reason").alias("reason"))
 
 
+def verify_chains(events: DataFrame, chain_col: str) -> DataFrame:
+    """(chain, ok, events_checked, first_bad_seq, reason) of every chain, as :func:`verify_chain` gives it for one.
+
+    A chain is one log's day, so neighbours meet in a window over a bounded chain; chains are checked side by side.
+    """
+    order = Window.partitionBy(chain_col).orderBy("seq")
+    expected = F.sha2(F.concat("prev_hash", canonical_record()).cast("binary"), 256)
+    last = F.coalesce(F.lag("hash").over(order), F.lit(GENESIS))
+    reason = F.when(F.col("prev_hash") != last, F.lit("broken link")).when(F.col("hash") != F.col("expected"), F.lit("content changed"))
+    checked = events.withColumn("expected", expected).withColumn("index", F.row_number().over(order)).withColumn("reason", reason)
+    bad = F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "index", "reason"))).alias("bad")
+    found = checked.groupBy(F.col(chain_col).alias("chain")).agg(F.count("*").alias("n"), bad)
+    return found.select("chain", F.col("bad").isNull().alias("ok"), F.coalesce(F.col("bad.index") - 1, "n").cast("long").alias("events_checked"), F.col("bad.seq").alias("first_bad_seq"), F.col("bad.reason").alias("reason"))
+
+
 def append_chain(events: DataFrame, chain_col: str, last_hashes: DataFrame | None = None) -> DataFrame:
     """Events with prev_hash and hash, chained per ``chain_col`` in order of seq, from each chain's last hash.
 

@@ -6,18 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def containing_passages(items: DataFrame, documents: DataFrame, probe: int = 60, key: int = 12) -> DataFrame:
-    """(question_id, chunk_id) of documents that contain the first ``probe`` characters of an item.
+def containing_passages(items: DataFrame, documents: DataFrame, key: int = 12) -> DataFrame:
+    """(question_id, chunk_id) of documents that contain the whole text of an item, from the start of a word on.
 
-    Items are few and their probes' first ``key`` characters are looked up at every position of a document,
-    so the join is an equality on that key, with the whole probe as its condition.
+    The first ``key`` characters of an item (all, if it has fewer) are looked up at every word start of a document:
+    an equality join of short keys; only then are the texts of what was found fetched and compared in full. Items
+    without text match nothing.
     """
-    probes = items.select(F.col("item_id").alias("question_id"), F.substring("text", 1, probe).alias("probe")).withColumn("key", F.substring("probe", 1, key))
-    # a word-aligned key keeps the exploded side small: only runs that start a word, where probes start too
-    starts = F.regexp_extract_all(F.col("text"), F.lit(r"(?s)(?=(\S.{" + str(key - 1) + r"}))"), F.lit(1))
-    keyed = documents.filter("text is not null").select("doc_id", "text", F.explode(F.array_distinct(starts)).alias("key"))
-    hit = keyed.join(probes, "key").filter(F.contains("text", "probe"))
-    return hit.select("question_id", F.col("doc_id").alias("chunk_id")).distinct()
+    asked = items.select(F.col("item_id").alias("question_id"), F.trim("text").alias("item")).filter("item <> ''").withColumn("key", F.substring("item", 1, key))
+    sizes = sorted(r[0] for r in asked.select(F.length("key")).distinct().collect())  # `key` numbers at most
+    starts = F.regexp_extract_all(F.col("text"), F.lit(r"(?s)(?<!\S)(?=(\S.{0," + str(key - 1) + r"}))"), F.lit(1))
+    keys = F.array_distinct(F.flatten(F.array(*[F.transform(starts, lambda s, n=n: F.substring(s, 1, n)) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    texts = documents.filter("text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
+    near = texts.select("chunk_id", F.explode(keys).alias("key")).join(asked.select("question_id", "key"), "key").select("question_id", "chunk_id").distinct()
+    hit = near.join(asked.drop("key"), "question_id").join(texts, "chunk_id").filter(F.contains("text", "item"))
+    return hit.select("question_id", "chunk_id").distinct()
 
 
 def gold_reference(reference: Column) -> Column:
@@ -57,12 +60,18 @@ def category_totals(scored: DataFrame) -> DataFrame:
 def nearest_rank(rows: DataFrame, by: str, value: str, p: float, name: str) -> DataFrame:
     """The value at index round-half-even(p * (n - 1)) of each group, in order, nulls left out.
 
-    Counts come first, so that each task can pick its row from a sorted window without gathering a group.
+    Rows are range-partitioned by group and value, so a large group lies in many partitions; places inside a partition
+    and the counts of a group's partitions before it give each row's place, and no group meets in one task.
     """
-    known = rows.filter(F.col(value).isNotNull())
+    known = rows.filter(F.col(value).isNotNull()).select(by, value)
     index = known.groupBy(by).agg(F.bround(F.lit(p) * (F.count("*") - 1)).cast("long").alias("index"))
-    placed = known.select(by, value).withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1)
-    return placed.join(index, by).filter("place = index").select(by, F.col(value).alias(name))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is never coalesced: places and counts see the same partitions
+    ranged = known.repartitionByRange(parts, by, value).withColumn("part", F.spark_partition_id())
+    inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("part", by).orderBy(value)))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy(by, "part").agg(F.count("*").alias("m")).withColumn("before", before).drop("m")
+    placed = inside.join(counts, [by, "part"]).join(index, by)
+    return placed.filter("inside - 1 + before = index").select(by, F.col(value).alias(name))
 
 
 def gate(metrics: DataFrame, thresholds: dict[str, tuple[str, float]]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +44,13 @@ def uncovered_entities(terms: DataFrame, stats: DataFrame, lexicon: list[str]) -
     return terms.filter(F.col("term").isin(lexicon)).join(stats.filter("df > 0"), "term", "left_anti")
 
 
-def postings(passages: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """(chunk_id, term, tf) of the stemmed words of passages."""
-    found = F.filter(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z][a-z0-9-]*"), F.lit(0)), lambda w: F.length(w) > 1)
-    return passages.select(F.col(id_col).alias("chunk_id"), F.explode(F.transform(found, stem)).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+def postings(passages: DataFrame, terms: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """(chunk_id, term, tf) of the stemmed words of passages; only of ``terms(term)`` if given, dropped before anything is counted."""
+    words = passages.select(F.col(id_col).alias("chunk_id"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z][a-z0-9-]+"), F.lit(0))).alias("word"))
+    found = words.select("chunk_id", stem(F.col("word")).alias("term"))
+    if terms is not None:
+        found = found.join(terms.select("term").distinct(), "term", "left_semi")
+    return found.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", id_col: str = "chunk_id", by: str = "question_id") -> DataFrame:
@@ -52,14 +59,15 @@ def top_k(scored: DataFrame, k: int, score: str = "score", id_col: str = "chunk_
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def keyword_topk(terms: DataFrame, posts: DataFrame, k: int = 40, eligible: DataFrame | None = None) -> DataFrame:
+def keyword_topk(terms: DataFrame, passages: DataFrame, k: int = 40, eligible: DataFrame | None = None) -> DataFrame:
     """(question_id, chunk_id, score, rank): r / (r + 1) with r a tenth of the matched term frequencies.
 
-    Only postings of question terms enter the join; eligibility is applied before ranking.
+    ``terms``: (question_id, term). Eligibility comes before the texts are read, and words of no question are
+    dropped before any is counted.
     """
     if eligible is not None:
-        posts = posts.join(eligible.select("chunk_id"), "chunk_id", "left_semi")
-    total = posts.join(terms, "term").groupBy("question_id", "chunk_id").agg(F.sum("tf").alias("tf"))
+        passages = passages.join(eligible.select("chunk_id"), "chunk_id", "left_semi")
+    total = postings(passages, terms).join(terms, "term").groupBy("question_id", "chunk_id").agg(F.sum("tf").alias("tf"))
     r = F.col("tf") * 0.1
     return top_k(total.select("question_id", "chunk_id", F.round(r / (r + 1), 9).alias("score")), k)
 
@@ -69,18 +77,54 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 40, digits: int = 6) -> DataFrame:
-    """(question_id, chunk_id, score, rank) for queries (question_id, vector) over chunks (chunk_id, vector).
+#: Vectors, and queries, that meet in one matrix product.
+VECTOR_BLOCK = 4096
+
+
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 40, digits: int = 6, tags: tuple[str, ...] = (), allowed=None) -> DataFrame:
+    """(question_id, chunk_id, score, rank) for queries (question_id, vector) over chunks (chunk_id, vector): exact cosines.
 
-    Norms are computed once a row. The stated query set is joined with all rows; which side travels is left
-    to the planner, and the window keeps ``k`` rows per question and task before the exchange.
+    Both sides are dealt into blocks, each packed into one row; every pair of blocks meets by an equality join and
+    is one matrix product, of which ``k`` rows a query are kept. ``allowed(query_tags, chunk_tags, scores)`` gives a
+    mask of the pairs that count, from the columns ``tags`` of both sides as numbers. Null and zero vectors take no part.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    q = queries.select("question_id", F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
-    c = vectors.filter("vector is not null").select("chunk_id", F.col("vector").alias("cv"), norm(F.col("vector")).alias("cn"))
-    dot = F.aggregate(F.zip_with("qv", "cv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    scored = q.crossJoin(c).select("question_id", "chunk_id", F.round(dot / (F.col("qn") * F.col("cn")), digits).alias("score"))
-    return top_k(scored, k)
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+
+    def packed(df: DataFrame, key: str, name: str, parts: int) -> DataFrame:
+        known = df.filter(F.col("vector").isNotNull() & (norm > 0))
+        block = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(name)
+        rows = known.select(block, F.struct(F.col(key).cast("long").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v"), F.array(*[F.col(t).cast("double") for t in tags]).alias("t")).alias("row"))
+        return rows.groupBy(name).agg(F.collect_list("row").alias(f"{name}_rows"))
+
+    n_left, n_right = (max(1, -(-df.count() // VECTOR_BLOCK)) for df in (queries, vectors))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = packed(queries, "question_id", "q", n_left).withColumn("c", spread(n_right))
+    right = packed(vectors, "chunk_id", "c", n_right).withColumn("q", spread(n_left))
+
+    def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        matrix = lambda lists: lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+        return rows.field("id").to_numpy(zero_copy_only=False), matrix(rows.field("v")), matrix(rows.field("t")) if tags else np.zeros((len(rows), 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (q_ids, q, q_tags), (c_ids, c, c_tags) = (unpacked(batch.column(side)[i].values) for side in (0, 1))
+                q, c = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, c))
+                found: list[tuple[int, int, float]] = []
+                for lo in range(0, len(q), 256):
+                    scores = np.round(q[lo : lo + 256] @ c.T, digits)
+                    if allowed is not None:
+                        scores[~allowed(q_tags[lo : lo + 256], c_tags, scores)] = -np.inf
+                    for q_id, row in zip(q_ids[lo : lo + 256].tolist(), scores, strict=True):
+                        least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                        some = np.flatnonzero((row >= least) & np.isfinite(row))
+                        some = some[np.lexsort((c_ids[some], -row[some]))[:k]]
+                        found += zip([q_id] * len(some), c_ids[some].tolist(), row[some].tolist(), strict=True)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["question_id", "chunk_id", "score"])
+
+    pairs = left.join(right, ["q", "c"]).select("q_rows", "c_rows").mapInArrow(run, "question_id long, chunk_id long, score double")
+    return top_k(pairs, k)
 
 
 def rrf(lists: list[DataFrame], k: int = 60, limit: int | None = None) -> DataFrame:

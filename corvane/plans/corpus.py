@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corvane.functions.text import stemmed_words
 from corvane.operators import answers, conflicts, evaluation, metadata, privacy, routing, structure
 from corvane.operators import retrieval as r
+from corvane.plans.analytics import RECORD
 from corvane.plans.governance import views
 from corvane.plans.registry import query
 from corvane.plans.retrieval import KEYWORD, PASSAGES, POSTS, TERMS, gold, keyword, passages, questions
@@ -368,10 +369,8 @@ def m01_references(spark, sf):
     return full.join(wanted, "doc_code").filter(hit).select("chunk_id")
 
 
-@query("f13_canonical_records", f"WITH {duck('audit_v')} SELECT seq, length(payload) > 0 AS has_payload FROM audit_v")
+@query("f13_canonical_records", f"WITH {duck('audit_v')} SELECT seq, {RECORD} AS record FROM audit_v")
 def f13(spark, sf):
-    """Canonical records hold the payload as it was stored."""
     from corvane.operators.audit import canonical_record
 
-    events = table(spark, sf, "audit_v").withColumn("record", canonical_record())
-    return events.select("seq", F.get_json_object("record", "$.payload").eqNullSafe(F.col("payload")).alias("has_payload"))
+    return table(spark, sf, "audit_v").select("seq", canonical_record().alias("record"))

@@ -39,7 +39,8 @@ VIEWS = {
     "conflicts_v": """SELECT o_orderkey AS conflict_id, o_orderkey * 10 + 1 AS chunk_a, o_orderkey * 10 + 2 AS chunk_b,
         CASE o_orderkey % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'resolved' ELSE 'dismissed' END AS status, o_orderdate AS created_at FROM {orders} WHERE o_orderkey % 6 < 4""",
     "audit_v": """SELECT event_id AS seq, ts AS created_at, user_id % 40 + 1 AS actor_user_id, concat(CASE event_type WHEN 'click' THEN 'document.approve' WHEN 'view' THEN 'document.upload' WHEN 'purchase' THEN 'conflict.resolve'
-        WHEN 'signup' THEN 'feedback.resolve' ELSE 'auth.login' END, '') AS action, CAST(event_id % 100 AS STRING) AS entity_id, props AS payload FROM {events}""",
+        WHEN 'signup' THEN 'feedback.resolve' ELSE 'auth.login' END, '') AS action, CASE event_type WHEN 'click' THEN 'document' WHEN 'view' THEN 'document' WHEN 'purchase' THEN 'conflict'
+        WHEN 'signup' THEN 'feedback' ELSE 'auth' END AS entity_type, CASE WHEN event_id % 13 <> 0 THEN CAST(event_id % 100 AS STRING) END AS entity_id, props AS payload FROM {events}""",
     "chunk_texts_v": """SELECT doc_id AS chunk_id, text, lang, source FROM {documents} WHERE text IS NOT NULL""",
 }
 

@@ -122,13 +122,31 @@ def test_markdown_chunks(spark):
 
 
 def test_chain(spark):
-    rows = [(k, f"2026-01-0{k} 10:00:00", 7, "a", str(k), "{}") for k in range(1, 6)]
-    events = spark.createDataFrame(rows, "seq long, created_at string, actor_user_id long, action string, entity_id string, payload string").withColumn("created_at", F.to_timestamp("created_at")).withColumn("log", F.lit(1))
+    rows = [(k, f"2026-01-0{k} 10:00:00", 7, "a", "t", str(k), "{}") for k in range(1, 6)]
+    schema = "seq long, created_at string, actor_user_id long, action string, entity_type string, entity_id string, payload string"
+    events = spark.createDataFrame(rows, schema).withColumn("created_at", F.to_timestamp("created_at")).withColumn("log", F.lit(1))
     chain = audit.append_chain(events, "log").cache()
     assert tuple(audit.verify_chain(chain).first()) == (True, 5, None, None)
     changed = chain.withColumn("payload", F.when(F.col("seq") == 3, "{1}").otherwise(F.col("payload")))
-    assert tuple(audit.verify_chain(changed).first()) == (False, 2, 3, "content changed")
-    assert tuple(audit.verify_chain(chain.filter("seq <> 2")).first()) == (False, 1, 3, "broken link")
+    broken = chain.filter("seq <> 2")
+    for events, want in ((chain, (True, 5, None, None)), (changed, (False, 2, 3, "content changed")), (broken, (False, 1, 3, "broken link"))):
+        assert tuple(audit.verify_chain(events).first()) == want and tuple(audit.verify_chains(events, "log").first()) == (1, *want)
+
+
+def test_canonical_records_and_hashes(spark):
+    import hashlib
+    import json
+
+    payloads = ['{"b": 2, "a": "x"}', "{}", None, '{"z": [1, {"y": null, "b": true}], "é": "ü \\" \\\\"}']
+    rows = [(k, "2026-01-02 03:04:05.000678", None if k == 1 else f"u{k}", 'act "q" \\ \n\t\x01\x1f é', "doc", None if k == 2 else "7", p) for k, p in enumerate(payloads)]
+    schema = "seq long, created_at string, actor_user_id string, action string, entity_type string, entity_id string, payload string"
+    events = spark.createDataFrame(rows, schema).withColumn("created_at", F.to_timestamp("created_at")).withColumn("log", F.lit(1))
+    last = audit.GENESIS
+    for r in sorted(audit.append_chain(events, "log").withColumn("record", audit.canonical_record()).collect(), key=lambda r: r.seq):
+        fields = {"actor_user_id": r.actor_user_id, "action": r.action, "entity_type": r.entity_type, "entity_id": r.entity_id, "payload": json.loads(r.payload or "{}"), "created_at": "2026-01-02T03:04:05.000678+00:00"}
+        assert r.record == json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        assert r.prev_hash == last and r.hash == hashlib.sha256((last + r.record).encode()).hexdigest()
+        last = r.hash
 
 
 def test_claims(spark):
