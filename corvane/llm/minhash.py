@@ -338,7 +338,7 @@ def shared_id_links(full: DataFrame, classes: DataFrame) -> DataFrame | None:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 25, rows: int = 5, long_rows: int = 10, hot: int = 256, block: int = 256, block_shingles: int = 200_000
+    docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 25, rows: int = 5, long_rows: int = 10, hot: int = 512, block: int = 256, block_shingles: int = 200_000
 ) -> DataFrame:
     """``docs(doc_id, text)`` -> (doc_id, n_shingles, component_id, kept), one row per row.
 
