@@ -16,7 +16,8 @@ def containing_passages(items: DataFrame, documents: DataFrame, key: int = 12) -
     asked = items.select(F.col("item_id").alias("question_id"), F.trim("text").alias("item")).filter("item <> ''").withColumn("key", F.substring("item", 1, key))
     sizes = sorted(r[0] for r in asked.select(F.length("key")).distinct().collect())  # `key` numbers at most
     starts = F.regexp_extract_all(F.col("text"), F.lit(r"(?s)(?<!\S)(?=(\S.{0," + str(key - 1) + r"}))"), F.lit(1))
-    keys = F.array_distinct(F.flatten(F.array(*[F.transform(starts, lambda s, n=n: F.substring(s, 1, n)) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    cut = lambda n: F.transform(starts, lambda s: F.substring(s, 1, n))
+    keys = F.array_distinct(F.flatten(F.array(*map(cut, sizes)))) if sizes else F.array().cast("array<string>")
     texts = documents.filter("text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
     near = texts.select("chunk_id", F.explode(keys).alias("key")).join(asked.select("question_id", "key"), "key").select("question_id", "chunk_id").distinct()
     hit = near.join(asked.drop("key"), "question_id").join(texts, "chunk_id").filter(F.contains("text", "item"))

@@ -177,3 +177,16 @@ def test_eligibility_and_drop_reasons_agree(spark):
             kept = {r.chunk_id for r in governance.eligible_chunks(chunks, v, links, as_of, scope).select("chunk_id").collect()}
             free = {r.chunk_id for r in governance.with_drop_reason(chunks, v, links, as_of, scope).filter("drop_reason is null").select("chunk_id").collect()}
             assert kept == free
+
+
+def test_gold_passages_hold_whole_items(spark):
+    item = "The whole item counts, " + "from its first word to the very last " * 5 + "one."
+    items = spark.createDataFrame([(1, item), (2, "tiny"), (3, "  "), (4, item[:30] + " but another end")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "x " + item + " y"), (11, item[:-6]), (12, "a tiny one"), (13, "\ntiny"), (14, None), (15, item)], "doc_id long, text string")
+    assert {tuple(r) for r in evaluation.containing_passages(items, docs).collect()} == {(1, 10), (1, 15), (2, 12), (2, 13)}
+
+
+def test_nearest_rank_of_one_large_group(spark):
+    rows = [("a", float(k * 7919 % 5000)) for k in range(5000)] + [("b", 1.0), ("b", 3.0), ("b", None), ("c", None)]
+    got = evaluation.nearest_rank(spark.createDataFrame(rows, "g string, v double").repartition(7), "g", "v", 0.95, "p").collect()
+    assert {tuple(r) for r in got} == {("a", 4749.0), ("b", 3.0)}
