@@ -145,17 +145,22 @@ def record_hash(previous: Column, record: Column) -> Column:
     return F.sha2(F.concat(previous, record).cast("binary"), 256)
 
 
-def expand_queries(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
-    """(id, expansions, expanded): meanings of the abbreviations of a question, longest term first.
+def abbreviations_in(text: Column) -> Column:
+    """(term, meaning) of the known abbreviations of a text, longest term first.
 
-    A term must stand alone, not inside a word or next to a hyphen; a meaning already in the question or
-    already added is left out. The dictionary is a fixed list, so this is one expression per term.
+    A term must stand alone, not inside a word or next to a hyphen; one whose meaning the text holds is left out.
+    The dictionary is a fixed list, so this is one expression per term.
     """
-    text = F.col(text_col)
     found = []
     for term, meaning, cased in sorted(W.ABBREVIATIONS, key=lambda t: (-len(t[0]), t[0])):
         pattern = ("" if cased else "(?i)") + r"(?<![\w-])" + term.replace(" ", r"[\s-]?") + r"(?![\w-])"
-        found.append(F.when(text.rlike(pattern) & ~F.contains(F.lower(text), F.lit(meaning.lower())), F.lit(meaning)))
-    meanings = F.array_distinct(F.array_compact(F.array(*found)))
+        found.append(F.when(text.rlike(pattern) & ~F.contains(F.lower(text), F.lit(meaning.lower())), F.struct(F.lit(term).alias("term"), F.lit(meaning).alias("meaning"))))
+    return F.array_compact(F.array(*found))
+
+
+def expand_queries(questions: DataFrame, id_col: str = "question_id", text_col: str = "question") -> DataFrame:
+    """(id, expansions, expanded): each question with the meanings of its abbreviations, each once."""
+    text = F.col(text_col)
+    meanings = F.array_distinct(F.transform(abbreviations_in(text), lambda a: a["meaning"]))
     joined = F.array_join(meanings, "; ")
     return questions.select(id_col, meanings.alias("expansions"), F.when(joined == "", text).otherwise(F.concat(text, F.lit(" ("), joined, F.lit(")"))).alias("expanded"))

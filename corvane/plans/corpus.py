@@ -213,7 +213,7 @@ def j04(spark, sf):
 
 
 def context_rows(spark, sf):
-    top = keyword(spark, sf).filter("rank <= 4").join(passages(spark, sf), "chunk_id")
+    top = keyword(spark, sf).filter("rank <= 6").join(passages(spark, sf), "chunk_id")
     return top.select("question_id", "chunk_id", F.col("rank").alias("place"), F.lit("Corpus").alias("title"), F.lit("text").alias("heading"), "text", F.col("score").alias("rerank"))
 
 
@@ -332,9 +332,9 @@ def f11b(spark, sf):
 
 @query("e15_answer_units")
 def e15(spark, sf):
-    """Answer units of all documents: sentences of three words or more, in order."""
-    units = texts(spark, sf).select("doc_id", F.posexplode(F.split("text", r"(?<=[.;])\s+(?=[A-Z(])|\n")).alias("pos", "unit"))
-    return units.filter(F.size(F.split(F.trim("unit"), r"\s+")) >= 3)
+    """Answer units of all documents."""
+    units = answers.answer_units(passages(spark, sf).withColumn("heading", F.lit("text")))
+    return units.select("chunk_id", "ord", "unit", F.size("cells").alias("n_cells"), "lead")
 
 
 @query("k11_quick_value_check", "SELECT event_id AS question_id, event_id % 2 = 0 OR event_id % 6 = 3 AS ok FROM events")

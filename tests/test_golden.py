@@ -190,3 +190,30 @@ def test_nearest_rank_of_one_large_group(spark):
     rows = [("a", float(k * 7919 % 5000)) for k in range(5000)] + [("b", 1.0), ("b", 3.0), ("b", None), ("c", None)]
     got = evaluation.nearest_rank(spark.createDataFrame(rows, "g string, v double").repartition(7), "g", "v", 0.95, "p").collect()
     assert {tuple(r) for r in got} == {("a", 4749.0), ("b", 3.0)}
+
+
+def test_answer_units(spark):
+    text = "Intro **bold** words here. Second\nwrapped sentence follows\n\n- item one is here\n- two\n\nUse this table now:\n| Drug | Dose | Route |\n|---|:---:|---|\n| A | 5 mg | IV |\n| B |  | oral |\nAfter the table comes text."
+    got = answers.answer_units(spark.createDataFrame([(1, "Doses", text), (2, "", None)], "chunk_id long, heading string, text string")).orderBy("ord").collect()
+    assert [r.unit for r in got] == ["Intro bold words here.", "Second wrapped sentence follows", "item one is here", "Use this table now:", "Doses — Drug: A; Dose: 5 mg; Route: IV", "Doses — Drug: B; Route: oral", "After the table comes text."]
+    assert [r.lead for r in got] == [None] * 4 + [3, 3, None] and [c.value for c in got[4].cells] == ["A", "5 mg", "IV"]
+
+
+def test_extractive_answers(spark):
+    questions = spark.createDataFrame([(1, "What is the heparin dose"), (2, "TPN rate at 40 ml/h"), (3, "Who owns the moon"), (4, "zorbium limit")], "question_id long, question string")
+    rows = [
+        (1, 10, 1, "Guide", "Dosing", "Give heparin dose of 80 units per kg now. Unrelated words stand here too.", 0.9), (1, 11, 2, "Guide", "Background", "The heparin dose has a long history here.", 0.9),
+        (2, 20, 1, "Food", "Rates", "Total parenteral nutrition needs a doctor to sign:\n| State | Rate |\n|---|---|\n| Start | 40 ml/h |\n| Later | 60 ml/h |", 0.8),
+        (3, 30, 1, "Guide", "Dosing", "Nothing of that kind is said in this text.", 0.0),
+        *((4, 40 + k, k, "Guide", "Other", "Plain words about other things entirely.", 0.5) for k in range(1, 5)), (4, 45, 5, "Guide", "Late", "The zorbium limit is 7 mg a day. Plain words about other things.", 0.5),
+    ]
+    context = spark.createDataFrame(rows, "question_id long, chunk_id long, place int, title string, heading string, text string, rerank double").withColumn("doc_code", F.concat(F.lit("D-"), "chunk_id")).withColumn("section_path", F.lit("4")).withColumn("effective_from", F.date_add(F.lit("2025-12-31").cast("date"), F.col("chunk_id").cast("int")))
+    terms = spark.createDataFrame([(4, "zorbium")], "question_id long, term string")
+    notes = spark.createDataFrame([(1, "S1", "S2")], "question_id long, marker_a string, marker_b string")
+    got = {r.question_id: r for r in answers.extractive_answers(questions, context, terms, notes).collect()}
+    assert got[1].answer.split("\n") == ["Give heparin dose of 80 units per kg now. [S1]", "However, D-11 §4 states: The heparin dose has a long history here. [S2]", "D-11 has the later effective date (2026-01-11). [S2]"]
+    assert [(q.label, q.value) for q in got[1].quick_values] == [("heparin dose of", "80 units")]
+    assert got[2].answer.startswith("Rates — State: Start; Rate: 40 ml/h. [S1]") or "Rate: 40 ml/h. [S1]" in got[2].answer
+    assert "60 ml/h" not in got[2].answer and ("Rate", "40 ml/h", "S1") in [tuple(q) for q in got[2].quick_values]
+    assert got[3].not_found and got[3].answer is None and got[3].quick_values == []
+    assert got[4].answer == "The zorbium limit is 7 mg a day. [S5]" and not got[4].not_found
