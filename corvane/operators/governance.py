@@ -178,6 +178,30 @@ def fold_states(changes: DataFrame, key: str = "entity_id", order: str = "seq",
     return changes.groupBy(key).agg(F.max_by(state, order).alias("state"), F.max(order).alias("last_seq"), F.count("*").alias("n_changes"))
 
 
+def fold_versions(changes: DataFrame, key: str = "entity_id") -> DataFrame:
+    """(key, status, approved_by, approved_seq, retired_seq) of versions after changes (key, seq, change, actor).
+
+    Only a draft can be approved, so the first approval counts, and none after the first retirement; retirement is final.
+    """
+    first = lambda change: F.min(F.when(F.col("change") == change, F.struct("seq", "actor")))
+    each = changes.groupBy(key).agg(first("approve").alias("a"), first("retire").alias("r"))
+    approved = F.when(F.col("r").isNull() | (F.col("a.seq") < F.col("r.seq")), F.col("a"))
+    status = F.when(F.col("r").isNotNull(), "retired").when(F.col("a").isNotNull(), "approved").otherwise("draft")
+    return each.select(key, status.alias("status"), approved["actor"].alias("approved_by"), approved["seq"].alias("approved_seq"), F.col("r.seq").alias("retired_seq"))
+
+
+def fold_resolutions(changes: DataFrame, key: str = "entity_id") -> DataFrame:
+    """(key, status, resolved_by, last_seq) of conflicts or feedback after changes (key, seq, change, actor).
+
+    The last of resolve, dismiss and reopen decides; to reopen clears who resolved. Other changes have no effect.
+    """
+    of_state = changes.filter(F.col("change").isin("resolve", "dismiss", "reopen"))
+    last = of_state.groupBy(key).agg(F.max(F.struct("seq", "change", "actor")).alias("x"))
+    status = F.when(F.col("x.change") == "resolve", "resolved").when(F.col("x.change") == "dismiss", "dismissed").otherwise("open")
+    everyone = changes.select(key).distinct().join(last, key, "left")
+    return everyone.select(key, status.alias("status"), F.when(status != "open", F.col("x.actor")).alias("resolved_by"), F.col("x.seq").alias("last_seq"))
+
+
 ROLES = ("clinician", "author", "approver", "admin")  # fixed order of rank
 
 

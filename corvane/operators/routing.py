@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import content_words, stemmed_words
+from corvane.functions.text import content_words, stem, stemmed_words
 
 # Rules (fixed values): first match wins; pattern and reason.
 HIGH_RISK = (
@@ -35,8 +35,16 @@ QUANTITY_WORDS = "much many long often amount give use need".split()
 GENERIC_WORDS = "dose doses dosing rate protocol policy guideline drug medicine number contact who call time rule rules".split()
 
 
-def route(questions: DataFrame, lexicon: list[str], domain: list[str] = (), text_col: str = "question") -> DataFrame:
-    """Questions with ``route`` and ``reason``. ``lexicon`` and ``domain``: stems of entities and of the field."""
+#: Words that show a question to be about the field, also beside "news" or "code".
+DOMAIN_WORDS = (
+    "dose dosing infusion bolus protocol guideline circular policy sop patient patients ward icu emergency sepsis septic transfusion antibiotic antimicrobial medication medicine drug aptt "
+    "nomogram escalation resuscitation cardiac arrest bleeding haemorrhage news2 pager extension blood mtp outreach ccot lactate oxygen fluid fluids"
+).split()
+CLARIFY = "Which medicine, protocol or situation is this about?"
+
+
+def route(questions: DataFrame, lexicon: list[str], domain: list[str] = DOMAIN_WORDS, text_col: str = "question") -> DataFrame:
+    """Questions with ``route``, ``reason`` and ``clarifying_question``. ``lexicon``: stems of entities; ``domain``: words of the field."""
     q = F.col(text_col)
     reason = F.lit(None).cast("string")
     for pattern, why in reversed(HIGH_RISK):
@@ -44,7 +52,7 @@ def route(questions: DataFrame, lexicon: list[str], domain: list[str] = (), text
     words, stems = content_words(q), stemmed_words(q)
     array = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
     entity = F.arrays_overlap(stems, array(list(lexicon)))
-    field = F.arrays_overlap(stems, array([*lexicon, *domain]))
+    field = entity | F.arrays_overlap(stems, F.transform(array(list(domain)), stem))
     specific = F.array_except(words, array([*GENERIC_WORDS, *QUANTITY_WORDS]))
     general = (F.size(words) > 0) & (F.size(F.array_except(words, array(GENERIC_WORDS))) == 0)
     vague = q.rlike(VAGUE) & (F.size(specific) <= 1) & ~entity
@@ -55,4 +63,5 @@ def route(questions: DataFrame, lexicon: list[str], domain: list[str] = (), text
         .when(general | vague, F.struct(F.lit("clarify").alias("route"), F.lit("too general").alias("reason")))
         .otherwise(F.struct(F.lit("answer").alias("route"), F.lit("document lookup").alias("reason")))
     )
-    return questions.withColumn("routed", routed).withColumns({"route": F.col("routed.route"), "reason": F.col("routed.reason")}).drop("routed")
+    asks = F.when(F.col("routed.route") == "clarify", CLARIFY)
+    return questions.withColumn("routed", routed).withColumns({"route": F.col("routed.route"), "reason": F.col("routed.reason"), "clarifying_question": asks}).drop("routed")

@@ -167,6 +167,28 @@ def b16(spark, sf):
     return g.fold_states(table(spark, sf, "audit_v"))
 
 
+CHANGES = """SELECT entity_id, seq, CAST(actor_user_id AS BIGINT) AS actor, CASE WHEN action = 'document.approve' THEN 'approve' WHEN action = 'document.upload' AND seq % 5 = 0 THEN 'retire'
+    WHEN action = 'conflict.resolve' THEN CASE seq % 3 WHEN 0 THEN 'resolve' WHEN 1 THEN 'dismiss' ELSE 'reopen' END ELSE 'other' END AS change FROM {audit_v} WHERE entity_id IS NOT NULL"""
+
+
+@query(
+    "b16_version_states",
+    f"""WITH {duck('audit_v')}, c AS ({CHANGES.format(audit_v="audit_v")}), f AS (SELECT entity_id, min(seq) FILTER (change = 'approve') AS a, min(seq) FILTER (change = 'retire') AS r FROM c GROUP BY 1)
+        SELECT f.entity_id, CASE WHEN r IS NOT NULL THEN 'retired' WHEN a IS NOT NULL THEN 'approved' ELSE 'draft' END AS status, c.actor AS approved_by, c.seq AS approved_seq, r AS retired_seq FROM f LEFT JOIN c ON c.seq = f.a AND (r IS NULL OR a < r)""",
+)
+def b16b(spark, sf):
+    return g.fold_versions(spark.sql(CHANGES, audit_v=table(spark, sf, "audit_v")))
+
+
+@query(
+    "b16_resolutions",
+    f"""WITH {duck('audit_v')}, c AS ({CHANGES.format(audit_v="audit_v")}), l AS (SELECT entity_id, max(seq) FILTER (change IN ('resolve', 'dismiss', 'reopen')) AS last_seq FROM c GROUP BY 1)
+        SELECT l.entity_id, CASE c.change WHEN 'resolve' THEN 'resolved' WHEN 'dismiss' THEN 'dismissed' ELSE 'open' END AS status, CASE WHEN c.change <> 'reopen' THEN c.actor END AS resolved_by, last_seq FROM l LEFT JOIN c ON c.seq = last_seq""",
+)
+def b16c(spark, sf):
+    return g.fold_resolutions(spark.sql(CHANGES, audit_v=table(spark, sf, "audit_v")))
+
+
 @query("b17_role_visibility", f"WITH {duck('versions_v')} SELECT status, count(*) AS n FROM versions_v WHERE status <> 'draft' GROUP BY 1")
 def b17(spark, sf):
     return g.visible_versions(table(spark, sf, "versions_v"), "clinician").groupBy("status").agg(F.count("*").alias("n"))
