@@ -1,4 +1,10 @@
-"""Corpus preparation in five stages; each is written as Parquet and read again as the documents of the next."""
+"""Corpus preparation in five stages; each is written as Parquet and read again as the documents of the next.
+
+Every stage takes any table with the columns of ``documents``; further columns are dropped, whatever their names. Null
+and empty texts are scored, compared and packed as empty ones; they have no duplicates and no leaks. Rows without an
+id are scored like others, stay in the near-duplicate stage and are packed. Rows that repeat an id are one document:
+they stay or go together. An empty table gives an empty result. Very long texts are read whole.
+"""
 
 from __future__ import annotations
 

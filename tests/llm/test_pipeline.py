@@ -56,3 +56,26 @@ def test_stages_against_brute_force(spark):
     for r in packed:
         room[r.sequence_id] += r.length
     assert max(room.values()) <= 4096
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids and texts, repeated rows, clashing columns and an empty table, in every stage."""
+    good = "The committee met on Monday and spoke at length about the new bridge, its cost and the years it would take to build it."
+    rows = [(1, good, "en", "web", 9), (1, good, "en", "web", 9), (2, good + " Indeed.", "en", None, None), (3, None, None, None, None), (4, "", "", "", 0), (None, good, "en", "web", 1), (None, None, None, None, None)]
+    more = [(*r, 0.1, ["x"], [1], True, 5, "t") for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, counts array<string>, item_ids array<int>, kept boolean, component_id int, text_ string"
+    docs = spark.createDataFrame(more, schema)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == corpus_pipeline.COLUMNS
+        found = [tuple(r) for r in got.collect()]
+        assert not Counter(found) - Counter(rows), name
+        assert stage(spark, empty, SF).count() == 0
+        if name == "near duplicates":
+            assert Counter(found) == Counter(r for r in rows if r[0] != 2)
+        if name == "benchmark decontamination":
+            assert Counter(found) == Counter(rows)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in packed) == Counter(r[0] for r in rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, SF).count() == 0

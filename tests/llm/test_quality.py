@@ -44,3 +44,13 @@ def test_fit_and_score(spark):
     got = {r.doc_id: r.score for r in score_quality(docs, forest, ["doc_id"]).collect()}
     assert len(got) == 401 and all((got[i] >= 0.3) == (i % 4 != 0) for i in range(400))
     assert score_quality(docs.limit(0), fit_quality(docs.limit(0), labels.limit(0), lambda d: fold(d, 5) != 0), ["doc_id"]).count() == 0
+
+
+def test_repeated_rows_clashing_columns_and_one_class(spark):
+    rows = [(i % 3, f"some text {i % 3} of words", 0.5, i) for i in range(30)] + [(None, None, 0.5, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, y int")
+    for labels in ([(0, 1), (1, 1), (2, 1)], [(0, 0), (1, 0), (2, 0)], [(0, 1), (0, 0), (1, 0)]):
+        forest = fit_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int"), lambda d: fold(d, 5) != 9)
+        got = score_quality(docs, forest, ["doc_id"]).collect()
+        assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+        assert len({(r.doc_id, r.score) for r in got}) == 4  # equal texts score alike
