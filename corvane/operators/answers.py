@@ -152,9 +152,11 @@ def query_concepts(questions: DataFrame, terms: DataFrame) -> DataFrame:
     return made.select("question_id", "concepts", words.alias("words"), numbers(F.col("question")).alias("numbers"), "keys", F.col("question").rlike(_ASKS_WHY).alias("asks_why"), F.col("question").rlike(_ASKS_DATA).alias("asks_data"))
 
 
-def scored_units(questions: DataFrame, context: DataFrame, terms: DataFrame) -> DataFrame:
+def scored_units(questions: DataFrame, context: DataFrame, terms: DataFrame, lead: int = 3) -> DataFrame:
     """Units of every passage of a question with ``lexical`` and ``score``, the passage's columns and the question's concepts.
 
+    ``considered`` marks the first ``lead`` passages and later ones that hold a key term, found once a passage.
+
     Lexical: the share of concepts in the unit, heading and title, 0.8 for a shared number, 0.6 of the share of key
     terms and half the passage's re-rank score. The score adds 0.3 where a passage is the branch's own, and takes 0.35
     off for headings that give reasons and for document headers, unless the question asks for those.
@@ -163,7 +165,9 @@ def scored_units(questions: DataFrame, context: DataFrame, terms: DataFrame) ->
     optional = {"section_path": F.lit(""), "branch_specific": F.lit(False), "doc_code": F.lit(""), "effective_from": F.lit(None).cast("date")}
     numbered = passages(context.withColumns({c: v for c, v in optional.items() if c not in given})).drop("body")
     units = answer_units(numbered.select("chunk_id", "heading", "text").dropDuplicates(["chunk_id"]))
-    both = numbered.join(units, "chunk_id").join(query_concepts(questions, terms), "question_id")
+    named = _matched(F.col("keys"), stemmed_words(F.concat_ws(" ", "heading", "text", "title"))) > 0
+    asked = numbered.join(query_concepts(questions, terms), "question_id").withColumn("considered", F.when(F.col("place") <= lead, True).when(F.size("keys") > 0, named).otherwise(False))
+    both = asked.drop("text").join(units, "chunk_id")
     us = stemmed_words(F.concat_ws(" ", "unit", "heading", "title"))
     both = both.withColumn("us", us).withColumn("own_numbers", numbers(F.col("unit"))).withColumn("key_hits", _matched(F.col("keys"), F.col("us")))
     lexical = _matched(F.col("concepts"), F.col("us")) / F.greatest(F.size("concepts"), F.lit(1)) + 0.8 * F.arrays_overlap("numbers", "own_numbers").cast("int") + F.when(F.size("keys") > 0, 0.6 * F.col("key_hits") / F.size("keys")).otherwise(0.0) + 0.5 * F.col("rerank")
@@ -182,9 +186,8 @@ def extractive_answers(questions: DataFrame, context: DataFrame, terms: DataFram
     tables that cover more of the question. ``conflicts`` (question_id, marker_a, marker_b) adds what the other side
     says and which is newer. ``quick_values``: up to four (label, value, source) of the quoted cells and quantities.
     """
-    every = scored_units(questions, context, terms)
-    near = (F.col("place") <= lead) | (_matched(F.col("keys"), stemmed_words(F.concat_ws(" ", "heading", "text", "title"))) > 0)
-    usable = every.filter(near & ((F.size("keys") == 0) | (F.col("key_hits") > 0)))
+    every = scored_units(questions, context, terms, lead)
+    usable = every.filter(F.col("considered") & ((F.size("keys") == 0) | (F.col("key_hits") > 0)))
     along, all_of = Window.partitionBy("question_id").orderBy(F.desc("score"), "place", "ord"), Window.partitionBy("question_id")
     usable = usable.withColumn("hit", F.arrays_overlap("numbers", "own_numbers"))
     tops = {"n": F.row_number().over(along), "top": F.first("marker").over(along), "best": F.first("score").over(along), "top_hit": F.first("hit").over(along), "most": F.max("lexical").over(all_of)}
