@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: each applies one operator to its whole table."""
+"""Registered queries of the training-data operators: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import licenses
+from corvane.llm import licenses, linededup
 from corvane.llm.chat import rotate_perspectives
 from corvane.llm.decontam import contaminated
 from corvane.llm.htmltext import extract_main_text
+from corvane.llm.linededup import dedup_lines
 from corvane.llm.maxscore import exact_top_k, integer_vectors
 from corvane.llm.minhash import near_duplicates
 from corvane.llm.packing import pack_documents
@@ -119,12 +120,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, kept_sha256) of every row of ``documents``."""
+    left = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_toxicity, op3_maxscore_top_k, op4_best_fit_packing, op5_decontamination,
-        op6_chat_perspectives, op7_token_counts, op8_html_text, op9_license_scan, op10_quality,
+        op6_chat_perspectives, op7_token_counts, op8_html_text, op9_license_scan, op10_quality, op13_line_dedup,
     )
 }
 
-ORACLE_SQL = {"op3_maxscore_top_k": OP3_SQL, "op6_chat_perspectives": OP6_SQL, "op9_license_scan": licenses.oracle_sql()}
+ORACLE_SQL = {"op3_maxscore_top_k": OP3_SQL, "op6_chat_perspectives": OP6_SQL, "op9_license_scan": licenses.oracle_sql(), "op13_line_dedup": linededup.ORACLE_SQL}
