@@ -15,6 +15,7 @@ from corvane.llm.maxscore import exact_top_k, integer_vectors
 from corvane.llm.minhash import near_duplicates
 from corvane.llm.packing import pack_documents
 from corvane.llm.quality import fit_quality, score_quality
+from corvane.llm.runs import find_runs
 from corvane.llm.runtime import fold, read_table
 from corvane.llm.tokencount import token_counts
 from corvane.llm.toxicity import fit_toxicity, score_toxicity
@@ -120,6 +121,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256) of every row of ``documents``, damaged as the contract says."""
+    found = find_runs(read_table(spark, sf_dir, "documents"), damage=True)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.start")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"), sha(listed).alias("runs_sha256"), sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of every row of ``documents``."""
     left = dedup_lines(read_table(spark, sf_dir, "documents"))
@@ -130,7 +143,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_toxicity, op3_maxscore_top_k, op4_best_fit_packing, op5_decontamination,
-        op6_chat_perspectives, op7_token_counts, op8_html_text, op9_license_scan, op10_quality, op13_line_dedup,
+        op6_chat_perspectives, op7_token_counts, op8_html_text, op9_license_scan, op10_quality, op12_periodic_runs, op13_line_dedup,
     )
 }
 
