@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import licenses, linededup
+from corvane.llm import licenses, linededup, repair
 from corvane.llm.chat import rotate_perspectives
 from corvane.llm.decontam import contaminated
 from corvane.llm.htmltext import extract_main_text
@@ -121,6 +121,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of every conv_id of ``conversations``, damaged as the contract says."""
+    return repair.repair_query(spark, read_table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256) of every row of ``documents``, damaged as the contract says."""
     found = find_runs(read_table(spark, sf_dir, "documents"), damage=True)
@@ -143,8 +148,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_near_dedup, op2_toxicity, op3_maxscore_top_k, op4_best_fit_packing, op5_decontamination,
-        op6_chat_perspectives, op7_token_counts, op8_html_text, op9_license_scan, op10_quality, op12_periodic_runs, op13_line_dedup,
+        op6_chat_perspectives, op7_token_counts, op8_html_text, op9_license_scan, op10_quality, op11_conversation_repair, op12_periodic_runs, op13_line_dedup,
     )
 }
 
-ORACLE_SQL = {"op3_maxscore_top_k": OP3_SQL, "op6_chat_perspectives": OP6_SQL, "op9_license_scan": licenses.oracle_sql(), "op13_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL = {"op3_maxscore_top_k": OP3_SQL, "op6_chat_perspectives": OP6_SQL, "op9_license_scan": licenses.oracle_sql(), "op11_conversation_repair": repair.ORACLE_SQL, "op13_line_dedup": linededup.ORACLE_SQL}
