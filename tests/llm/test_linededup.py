@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from corvane.llm.linededup import LineRuns, dedup_lines, digest
+from corvane.llm.linededup import LineRuns, dedup_lines, digest, without_case
 
 BLANKS = " \t\n\x0b\f\r"
 SCHEMA = "doc_id long, text string"
@@ -76,3 +76,11 @@ def test_native_plan(spark):
     plan = dedup_lines(spark.createDataFrame([(1, "x")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert len(spark.range(1).select(digest(F.lit("x")).alias("d")).first().d) == 16
+
+
+def test_folding_keeps_unlike_characters_apart(spark):
+    characters = [chr(c) for c in (*range(32, 0x600), *range(0x1E00, 0x2100), 0x10400, 0x10428, 0x1F600) if not 0xD800 <= c < 0xE000]
+    pairs = [x + y for x in characters[::7] for y in "Aa\u00c9\u00e9"] + characters
+    got = {r.t: r.k for r in spark.createDataFrame([(p,) for p in pairs], "t string").select("t", without_case(F.col("t")).alias("k")).collect()}
+    plain = {t: re.sub("[A-Z]", lambda m: m[0].lower(), t) for t in got}
+    assert len(set(got.values())) == len(set(plain.values())) and len({(got[t], plain[t]) for t in got}) == len(set(plain.values()))
