@@ -28,10 +28,14 @@ APART_WORDS = frozenset(
     "header masthead footer sidebar aside widget cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social "
     "related recommended recommendations comment comments commentlist disqus respond replies reply skip toolbar contentinfo complementary search".split()
 )
+#: Marks that name what an element holds, not where it stands: no text inside overrules them.
+FOREIGN_WORDS = APART_WORDS - frozenset("header masthead sidebar aside widget notice alert popup modal overlay skip toolbar search navigation".split())
 #: A name of several parts is a mark if its last part is one (site-header), unless it begins like a layout class
 #: (no-sidebar), or if its first part is one and the last a container's (cookie-box) or a number (comment-12).
 LAYOUT_FIRST = frozenset("no not has have with without is show hide".split())
 CONTAINERS = frozenset("area bar block body box button buttons column container content form group icons inner item items label link links list message panel posts section slot stories text thread title toggle unit wrap wrapper zone".split())
+#: Elements that group others: beside the core they stay only by their density.
+GROUPS = frozenset("div section center fieldset form details dialog dl table aside".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -43,12 +47,12 @@ _ROW_SCOPE = _SCOPE - {"td", "th"}
 _P_SCOPE = frozenset("table td th article section div body html".split())
 
 
-def marks(name: str) -> bool:
-    """Whether a class, an id or a role says that its element is no part of an article."""
+def marks(name: str, words: frozenset[str] = APART_WORDS) -> bool:
+    """Whether a class, an id or a role says, by one of ``words``, that its element is no part of an article."""
     parts = re.findall(r"[a-z]+|[0-9]+", name)
     if len(parts) < 2:
-        return bool(parts) and parts[0] in APART_WORDS
-    return parts[0] not in LAYOUT_FIRST and (parts[-1] in APART_WORDS or parts[0] in APART_WORDS and (parts[-1] in CONTAINERS or parts[-1].isdigit()))
+        return bool(parts) and parts[0] in words
+    return parts[0] not in LAYOUT_FIRST and (parts[-1] in words or parts[0] in words and (parts[-1] in CONTAINERS or parts[-1].isdigit()))
 
 
 class Node:
@@ -68,8 +72,13 @@ class Node:
                 if name == "hidden":
                     self.apart, self.marked = True, False
                     break
-                elif name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not self.apart and any(map(marks, "".join(values).lower().split())):
-                    self.apart = self.marked = True
+                elif name in ("class", "id", "role") and tag not in ("html", "body"):
+                    names = "".join(values).lower().split()
+                    if any(marks(n, FOREIGN_WORDS) for n in names):
+                        self.apart, self.marked = True, False
+                        break
+                    if not self.apart and not self.article and any(map(marks, names)):
+                        self.apart = self.marked = True
 
 
 class Open:
@@ -100,27 +109,34 @@ class Open:
 class Tags:
     """Finds the ends of tags. Quotes may hide a ``>``; the search is linear over a whole page, hostile ones too."""
 
-    MISSES = 16
-
     def __init__(self, source: str) -> None:
-        self.source, self.misses = source, 0
+        self.source = source
+        self.known: dict[int, int] = {}  # where a search that comes to this quote ends
 
     def end(self, at: int) -> int:
         """The place of the ``>`` that ends the tag whose name ends at ``at``; -1 if there is none.
 
-        Where quotes leave no end up to the end of the page, the first ``>`` counts. After ``MISSES`` such tags
-        quotes are no longer looked at.
+        Where quotes leave no end up to the end of the page, the first ``>`` counts. A search that comes to a quote
+        goes on as any other that came there, so what follows each quote is looked at once.
         """
-        place = at
-        while self.misses < self.MISSES:
+        place, passed, found = at, [], -1
+        while True:
             place = _PLAIN_END.match(self.source, place).end()
-            if place < len(self.source) and self.source[place] == ">":
-                return place
-            place = self.source.find(self.source[place], place + 1) + 1 if place < len(self.source) else 0
+            if place == len(self.source):
+                break
+            if self.source[place] == ">":
+                found = place
+                break
+            if place in self.known:
+                found = self.known[place]
+                break
+            passed.append(place)
+            place = self.source.find(self.source[place], place + 1) + 1
             if not place:
-                self.misses += 1
                 break
-        return self.source.find(">", at)
+        for quote in passed:
+            self.known[quote] = found
+        return found if found >= 0 else self.source.find(">", at)
 
 
 def parse(source: str) -> Node:
@@ -219,7 +235,9 @@ def rate(body: Node) -> None:
 def restore(body: Node) -> None:
     """Take back the marks of nodes that hold most of the body's text, or the only article or main elements.
 
-    Text in links does not count. Elements that are navigation by their tag are taken back for an article only.
+    Text in links does not count. Elements that are navigation by their tag are taken back for an article only, and
+    nothing is where an article or main element with text stands outside all marks. Comments, adverts and the like
+    (``FOREIGN_WORDS``) are never taken back, however long they are beside a short article.
     """
     order: list[tuple[Node, bool]] = []  # every element that can show, parents first
     stack: list[tuple[Node, bool]] = [(body, False)]
@@ -245,22 +263,28 @@ def restore(body: Node) -> None:
         free = node.article and size[id(node)] > 0
         inner.extend(c for c in node.items if isinstance(c, Node) and not c.apart)
     for node, _ in order:
-        if node.marked and (not free and id(node) in holds or (node.tag == "form" or node.tag not in APART) and 2 * size[id(node)] > size[id(body)]):
+        if node.marked and not free and (id(node) in holds or (node.tag == "form" or node.tag not in APART) and 2 * size[id(node)] > size[id(body)]):
             node.apart = False
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order.
+def in_links(node: Node) -> bool:
+    """Whether links hold most of the node's text."""
+    return 2 * node.link_chars > node.chars
+
+
+def keep_main(root: Node) -> Node | None:
+    """The body, with all but the main text set apart; None if it has no text.
 
     The core is the node with the greatest sum of densities over its child blocks. The threshold is the least density
     on the way from the body to the core. Beside the core each child of a node on that way counts whose own
-    density reaches the threshold, and so do headings before such a child and blocks between two.
+    density reaches the threshold, and so do headings before such a child and blocks between two; of what
+    remains there, titles, bylines, paragraphs and lists stay, and containers and link lists go.
     """
     body = next((n for n in _walk(root) if n.tag == "body"), root)
     restore(body)
     measure(body)
     if not body.chars:
-        return []
+        return None
     rate(body)
     best, most = body, 0.0
     for node in _walk(body):
@@ -270,15 +294,16 @@ def main_nodes(root: Node) -> list[Node]:
     way = list(_path(best))
     way = way[: way.index(body) + 1]
     threshold = min(n.density for n in way)
-    chosen = {id(best)}
     for below, node in zip(way, way[1:]):
         children = [c for c in node.items if isinstance(c, Node) and not c.apart]
         taken = [k for k, c in enumerate(children) if c is below or c.density >= threshold]
         first = taken[0]
         while first and (children[first - 1].tag in HEADINGS or not children[first - 1].chars):
             first -= 1
-        chosen |= {id(c) for c in children[first : taken[-1] + 1] if c is not below}
-    return [n for n in _walk(body) if id(n) in chosen]
+        for k, c in enumerate(children):
+            if not first <= k <= taken[-1] and (c.tag in GROUPS or in_links(c)):
+                c.apart = True
+    return body
 
 
 def _walk(node: Node) -> Iterator[Node]:
@@ -290,8 +315,8 @@ def _walk(node: Node) -> Iterator[Node]:
         stack.extend(c for c in reversed(node.items) if isinstance(c, Node) and not c.apart)
 
 
-def blocks(nodes: list[Node]) -> list[str]:
-    """Texts of the blocks below the nodes, in page order, with single spaces."""
+def blocks(top: Node) -> list[str]:
+    """Texts of the blocks below a node, in page order, with single spaces."""
     out: list[str] = []
     run: list[str] = []
 
@@ -300,7 +325,7 @@ def blocks(nodes: list[Node]) -> list[str]:
             out.append(text)
         run.clear()
 
-    stack: list = list(reversed(nodes))
+    stack: list = [top]
     while stack:
         x = stack.pop()
         if x is None:
@@ -323,7 +348,8 @@ def blocks(nodes: list[Node]) -> list[str]:
 
 def main_text(source: str) -> str:
     """Blocks of the article of a page, joined by line ends; empty if the page has none."""
-    return "\n".join(blocks(main_nodes(parse(source)))) if source else ""
+    body = keep_main(parse(source)) if source else None
+    return "\n".join(blocks(body)) if body else ""
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

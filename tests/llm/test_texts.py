@@ -164,3 +164,60 @@ def test_layout_wrappers_keep_the_article():
     assert "The only article here, short." in main_text(f"<body>{article}</body>")
     comments = "<article><p>" + "A long article stands here. " * 30 + "</p></article><div class='comments'><article><p>Nice post.</p></article></div>"
     assert "Nice" not in main_text(f"<body><main>{comments}</main></body>")
+
+
+def paragraphs(n, text="One more paragraph of the news story, with commas, that runs on for a while {}."):
+    return "".join(f"<p>{text.format(k)}</p>" for k in range(n))
+
+
+def test_short_articles_beside_long_comments_and_adverts():
+    thread = paragraphs(6, "I disagree, and at great length, with what was said above by others {}.")
+    for wrapped in ("<div class='comments'>{}</div>", "<section id='comments'>{}</section>", "<div class='ad'>{}</div>", "<div id='disqus_thread'>{}</div>", "<div class='comment-list'><article class='comment'>{}</article></div>", "<form class='reply-form'>{}</form>"):
+        for article in ("<article><h1>T</h1><p>Short news item of a few words.</p></article>", "<div class='story'><h1>T</h1><p>Short news item of a few words.</p></div>"):
+            page = f"<html><body>{article}{wrapped.format(thread)}</body></html>"
+            assert main_text(page) == "T\nShort news item of a few words.", page
+
+
+def test_wrappers_that_hold_the_article():
+    assert main_text(f"<body><form id='aspnet'>{paragraphs(5)}</form></body>").count("\n") == 4
+    assert main_text(f"<body><div class='modal'><article>{paragraphs(3)}</article></div><div class='comments'>{paragraphs(9)}</div></body>").count("\n") == 2
+    assert main_text(f"<body><div class='comments'>{paragraphs(3)}</div></body>") == ""
+
+
+def test_title_byline_and_last_paragraph_stay():
+    page = f"<body><ul><li><a href=/a>Home</a><li><a href=/b>Sport</a></ul><div><h1>Head</h1><p>By Jane</p><div>{paragraphs(6)}</div><p>End.</p></div><div><a href=/x>Next story</a></div></body>"
+    got = main_text(page).split("\n")
+    assert got[:2] == ["Head", "By Jane"] and got[-1] == "End." and len(got) == 9
+
+
+def quoted_end(source, at):
+    """The end of a tag by reading on from its name, as the page's quotes say."""
+    place = at
+    while place < len(source):
+        if source[place] == ">":
+            return place
+        if source[place] in "\"'":
+            place = source.find(source[place], place + 1)
+            if place < 0:
+                break
+        place += 1
+    return source.find(">", at)
+
+
+def test_tag_ends_on_hostile_pages():
+    import random
+    import time
+
+    from corvane.llm.htmltext import Tags
+
+    rng = random.Random(6)
+    for _ in range(2000):
+        source = "".join(rng.choices("<>\"'a ", [2, 1, 1, 1, 3, 1], k=rng.randrange(1, 40)))
+        tags = Tags(source)
+        places = list(range(len(source)))
+        rng.shuffle(places)
+        assert [tags.end(k) for k in places] == [quoted_end(source, k) for k in places], source
+    began = time.perf_counter()
+    main_text("<a b=\"'" * 100_000 + "<p>text")
+    main_text("<a '" + "<p x=\"" * 200_001)
+    assert time.perf_counter() - began < 60
