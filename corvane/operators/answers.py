@@ -11,8 +11,15 @@ from corvane.operators.conflicts import quantities
 
 
 def passages(context: DataFrame) -> DataFrame:
-    """Context rows (question_id, place, title, heading, text) with marker ``S1``.. and the body that claims are held against."""
-    return context.withColumn("marker", F.concat(F.lit("S"), F.row_number().over(Window.partitionBy("question_id").orderBy("place")).cast("string"))).withColumn("body", F.concat_ws("\n", "heading", "text"))
+    """Context rows (question_id, place, title, heading, text) with marker ``S1``.. and the body that claims are held against.
+
+    Where rows have ``supersedes``, an array of (doc_code, section_path) that the passage's document amends, the body
+    opens with a note of them.
+    """
+    named = F.transform("supersedes", lambda x: F.concat(x["doc_code"], F.coalesce(F.concat(F.lit(" §"), F.nullif(x["section_path"], F.lit(""))), F.lit("")))) if "supersedes" in context.columns else None
+    note = None if named is None else F.when(F.size("supersedes") > 0, F.concat(F.lit("(This document amends "), F.array_join(named, "; "), F.lit(")")))
+    body = F.concat_ws("\n", *([] if note is None else [note]), "heading", "text")
+    return context.withColumn("marker", F.concat(F.lit("S"), F.row_number().over(Window.partitionBy("question_id").orderBy("place")).cast("string"))).withColumn("body", body)
 
 
 def claims(drafts: DataFrame) -> DataFrame:
@@ -28,14 +35,18 @@ def _meta() -> Column:
     return F.transform(F.array(*map(F.lit, W.CITATION_WORDS)), stem)
 
 
+#: What names a passage in a citation: its numbers may stand in a claim.
+SOURCE_COLUMNS = ("doc_code", "section_path", "version_label", "effective_from")
+
+
 def verify_claims(made: DataFrame, known: DataFrame, least: float = 0.75) -> DataFrame:
     """(question_id, line, pos, prefix, claim, cited, supported, score, issue) of every claim.
 
-    In order: no citation; a citation without such a passage; a number that no cited passage holds; then the
-    share of the claim's stems, citation words aside, that one cited passage, or all together, cover.
+    In order: no citation; no cited passage that is known; a number that no known cited passage holds, be it in the body
+    or in any of ``SOURCE_COLUMNS`` that ``known`` has; then the share of the claim's stems, citation words aside, that one cited passage, or all together, cover.
     """
     each = made.withColumn("marker", F.explode_outer("cited"))
-    facts = known.select("question_id", "marker", stemmed_words(F.col("body")).alias("stems"), numbers(F.concat_ws(" ", "body", F.col("title"))).alias("nums"))
+    facts = known.select("question_id", "marker", stemmed_words(F.col("body")).alias("stems"), numbers(F.concat_ws(" ", "body", *[F.col(c).cast("string") for c in SOURCE_COLUMNS if c in known.columns])).alias("nums"))
     joined = each.join(facts, ["question_id", "marker"], "left")
     own = F.array_except(stemmed_words(strip_markers(F.col("claim"))), _meta())
     cover = lambda there: F.when(F.size("own") == 0, 1.0).otherwise(F.round(F.size(F.array_intersect("own", there)) / F.size("own"), 4))
@@ -43,13 +54,13 @@ def verify_claims(made: DataFrame, known: DataFrame, least: float = 0.75) -> Dat
     keys = ["question_id", "line", "pos"]
     folded = scored.groupBy(*keys).agg(
         F.first("prefix").alias("prefix"), F.first("claim").alias("claim"), F.first("cited").alias("cited"), F.first("own").alias("own"), F.max("one").alias("best"),
-        F.flatten(F.collect_list("stems")).alias("all"), F.flatten(F.collect_list("nums")).alias("nums"), F.count_if(F.col("marker").isNotNull() & F.col("stems").isNull()).alias("unknown"),
+        F.flatten(F.collect_list("stems")).alias("all"), F.flatten(F.collect_list("nums")).alias("nums"), F.count("stems").alias("known"),
     )
     score = F.greatest(F.coalesce("best", F.lit(0.0)), cover(F.array_distinct("all")))
     loose = F.array_except(numbers(F.col("claim")), F.col("nums"))
     issue = (
         F.when(F.size("cited") == 0, F.lit("no citation"))
-        .when(F.col("unknown") > 0, F.lit("unknown source"))
+        .when(F.col("known") == 0, F.lit("unknown source"))
         .when(F.size(loose) > 0, F.concat(F.lit("number not in source: "), F.array_join(F.array_sort(loose), ", ")))
         .when(score < least, F.lit("not supported"))
     )

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.scratch import AT, in_order, part_of, place_of
+
 GENESIS = "0" * 64
 
 
@@ -21,7 +24,8 @@ def json_string(value: Column) -> Column:
     out = value
     for plain, escaped in _ESCAPES.items():
         out = F.replace(out, F.lit(plain), F.lit(escaped))
-    return F.coalesce(F.concat(F.lit('"'), out, F.lit('"')), F.lit("null"))
+    safe = F.when(value.rlike(r'[\x00-\x1f"\\]'), out).otherwise(value)  # few strings hold a character to escape
+    return F.coalesce(F.concat(F.lit('"'), safe, F.lit('"')), F.lit("null"))
 
 
 def canonical_record() -> Column:
@@ -39,33 +43,25 @@ def canonical_record() -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def numbered(events: DataFrame, by: str = "seq") -> DataFrame:
-    """Rows with ``index``, their place in the order of ``by``, without one partition for all of them.
-
-    Rows are range-partitioned and sorted, counted per partition, and numbered inside partitions with the
-    counts of those before added: only one small row per partition is gathered.
-    """
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is never coalesced
-    placed = events.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("part", F.spark_partition_id())
-    inside = placed.withColumn("inside", F.row_number().over(Window.partitionBy("part").orderBy(by)))
-    counts = inside.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return inside.join(before, "part").withColumn("index", F.col("inside") + F.col("before")).drop("part", "inside", "before")
-
-
 def verify_chain(events: DataFrame) -> DataFrame:
-    """(ok, events_checked, first_bad_seq, reason) of events with prev_hash and hash.
+    """(ok, events_checked, first_bad_seq, reason) of events with prev_hash and hash, one chain of any length.
 
-    Each event needs only its predecessor, so the chain is checked by a join of neighbours: first the link to
-    the previous hash, then the hash of the content.
+    Each event needs only its predecessor. Hashes and their checks are made event by event, then written in the order
+    of seq; neighbours meet in windows over the partitions of that table, and the last hash of each partition, one small
+    row, is handed to the next. First the link to the previous hash counts, then the hash of the content.
     """
-    chain = numbered(events).withColumn("expected", F.sha2(F.concat("prev_hash", canonical_record()).cast("binary"), 256))
-    before = chain.select((F.col("index") + 1).alias("index"), F.col("hash").alias("last_hash"))
-    reason = F.when(F.col("prev_hash") != F.coalesce("last_hash", F.lit(GENESIS)), F.lit("broken link")).when(F.col("hash") != F.col("expected"), F.lit("content changed"))
-    checked = chain.join(before, "index", "left").withColumn("reason", reason)
-    bad = F.struct("seq", "index", "reason")
-    found = checked.agg(F.count("*").alias("n"), F.min(F.when(F.col("reason").isNotNull(), bad)).alias("bad"))
-    return found.select(F.col("bad").isNull().alias("ok"), F.coalesce(F.col("bad.index") - 1, "n").alias("events_checked"), F.col("bad.seq").alias("first_bad_seq"), F.col("bad.reason").alias("reason"))
+    expected = F.sha2(F.concat("prev_hash", canonical_record()).cast("binary"), 256)
+    ordered = in_order(events.select("seq", "prev_hash", "hash", expected.eqNullSafe(F.col("hash")).alias("same")), "seq")
+    last = ordered.groupBy(part_of().alias("part")).agg(F.max_by("hash", AT).alias("hash"))
+    handed = last.select("part", F.lag("hash").over(Window.orderBy("part")).alias("handed"))  # a row for each partition
+    within = Window.partitionBy("part").orderBy(AT)
+    chain = ordered.withColumn("part", part_of()).join(F.broadcast(handed), "part").withColumn("before", F.coalesce(F.lag("hash").over(within), "handed", F.lit(GENESIS)))
+    reason = F.when(~F.col("prev_hash").eqNullSafe(F.col("before")), F.lit("broken link")).when(~F.col("same"), F.lit("content changed"))
+    found = chain.groupBy("part").agg(F.count("*").alias("n"), F.min(F.when(reason.isNotNull(), F.col(AT))).alias("bad_at"), F.min_by(F.struct("seq", reason.alias("reason")), F.when(reason.isNotNull(), F.col(AT))).alias("bad"))
+    totals = found.agg(F.sum("n").alias("n"), F.min("bad_at").alias("bad_at"), F.min_by("bad", "bad_at").alias("bad"))
+    before = found.join(F.broadcast(totals.select(part_of("bad_at").alias("bad_part"))), F.col("part") < F.col("bad_part")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    checked = F.when(F.col("bad_at").isNull(), F.coalesce("n", F.lit(0))).otherwise(F.col("before") + place_of("bad_at"))
+    return totals.crossJoin(before).select(F.col("bad_at").isNull().alias("ok"), checked.alias("events_checked"), F.col("bad.seq").alias("first_bad_seq"), F.col("bad.reason").alias("reason"))
 
 
 def verify_chains(events: DataFrame, chain_col: str) -> DataFrame:
@@ -86,19 +82,26 @@ def verify_chains(events: DataFrame, chain_col: str) -> DataFrame:
 def append_chain(events: DataFrame, chain_col: str, last_hashes: DataFrame | None = None) -> DataFrame:
     """Events with prev_hash and hash, chained per ``chain_col`` in order of seq, from each chain's last hash.
 
-    A chain is serial by nature, so there is one group per chain; keep one chain per log and day.
+    A chain is serial by nature: its events are read in order by one task, batch by batch, and one hash is carried on,
+    so a chain of any length takes the memory of a batch. Chains are worked on side by side.
     """
     ready = events.withColumn("record", canonical_record())
     ready = ready.withColumn("seed", F.lit(GENESIS)) if last_hashes is None else ready.join(last_hashes.select(chain_col, F.col("hash").alias("seed")), chain_col, "left").fillna({"seed": GENESIS})
-    schema = ready.drop("record", "seed").schema.add("prev_hash", "string").add("hash", "string")
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq", kind="stable")
-        last, before, after = rows["seed"].iloc[0], [], []
-        for record in rows["record"]:
-            before.append(last)
-            last = hashlib.sha256((last + record).encode()).hexdigest()
-            after.append(last)
-        return rows.drop(columns=["record", "seed"]).assign(prev_hash=before, hash=after)
-
-    return ready.groupBy(chain_col).applyInPandas(run, schema)
+    kept = [c for c in ready.columns if c not in ("record", "seed")]
+    schema = ready.select(*kept).schema.add("prev_hash", "string").add("hash", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last, begun = None, "", False
+        for batch in batches:
+            before, after = [], []
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in (chain_col, "seed", "record")]
+            for own, seed, record in zip(*(c.to_pylist() for c in columns), strict=True):
+                if not begun or own != chain:
+                    chain, last, begun = own, seed, True
+                before.append(last)
+                last = hashlib.sha256((last + record).encode()).hexdigest()
+                after.append(last)
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*kept, "prev_hash", "hash"])
+
+    return ready.repartition(chain_col).sortWithinPartitions(chain_col, "seq").mapInArrow(run, schema)

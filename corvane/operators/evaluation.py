@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.scratch import numbered, written
+
 
 def containing_passages(items: DataFrame, documents: DataFrame, key: int = 12) -> DataFrame:
     """(question_id, chunk_id) of documents that contain the whole text of an item, from the start of a word on.
@@ -61,18 +63,12 @@ def category_totals(scored: DataFrame) -> DataFrame:
 def nearest_rank(rows: DataFrame, by: str, value: str, p: float, name: str) -> DataFrame:
     """The value at index round-half-even(p * (n - 1)) of each group, in order, nulls left out.
 
-    Rows are range-partitioned by group and value, so a large group lies in many partitions; places inside a partition
-    and the counts of a group's partitions before it give each row's place, and no group meets in one task.
+    Rows are numbered once in the order of group and value, over range partitions, so a large group lies in many of
+    them; a group's rows follow each other, and its wanted one is found by its number.
     """
-    known = rows.filter(F.col(value).isNotNull()).select(by, value)
-    index = known.groupBy(by).agg(F.bround(F.lit(p) * (F.count("*") - 1)).cast("long").alias("index"))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number is never coalesced: places and counts see the same partitions
-    ranged = known.repartitionByRange(parts, by, value).withColumn("part", F.spark_partition_id())
-    inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("part", by).orderBy(value)))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = ranged.groupBy(by, "part").agg(F.count("*").alias("m")).withColumn("before", before).drop("m")
-    placed = inside.join(counts, [by, "part"]).join(index, by)
-    return placed.filter("inside - 1 + before = index").select(by, F.col(value).alias(name))
+    placed = written(numbered(rows.filter(F.col(value).isNotNull()).select(by, value), F.asc_nulls_first(by), value))
+    wanted = placed.groupBy(F.col(by).alias("group")).agg((F.min("index") + F.bround(F.lit(p) * (F.count("*") - 1)).cast("long")).alias("index"))
+    return placed.join(wanted, "index").select(by, F.col(value).alias(name))
 
 
 def gate(metrics: DataFrame, thresholds: dict[str, tuple[str, float]]) -> DataFrame:

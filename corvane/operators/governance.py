@@ -240,3 +240,66 @@ def link_problems(links: DataFrame, versions: DataFrame) -> DataFrame:
     joined = links.join(source, "source_version_id", "left")
     problem = F.when(F.col("source_document_id").isNull(), F.lit("no source")).when(F.col("source_document_id") == F.col("target_document_id"), F.lit("amends itself"))
     return joined.select("link_id", F.coalesce("effective_from", "source_from").alias("effective_from"), problem.alias("problem"))
+
+
+def version_intervals(versions: DataFrame) -> DataFrame:
+    """(document_id, version_id, valid_from, valid_to): the days on which each approved version is the current one.
+
+    ``valid_to`` is the first day after, null where no later version follows. A version that another of the same day
+    goes before is never current and has no row. On every day the rows agree with :func:`current_versions`.
+    """
+    order = Window.partitionBy("document_id").orderBy("effective_from", F.asc_nulls_first("approved_at"), "version_id")
+    live = versions.filter((F.col("status") == "approved") & F.col("effective_from").isNotNull())
+    dated = live.select("document_id", "version_id", F.col("effective_from").alias("valid_from"), F.lead("effective_from").over(order).alias("valid_to"))
+    return dated.filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
+
+
+def chunk_intervals(chunks: DataFrame, versions: DataFrame, links: DataFrame) -> DataFrame:
+    """(chunk_id, version_id, document_id, valid_from, valid_to): the days on which each chunk is eligible, whatever the branch.
+
+    A chunk is eligible while its version is current, up to the first day of a confirmed link that hides its section.
+    Links never end, so the earliest match settles all dates at once; no date is joined with chunks here.
+    """
+    own = with_document(chunks, versions)
+    always = active_links(links, versions, "9999-12-31").select(F.col("target_document_id").alias("document_id"), "target_section_path", F.col("effective_from").alias("hidden_from"))
+    hit = own.select("chunk_id", "document_id", "paths").join(always, "document_id").filter(F.exists("paths", lambda p: section_matches(F.col("target_section_path"), p)))
+    hidden = hit.groupBy("chunk_id").agg(F.min("hidden_from").alias("hidden_from"))
+    dated = own.select("chunk_id", "version_id", "document_id").join(version_intervals(versions).drop("document_id"), "version_id").join(hidden, "chunk_id", "left")
+    until = F.least("valid_to", "hidden_from")  # nulls are left out
+    return dated.select("chunk_id", "version_id", "document_id", "valid_from", until.alias("valid_to")).filter(F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
+
+
+def scoped_intervals(intervals: DataFrame, documents: DataFrame, document_branches: DataFrame) -> DataFrame:
+    """Intervals with ``branch_id``: null for network-wide documents, else a row for each branch of the document."""
+    wide = documents.select("document_id", F.coalesce("network_wide", F.lit(False)).alias("wide"))
+    with_wide = intervals.join(wide, "document_id")
+    own = with_wide.filter("not wide").join(document_branches.select("document_id", F.col("branch_id").cast("int").alias("branch_id")).distinct(), "document_id")
+    return own.drop("wide").unionByName(with_wide.filter("wide").drop("wide").withColumn("branch_id", F.lit(None).cast("int")))
+
+
+def holds(as_of: Column, branch: Column) -> Column:
+    """Whether a row of :func:`scoped_intervals` counts for a branch (null: network-wide only) on a day."""
+    inside = (F.col("valid_from") <= as_of) & (F.col("valid_to").isNull() | (F.col("valid_to") > as_of))
+    return inside & (F.col("branch_id").isNull() | F.coalesce(F.col("branch_id") == branch, F.lit(False)))
+
+
+def eligible_at(scoped: DataFrame, points: DataFrame, days: int = 128) -> DataFrame:
+    """(point_id, chunk_id) of the chunks eligible for each of ``points(point_id, branch_id, as_of)``.
+
+    A bucketed interval join: time is cut into spans of ``days``; an interval stands in each span that it touches
+    between the first and the last day asked for, a point in one, and both meet by equality of span and of branch or
+    network. Points of one branch and day share the work, and their pairs are spread only at the end.
+    """
+    asked = points.select("branch_id", "as_of").distinct()
+    reach = asked.agg(F.min("as_of").alias("first"), F.max("as_of").alias("last"))
+    span = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / days)
+    bounded = scoped.join(F.broadcast(reach), (F.col("valid_from") <= F.col("last")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("first"))))  # one row of two days
+    low, high = F.greatest("valid_from", "first"), F.least(F.date_sub("valid_to", 1), "last")
+    spread = bounded.select("chunk_id", F.col("branch_id").alias("of"), "valid_from", "valid_to", F.explode(F.sequence(span(low), span(high))).alias("span"))
+    at = asked.select("branch_id", "as_of", span(F.col("as_of")).alias("span"))
+    # each point looks for its branch and, under a null, for the network
+    looks = at.select("*", F.col("branch_id").alias("of")).filter("of is not null").unionByName(at.select("*", F.lit(None).cast("int").alias("of")))
+    met = looks.join(spread, (looks["span"] == spread["span"]) & looks["of"].eqNullSafe(spread["of"]))
+    inside = met.filter((F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("as_of")))).select("branch_id", "as_of", "chunk_id")
+    named = points.select("point_id", F.col("branch_id").alias("b"), F.col("as_of").alias("d"))
+    return inside.join(named, F.col("branch_id").eqNullSafe(F.col("b")) & (F.col("as_of") == F.col("d"))).select("point_id", "chunk_id")

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import content_words, stem, stemmed_words
+from corvane.operators.governance import holds
+from corvane.operators.structure import passage_windows
+from corvane.sources.scratch import written
 
 
 def term_stats(passages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -183,7 +186,7 @@ def build_pool(fused: DataFrame, keyed: DataFrame, size: int = 8, extra: int = 3
 
 def authority_boosts(candidates: DataFrame, as_of, branch: float = 0.10, circular: float = 0.05, recency: float = 0.02, half_life: int = 730) -> DataFrame:
     """Candidates with branch, circular and recency boosts and ``final``, the re-rank score plus their sum."""
-    age = F.datediff(F.lit(str(as_of)).cast("date"), "effective_from")
+    age = F.datediff(as_of if isinstance(as_of, Column) else F.lit(str(as_of)).cast("date"), "effective_from")
     out = candidates.withColumns(
         {
             "branch_boost": F.when(F.col("branch_specific"), F.lit(branch)).otherwise(0.0),
@@ -218,6 +221,64 @@ def relevance_gate(context: DataFrame, questions: DataFrame, uncovered: DataFram
     return joined.select("question_id", "best", n_useful.alias("n_useful"), missing.alias("not_found"))
 
 
+def amending_from(links: DataFrame) -> DataFrame:
+    """(version_id, amends_from): the first day on which a version has a confirmed link in effect."""
+    return links.filter("confirmed").groupBy(F.col("source_version_id").alias("version_id")).agg(F.min("effective_from").alias("amends_from"))
+
+
+def batch_search(questions: DataFrame, passages: DataFrame, index, question_vectors: DataFrame, vectors: DataFrame, scoped: DataFrame, facts: DataFrame, keys: DataFrame, k: int = 40, config: dict | None = None) -> DataFrame:
+    """Hybrid search for many questions, each with its own branch and day; one row a chunk that is kept.
+
+    ``questions(question_id, question, branch_id, as_of)``, the text expanded already; ``passages(chunk_id, title,
+    heading, text)`` and their ``index``; ``question_vectors(question_id, vector)`` and ``vectors(chunk_id, vector)``;
+    ``scoped``: the days and branches of chunks (``governance.scoped_intervals``); ``facts(chunk_id, doc_type, effective_from,
+    branch_specific, amends_from)``; ``keys(question_id, term)``, the key terms. Result: (question_id, chunk_id, rank, rerank,
+    key_boost, final, place, in_context).
+
+    Keyword and vector lists of ``k`` eligible chunks are fused; the pool holds the first ones and later ones with a
+    key term; the best passage window counts; boosts are added and the context is cut. Eligibility is a condition on
+    the pairs that the lists meet, before they are ranked: no question is joined with all eligible chunks. Keyword
+    list, fused list, pool and windows are written once each, so every table is read a fixed number of times.
+    """
+    how = {"pool": 8, "extra": 3, "reranked": 12, "context": 6} | (config or {})
+    asked = written(questions.select("question_id", "question", F.col("branch_id").cast("int").alias("branch_id"), "as_of"))
+    scoped = written(scoped.select("chunk_id", "valid_from", "valid_to", "branch_id"))
+    when = asked.select("question_id", F.col("branch_id").alias("asked_branch"), "as_of")
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        dated = pairs.join(when, "question_id").join(scoped, "chunk_id")
+        return dated.filter(holds(F.col("as_of"), F.col("asked_branch"))).select(*pairs.columns)
+
+    keyword = written(index.keyword_topk(question_terms(asked), k, allowed))
+    days = lambda c, other: F.coalesce(F.datediff(c, F.lit("1970-01-01").cast("date")), F.lit(other)).cast("double")
+    dated = vectors.join(scoped, "chunk_id").select("chunk_id", "vector", days(F.col("valid_from"), 0).alias("a"), days(F.col("valid_to"), 10**7).alias("b"), F.coalesce("branch_id", F.lit(-1)).cast("double").alias("c"))
+    looking = question_vectors.join(when, "question_id").select("question_id", "vector", days(F.col("as_of"), -1).alias("a"), F.lit(0.0).alias("b"), F.coalesce("asked_branch", F.lit(-2)).cast("double").alias("c"))
+    near = vector_topk(looking, dated, k, tags=("a", "b", "c"), allowed=_in_force)
+    fused = written(rrf([keyword, near], limit=k))
+
+    found = written(index.postings(keys).join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    matched = found.join(keys, "term").join(fused.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_semi").groupBy("question_id", "chunk_id").agg(F.count("*").alias("m"))
+    pool = build_pool(fused, matched.select("question_id", "chunk_id"), how["pool"], how["extra"])
+    texts = written(passages.join(F.broadcast(pool.select("chunk_id").distinct()) if how.get("small") else pool.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    candidates = written(pool.join(asked.select("question_id", "question"), "question_id").join(texts, "chunk_id"))
+    best = maxp(candidates, passage_windows(texts)).join(candidates.select("question_id", "chunk_id", "rank"), ["question_id", "chunk_id"])
+
+    order = Window.partitionBy("question_id").orderBy(F.desc("rerank"), "rank")
+    best = best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= how["reranked"]).drop("n")
+    boosted = authority_boosts(best.join(when, "question_id").join(facts, "chunk_id").withColumn("amends_something", F.coalesce(F.col("amends_from") <= F.col("as_of"), F.lit(False))), F.col("as_of"))
+    n_keys = keys.groupBy("question_id").agg(F.count("*").alias("n_keys"))
+    keyed = boosted.join(matched, ["question_id", "chunk_id"], "left").join(n_keys, "question_id", "left")
+    bonus = F.coalesce(key_term_boost(F.coalesce("m", F.lit(0)), F.col("n_keys")), F.lit(0.0))
+    final = keyed.withColumn("key_boost", bonus).withColumn("final", F.round(F.col("final") + F.col("key_boost"), 6))
+    return context_cut(final, how["reranked"], how["context"]).select("question_id", "chunk_id", "rank", "rerank", "key_boost", "final", "place", "in_context")
+
+
+def _in_force(questions: np.ndarray, chunks: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Mask of the pairs whose chunk holds on the question's day (first tags: from, to) for its branch (-1: network-wide)."""
+    day, branch = questions[:, :1], questions[:, 2:]
+    return (chunks[:, 0] <= day) & (day < chunks[:, 1]) & ((chunks[:, 2] == -1) | (chunks[:, 2] == branch))
+
+
 def hydrate(candidates: DataFrame, chunks: DataFrame, versions: DataFrame, documents: DataFrame, document_branches: DataFrame) -> DataFrame:
     """Candidates with their version, document and the array of branches of the document."""
     branches = document_branches.groupBy("document_id").agg(F.array_sort(F.collect_set("branch_id")).alias("branch_ids"))

@@ -183,6 +183,17 @@ def l19(spark, sf):
     return audit.verify_chains(changed, "chain")
 
 
+@query(
+    "l19_verify_whole_log",
+    f"""WITH {duck('audit_v')}, e AS (SELECT seq, row_number() OVER (ORDER BY seq) AS place FROM audit_v), b AS (SELECT min(seq) FILTER (seq % 4999 = 7) AS changed, count(*) AS n FROM e)
+        SELECT changed IS NULL AS ok, CAST(coalesce(place - 1, n) AS BIGINT) AS events_checked, changed AS first_bad_seq, CASE WHEN changed IS NOT NULL THEN 'content changed' END AS reason FROM b LEFT JOIN e ON e.seq = changed""",
+)
+def l19b(spark, sf):
+    """The whole audit log as one chain, after some rows were changed."""
+    chained = audit.append_chain(table(spark, sf, "audit_v").withColumn("log", F.lit(1)), "log")
+    return audit.verify_chain(chained.withColumn("action", F.when(F.col("seq") % 4999 == 7, "changed").otherwise(F.col("action"))))
+
+
 @query(
     "l20_append_chain",
     f"""WITH RECURSIVE {duck('audit_v')}, r AS (SELECT CAST(created_at AS DATE) AS chain, seq, row_number() OVER (PARTITION BY CAST(created_at AS DATE) ORDER BY seq) AS place, {RECORD} AS record FROM audit_v),

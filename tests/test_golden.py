@@ -134,6 +134,14 @@ def test_markdown_chunks(spark):
     assert any(c.covered_paths == ["4.2", "4.2(a)", "4.2(b)"] for c in chunks)
 
 
+def test_a_long_clause_of_one_part_takes_no_tiny_neighbour(spark):
+    text = "## 4.1 Long\n" + "word " * 500 + "\n\n## 4.2 Tiny\nFew words.\n\n## 4.3 Tiny\nFew words.\n\n## 5 Last\n" + "word " * 60
+    docs = spark.createDataFrame([(k, text) for k in (1, 2)], "doc_id long, text string")
+    chunks = structure.chunk_documents(structure.markdown_blocks(docs)).orderBy("doc_id", "ordinal").collect()
+    assert [(c.doc_id, c.ordinal, c.section_path) for c in chunks] == [(k, n, p) for k in (1, 2) for n, p in enumerate(("4.1#1", "4.2-4.3", "5"))]
+    assert chunks[0].token_count == 500 and chunks[1].heading == "Tiny; Tiny"
+
+
 def test_chain(spark):
     rows = [(k, f"2026-01-0{k} 10:00:00", 7, "a", "t", str(k), "{}") for k in range(1, 6)]
     schema = "seq long, created_at string, actor_user_id long, action string, entity_type string, entity_id string, payload string"
@@ -168,6 +176,12 @@ def test_claims(spark):
     verdicts = answers.verify_claims(answers.claims(drafts), answers.passages(context))
     got = {(r.line, r.pos): r.issue for r in verdicts.collect()}
     assert got == {(0, 0): None, (0, 1): "no citation", (1, 0): "number not in source: 18", (2, 0): "unknown source"}
+    stray = spark.createDataFrame([(1, "Check the aPTT now [S1][S9]. See §4.2 of G-7 v3, 2026 [S1]. Not 5 [S1][S9].")], "question_id long, draft string")
+    full = context.withColumns({"doc_code": F.lit("G-7"), "section_path": F.lit("4.2"), "version_label": F.lit("v3"), "effective_from": F.lit("2026-02-01").cast("date"), "supersedes": F.expr("array(named_struct('doc_code', 'G-1', 'section_path', '2'), named_struct('doc_code', 'G-2', 'section_path', cast(null as string)))")})
+    known = answers.passages(full)
+    assert known.first().body == "(This document amends G-1 §2; G-2)\nDosing\nCheck the aPTT every 6 hours and run at 12 units."
+    issues = [r.issue for r in answers.verify_claims(answers.claims(stray), known, least=0.5).orderBy("pos").collect()]
+    assert issues[0] is None and "number" not in (issues[1] or "") and issues[2] == "number not in source: 5"
     done = answers.assemble(verdicts).first()
     assert done.outcome == "partial" and done.answer.startswith("- Check aPTT every 6 hours") and done.used == ["S1"]
 
