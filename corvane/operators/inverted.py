@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import stem
+from corvane.functions.words import STOPWORDS
 from corvane.operators.retrieval import top_k
 from corvane.sources.scratch import written
 
 #: Passages whose ids share this quotient are one block of a posting list.
 BLOCK = 256
-_SEGMENT = "segment int, bucket int, term string, block long, ids array<long>, tfs array<int>, n int, max_tf int"
+_SEGMENT = "segment int, bucket int, term string, block long, ids array<long>, tfs array<int>, plain array<boolean>, n int, max_tf int"
 _TOMBSTONE = "segment int, chunk_id long"
 
 
@@ -19,19 +20,24 @@ def _words(passages: DataFrame) -> DataFrame:
     return passages.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit("[a-z][a-z0-9-]+"), F.lit(0))).alias("word"))
 
 
+def _blocked(each: DataFrame, buckets: int) -> DataFrame:
+    """Postings (term, chunk_id, tf, plain) as blocks of a list: (bucket, term, block, ids, tfs, plain, n, max_tf)."""
+    row = F.struct("chunk_id", "tf", "plain")
+    lists = each.groupBy("term", F.floor(F.col("chunk_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(row)).alias("list"), F.count_if("plain").cast("int").alias("n"), F.max("tf").alias("max_tf"))
+    field = lambda name: F.transform("list", lambda x: x[name]).alias(name if name == "plain" else {"chunk_id": "ids", "tf": "tfs"}[name])
+    return lists.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "block", field("chunk_id"), field("tf"), field("plain"), "n", "max_tf")
+
+
 def posting_blocks(passages: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, term, block, ids, tfs, n, max_tf) of ``passages(chunk_id, text)``.
+    """Posting blocks of ``passages(chunk_id, text)``.
 
     Words are counted per passage before they are stemmed, and each distinct word is stemmed once. A block holds
-    ``BLOCK`` passages at most, so the list of a word that all passages hold is many rows.
+    ``BLOCK`` passages at most, so the list of a word that all passages hold is many rows. ``plain`` marks passages that
+    hold the term by a word that is no stop word; ``n`` counts them, as document frequencies do.
     """
     counted = written(_words(passages).groupBy("chunk_id", "word").agg(F.count("*").alias("tf")))
-    stems = written(counted.select("word").distinct().withColumn("term", stem(F.col("word"))))
-    each = counted.join(stems, "word").groupBy("term", "chunk_id").agg(F.sum("tf").cast("int").alias("tf"))
-    blocked = each.groupBy("term", F.floor(F.col("chunk_id") / BLOCK).alias("block")).agg(F.array_sort(F.collect_list(F.struct("chunk_id", "tf"))).alias("list"))
-    tfs = F.transform("list", lambda x: x["tf"])
-    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    return blocked.select(bucket.alias("bucket"), "term", "block", F.transform("list", lambda x: x["chunk_id"]).alias("ids"), tfs.alias("tfs"), F.size("list").alias("n"), F.array_max(tfs).alias("max_tf"))
+    stems = written(counted.select("word").distinct().select("word", stem(F.col("word")).alias("term"), (~F.col("word").isin(*STOPWORDS)).alias("plain")))
+    return _blocked(counted.join(stems, "word").groupBy("term", "chunk_id").agg(F.sum("tf").cast("int").alias("tf"), F.max("plain").alias("plain")), buckets)
 
 
 class InvertedIndex:
@@ -78,20 +84,22 @@ class InvertedIndex:
         return every.join(wanted, ["bucket", "term"], "left_semi")
 
     def live(self, blocks: DataFrame) -> DataFrame:
-        """(term, block, chunk_id, tf) of the postings of ``blocks`` that no later tombstone covers."""
-        each = blocks.select("segment", "term", "block", F.explode(F.arrays_zip("ids", "tfs")).alias("p")).select("segment", "term", "block", F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"))
+        """(term, block, chunk_id, tf, plain) of the postings of ``blocks`` that no later tombstone covers."""
+        each = blocks.select("segment", "term", "block", F.explode(F.arrays_zip("ids", "tfs", "plain")).alias("p")).select("segment", "term", "block", F.col("p.ids").alias("chunk_id"), F.col("p.tfs").alias("tf"), F.col("p.plain").alias("plain"))
         dead = self._read("tombstones", _TOMBSTONE)
         if dead.isEmpty():
             return each.drop("segment")
         until = dead.groupBy("chunk_id").agg(F.max("segment").alias("until"))
-        return each.join(until, "chunk_id", "left").filter(F.col("until").isNull() | (F.col("segment") > F.col("until"))).select("term", "block", "chunk_id", "tf")
+        return each.join(until, "chunk_id", "left").filter(F.col("until").isNull() | (F.col("segment") > F.col("until"))).select("term", "block", "chunk_id", "tf", "plain")
 
     def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
         """(term, df) of live passages. Without tombstones block sizes are summed and no list is opened."""
         blocks = self.blocks(terms)
         if self._read("tombstones", _TOMBSTONE).isEmpty():
-            return blocks.groupBy("term").agg(F.sum("n").alias("df"))
-        return self.live(blocks).groupBy("term").agg(F.count("*").alias("df"))
+            found = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+        else:
+            found = self.live(blocks).groupBy("term").agg(F.count_if("plain").alias("df"))
+        return found.filter("df > 0")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
         """(chunk_id, term, tf) of live passages."""
@@ -101,10 +109,7 @@ class InvertedIndex:
         """What lives, as the only segment of an index in another folder."""
         out = InvertedIndex(self.spark, path, self.buckets)
         out.last = 0
-        merged = self.live(self.blocks()).groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "tf"))).alias("list"))
-        tfs = F.transform("list", lambda x: x["tf"])
-        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
-        rows = merged.select(F.lit(0).alias("segment"), bucket.alias("bucket"), "term", "block", F.transform("list", lambda x: x["chunk_id"]).alias("ids"), tfs.alias("tfs"), F.size("list").alias("n"), F.array_max(tfs).alias("max_tf"))
+        rows = _blocked(self.live(self.blocks()), self.buckets).withColumn("segment", F.lit(0))
         rows.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("segment", "bucket").parquet(f"{path}/postings")
         return out
 

@@ -93,11 +93,6 @@ def e13(spark, sf):
     return full.select("chunk_id", structure.context_header(F.col("doc_code"), F.col("version_label"), F.col("section_path"), F.col("p_name")).alias("header"))
 
 
-@query("e14_passage_windows")
-def e14(spark, sf):
-    return structure.passage_windows(texts(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.lit("Corpus").alias("title"), F.lit("text").alias("heading"), "text"))
-
-
 @query("e16_sentences", "SELECT conv_id, turn, CAST(len(list_filter(" + SENTENCES.format("text") + ", lambda s: trim(s) <> '')) AS INTEGER) AS n FROM conversations")
 def e16(spark, sf):
     from corvane.functions.text import sentences

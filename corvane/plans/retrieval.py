@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from corvane.functions.text import expand_queries
 from corvane.operators import evaluation as ev
 from corvane.operators import retrieval as r
-from corvane.plans.governance import AS_OF, BASE, BRANCH, eligible, views
+from corvane.operators.structure import passage_windows
+from corvane.plans.governance import AS_OF, BASE, MATCH, eligible, views
+from corvane.operators import governance as g
+from corvane.operators.inverted import InvertedIndex
 from corvane.plans.registry import query
-from corvane.plans.text import stem_sql, stems_sql
+from corvane.plans.text import stem_sql, stems_sql, words_sql
+from corvane.sources.scratch import fresh_path, written
 from corvane.sources.views import duck, table
 
 PASSAGES = "docs AS (SELECT doc_id AS chunk_id, text FROM documents WHERE text IS NOT NULL)"
@@ -30,8 +34,19 @@ def questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
+_INDEXES: dict[tuple, InvertedIndex] = {}
+
+
+def index_of(spark, sf) -> InvertedIndex:
+    """The stored index of the passages: built once a session and set of files, read by every query after that."""
+    key = (spark.sparkContext.applicationId, *sorted(table(spark, sf, "documents").inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = InvertedIndex(spark, fresh_path(spark)).add(passages(spark, sf))
+    return _INDEXES[key]
+
+
 def keyword(spark, sf):
-    return r.keyword_topk(r.question_terms(questions(spark, sf)), passages(spark, sf))
+    return index_of(spark, sf).keyword_topk(r.question_terms(questions(spark, sf)))
 
 
 @query("h01_term_stats", f"WITH {PASSAGES}, {STATS} SELECT term, df FROM stats")
@@ -155,13 +170,52 @@ def h09(spark, sf):
     return pool.select("question_id", "chunk_id", r.lexical_score(F.col("question"), F.col("text")).alias("rerank"))
 
 
+def titled(spark, sf):
+    """Passages with the names that windows and views carry."""
+    return passages(spark, sf).select("chunk_id", F.concat(F.lit("Passage "), F.col("chunk_id").cast("string")).alias("title"), F.lit("text").alias("heading"), "text")
+
+
+def windows_sql(source: str) -> str:
+    """Passage windows of ``source(chunk_id, title, heading, text)``, whose lines are neither table rows nor list items."""
+    split = r"""string_split(regexp_replace(trim(line, ' '), '([.!?;])\s+', '\1' || chr(1), 'g'), chr(1))"""
+    return rf"""ls AS (SELECT chunk_id, chr(10) || '(' || title || '; ' || heading || ')' AS tail, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM {source}),
+    ss AS (SELECT chunk_id, tail, n, unnest({split}) AS s, unnest(range(len({split}))) AS m FROM ls WHERE trim(line, ' ') <> ''),
+    cs AS (SELECT *, sum(len(regexp_split_to_array(s, '\s+'))) OVER (PARTITION BY chunk_id, n ORDER BY m) AS count FROM ss),
+    gs AS (SELECT chunk_id, tail, n, min(m) AS m, string_agg(s, ' ' ORDER BY m) AS win FROM cs GROUP BY chunk_id, tail, n, floor((count - 1) / 60)),
+    es AS (SELECT * FROM gs UNION ALL SELECT chunk_id, chr(10) || '(' || title || '; ' || heading || ')', 0, 0, text FROM {source} WHERE chunk_id NOT IN (SELECT chunk_id FROM gs)),
+    windows AS (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY n, m) - 1 AS pos, win || tail AS win FROM es)"""
+
+
+@query("e14_passage_windows", rf"""WITH titled AS (SELECT doc_id AS chunk_id, 'Passage ' || doc_id AS title, 'text' AS heading, text FROM documents WHERE text IS NOT NULL), {windows_sql('titled')} SELECT chunk_id, CAST(pos AS INTEGER) AS pos, win AS "window" FROM windows""")
+def e14(spark, sf):
+    return passage_windows(titled(spark, sf))
+
+
+def maxp_sql(pool: str) -> str:
+    """Best of two windows and the whole view for the rows of ``pool(question_id, question, chunk_id, title, text)``."""
+    share = lambda q, d: f"CASE WHEN len({stems_sql(q)}) > 0 THEN round(len(list_intersect({stems_sql(q)}, {stems_sql(d)})) / len({stems_sql(q)}), 4) ELSE 0 END"
+    return f"""ov AS (SELECT p.question_id, p.question, p.chunk_id, w.pos, w.win, len(list_intersect({words_sql('p.question')}, {words_sql('w.win')})) AS overlap FROM {pool} p JOIN windows w USING (chunk_id)),
+    kp AS (SELECT *, row_number() OVER (PARTITION BY question_id, chunk_id ORDER BY overlap DESC, pos) AS place FROM ov),
+    k2 AS (SELECT *, {share('question', 'win')} AS score FROM kp WHERE place <= 2),
+    bw AS (SELECT question_id, chunk_id, max(score) AS window_score, arg_max(pos, [score, -place]) AS top, arg_min(pos, place) AS first FROM k2 GROUP BY 1, 2),
+    wv AS (SELECT question_id, question, chunk_id, title || chr(10) || left(text, 600) AS v FROM {pool}),
+    wh AS (SELECT question_id, chunk_id, {share('question', 'v')} AS whole FROM wv),
+    mp AS (SELECT question_id, chunk_id, CAST(greatest(whole, window_score) AS DOUBLE) AS rerank, CASE WHEN window_score >= whole THEN top ELSE first END AS best_window FROM wh JOIN bw USING (question_id, chunk_id))"""
+
+
+TITLED = "titled AS (SELECT chunk_id, 'Passage ' || chunk_id AS title, 'text' AS heading, text FROM docs)"
+
+
 def best_passages(spark, sf):
-    pool = fused(spark, sf).filter("rank <= 8").join(questions(spark, sf), "question_id").join(passages(spark, sf), "chunk_id").withColumn("title", F.lit(""))
-    lines = passages(spark, sf).join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", F.posexplode(F.split("text", "\n")).alias("pos", "window")).filter("trim(window) <> ''")
-    return r.maxp(pool, lines)
+    pool = written(fused(spark, sf).filter("rank <= 8").join(questions(spark, sf), "question_id").join(titled(spark, sf), "chunk_id"))
+    return r.maxp(pool, passage_windows(pool.select("chunk_id", "title", "heading", "text").dropDuplicates(["chunk_id"])))
 
 
-@query("h10_maxp")
+@query(
+    "h10_maxp",
+    f"""WITH {PASSAGES}, {TERMS}, {POSTS}, {KEYWORD}, {VEC_RANK}, {RRF}, {TITLED}, pool AS (SELECT question_id, b.text AS question, chunk_id, title, t.text FROM ranked JOIN benchmark b ON item_id = question_id JOIN titled t USING (chunk_id) WHERE rank <= 8),
+        own AS (SELECT * FROM titled WHERE chunk_id IN (SELECT chunk_id FROM pool)), {windows_sql('own')}, {maxp_sql('pool')} SELECT question_id, chunk_id, rerank, CAST(best_window AS INTEGER) AS best_window FROM mp""",
+)
 def h10(spark, sf):
     return best_passages(spark, sf)
 
@@ -230,36 +284,60 @@ def h15(spark, sf):
     return r.relevance_gate(reranked(spark, sf), questions(spark, sf), gaps)
 
 
-def eligible_documents(spark, sf):
-    """Documents whose governed document has a clause in force: doc_id, dealt over the governed documents, is their chunk."""
-    n = table(spark, sf, "customer").count()
-    allowed = eligible(spark, sf).select("document_id", "version_id").distinct()
-    return passages(spark, sf).select("chunk_id", (F.col("chunk_id") % n + 1).alias("document_id")).join(allowed, "document_id")
-
-
-@query("h16_batch_search")
+LIVE = f"""approved AS (SELECT q.question_id, q.branch_id, q.as_of, v.version_id, v.document_id, row_number() OVER (PARTITION BY q.question_id, v.document_id ORDER BY v.effective_from DESC, v.approved_at DESC NULLS LAST, v.version_id DESC) AS nth
+        FROM questions_v q JOIN versions_v v ON v.status = 'approved' AND v.effective_from <= q.as_of),
+    in_scope AS (SELECT a.* FROM approved a JOIN documents_v d USING (document_id) WHERE nth = 1 AND (d.network_wide OR EXISTS (SELECT 1 FROM document_branches_v b WHERE b.document_id = a.document_id AND b.branch_id = a.branch_id))),
+    live AS (SELECT s.question_id, c.chunk_id FROM in_scope s JOIN passages_v c USING (version_id) WHERE NOT EXISTS (SELECT 1 FROM links_v l WHERE l.confirmed AND l.effective_from <= s.as_of AND l.target_document_id = s.document_id
+        AND l.source_version_id IN (SELECT version_id FROM versions_v WHERE status IN ('approved', 'superseded')) AND {MATCH}))"""
+GOVERNED = duck("documents_v", "document_branches_v", "versions_v", "links_v", "passages_v", "questions_v")
+
+
+def scoped_passages(spark, sf):
+    own, versions, links, documents, branches = views(spark, sf, "passages_v", "versions_v", "links_v", "documents_v", "document_branches_v")
+    return g.scoped_intervals(g.chunk_intervals(own.select("chunk_id", "version_id", "section_path"), versions, links), documents, branches)
+
+
+@query("b06_eligible_at", f"WITH {GOVERNED}, {LIVE} SELECT question_id, chunk_id FROM live")
+def b06_at(spark, sf):
+    """Passages in force for each question's own branch and day."""
+    points = table(spark, sf, "questions_v").select(F.col("question_id").alias("point_id"), "branch_id", "as_of")
+    return g.eligible_at(written(scoped_passages(spark, sf)), points).select(F.col("point_id").alias("question_id"), "chunk_id")
+
+
+H16 = f"""WITH {GOVERNED}, {LIVE}, {PASSAGES}, {TERMS}, {STATS}, {POSTS}, {VECTORS}, {TITLED},
+    scored AS (SELECT question_id, chunk_id, round(0.1 * sum(tf) / (0.1 * sum(tf) + 1), 9) AS score FROM posts JOIN terms USING (term) JOIN live USING (question_id, chunk_id) GROUP BY 1, 2),
+    kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 40),
+    vl AS (SELECT * FROM (SELECT question_id, chunk_id, row_number() OVER (PARTITION BY question_id ORDER BY {COSINE} DESC, chunk_id) AS rank FROM live JOIN vecs q ON q.vec_id = question_id JOIN vecs c ON c.vec_id = chunk_id) WHERE rank <= 40),
+    {RRF}, cut AS (SELECT * FROM ranked WHERE rank <= 40),
+    known AS (SELECT question_id, term, df, term IN ('creatinine', 'heparin', 'thntha') AS entity FROM terms JOIN stats USING (term)), kj AS (SELECT *, bool_or(entity) OVER (PARTITION BY question_id) AS has FROM known),
+    keys AS (SELECT question_id, term FROM kj WHERE CASE WHEN has THEN entity ELSE df <= greatest(3, floor(0.12 * (SELECT count(*) FROM docs))) AND NOT regexp_matches(term, '^[0-9]+$') END),
+    matched AS (SELECT question_id, chunk_id, count(*) AS m FROM posts JOIN keys USING (term) JOIN cut USING (question_id, chunk_id) GROUP BY 1, 2),
+    later AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rank) AS n FROM cut WHERE rank > 8 AND (question_id, chunk_id) IN (SELECT question_id, chunk_id FROM matched)),
+    pooled AS (SELECT question_id, chunk_id, rank FROM cut WHERE rank <= 8 UNION ALL SELECT question_id, chunk_id, rank FROM later WHERE n <= 3),
+    pool AS (SELECT question_id, b.text AS question, chunk_id, rank, title, t.text FROM pooled JOIN benchmark b ON item_id = question_id JOIN titled t USING (chunk_id)),
+    own AS (SELECT * FROM titled WHERE chunk_id IN (SELECT chunk_id FROM pool)), {windows_sql('own')}, {maxp_sql('pool')},
+    firsts AS (SELECT * FROM (SELECT mp.*, rank, row_number() OVER (PARTITION BY question_id ORDER BY rerank DESC, rank) AS n FROM mp JOIN pool USING (question_id, chunk_id)) WHERE n <= 12),
+    boosted AS (SELECT question_id, chunk_id, rank, rerank, coalesce(CAST(round(0.25 * m / (SELECT count(*) FROM keys k WHERE k.question_id = f.question_id), 4) AS DOUBLE), 0) AS key_boost,
+        round(rerank + CASE WHEN NOT d.network_wide THEN 0.10 ELSE 0 END + CASE WHEN d.doc_type = 'machinery' AND EXISTS (SELECT 1 FROM links_v l WHERE l.confirmed AND l.source_version_id = c.version_id AND l.effective_from <= q.as_of) THEN 0.05 ELSE 0 END
+        + round(0.02 * greatest(0.0, 1 - (q.as_of - v.effective_from) / 730.0), 4), 6) AS base
+        FROM firsts f JOIN questions_v q USING (question_id) JOIN passages_v c USING (chunk_id) JOIN versions_v v USING (version_id) JOIN documents_v d ON d.document_id = c.document_id LEFT JOIN matched USING (question_id, chunk_id)),
+    summed AS (SELECT *, CAST(round(base + key_boost, 6) AS DOUBLE) AS final FROM boosted)
+    SELECT question_id, chunk_id, CAST(rank AS INTEGER) AS rank, rerank, key_boost, final, CAST(place AS INTEGER) AS place, place <= 6 AS in_context
+    FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY final DESC, rerank DESC, chunk_id) AS place FROM summed) WHERE place <= 12"""
+
+
+@query("h16_batch_search", H16)
 def h16(spark, sf):
-    """Expansion, keyword and vector lists over what is eligible, fusion, pool with key-term extras, MaxP, boosts and context cut, for all questions at once."""
-    asked = questions(spark, sf)
-    asked = expand_queries(asked).select("question_id", F.col("expanded").alias("question"))
-    own, terms = eligible_documents(spark, sf), r.question_terms(asked)
-    texts = passages(spark, sf).join(own.select("chunk_id"), "chunk_id", "left_semi")
-    fused_ = r.rrf([r.keyword_topk(terms, texts), vector_list(spark, sf, own)], limit=40)
-    keys = r.key_terms(terms, r.term_stats(passages(spark, sf)), passages(spark, sf).count(), LEXICON)
-    matched = r.postings(texts.join(fused_.select("chunk_id").distinct(), "chunk_id", "left_semi"), keys).join(keys, "term").groupBy("question_id", "chunk_id").agg(F.count("*").alias("m"))
-    pool = r.build_pool(fused_, matched.select("question_id", "chunk_id")).join(asked, "question_id").join(texts, "chunk_id").withColumn("title", F.lit(""))
-    lines = texts.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", F.posexplode(F.split("text", "\n")).alias("pos", "window")).filter("trim(window) <> ''")
-    best = r.maxp(pool, lines)
-    top = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("rerank"), "chunk_id"))
-    best = best.withColumn("place", top).filter("place <= 12").drop("place")
-    links, versions, documents = views(spark, sf, "links_v", "versions_v", "documents_v")
-    amending = links.filter(F.col("confirmed") & (F.col("effective_from") <= F.lit(AS_OF).cast("date"))).select(F.col("source_version_id").alias("version_id")).distinct().withColumn("a", F.lit(True))
-    facts = own.join(versions.select("version_id", "effective_from"), "version_id").join(documents.select("document_id", "network_wide", "doc_type"), "document_id").join(amending, "version_id", "left")
-    facts = facts.select("chunk_id", "effective_from", (~F.col("network_wide")).alias("branch_specific"), F.when(F.col("doc_type") == "machinery", "circular").otherwise(F.col("doc_type")).alias("doc_type"), F.coalesce("a", F.lit(False)).alias("amends_something"))
-    boosted = r.authority_boosts(best.join(facts, "chunk_id"), AS_OF).join(matched, ["question_id", "chunk_id"], "left").join(keys.groupBy("question_id").agg(F.count("*").alias("n")), "question_id", "left")
-    bonus = F.coalesce(r.key_term_boost(F.col("m"), F.col("n")), F.lit(0.0))
-    final = boosted.withColumn("key_boost", bonus).withColumn("final", F.round(F.col("final") + F.col("key_boost"), 6))
-    return r.context_cut(final).select("question_id", "chunk_id", "rerank", "key_boost", "final", "place", "in_context")
+    """Hybrid search for all questions at once, each for its own branch and day."""
+    given = table(spark, sf, "questions_v")
+    asked = given.join(expand_queries(given).select(F.col("question_id"), "expanded"), "question_id").select("question_id", F.col("expanded").alias("question"), "branch_id", "as_of")
+    index, v = index_of(spark, sf), vectors_of(spark, sf)
+    terms = r.question_terms(asked)
+    keys = written(r.key_terms(terms, index.term_stats(terms), passages(spark, sf).count(), LEXICON))
+    links, versions, documents, own = views(spark, sf, "links_v", "versions_v", "documents_v", "passages_v")
+    kinds = documents.select("document_id", (~F.col("network_wide")).alias("branch_specific"), F.when(F.col("doc_type") == "machinery", "circular").otherwise(F.col("doc_type")).alias("doc_type"))
+    facts = own.select("chunk_id", "version_id", "document_id").join(versions.select("version_id", "effective_from"), "version_id").join(kinds, "document_id").join(r.amending_from(links), "version_id", "left").drop("version_id", "document_id")
+    return r.batch_search(asked, titled(spark, sf), index, v.withColumnRenamed("vec_id", "question_id"), v.withColumnRenamed("vec_id", "chunk_id"), scoped_passages(spark, sf), facts, keys)
 
 
 @query(

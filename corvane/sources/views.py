@@ -41,6 +41,11 @@ VIEWS = {
     "audit_v": """SELECT event_id AS seq, ts AS created_at, user_id % 40 + 1 AS actor_user_id, concat(CASE event_type WHEN 'click' THEN 'document.approve' WHEN 'view' THEN 'document.upload' WHEN 'purchase' THEN 'conflict.resolve'
         WHEN 'signup' THEN 'feedback.resolve' ELSE 'auth.login' END, '') AS action, CASE event_type WHEN 'click' THEN 'document' WHEN 'view' THEN 'document' WHEN 'purchase' THEN 'conflict'
         WHEN 'signup' THEN 'feedback' ELSE 'auth' END AS entity_type, CASE WHEN event_id % 13 <> 0 THEN CAST(event_id % 100 AS STRING) END AS entity_id, props AS payload FROM {events}""",
+    "passages_v": """SELECT d.doc_id AS chunk_id, v.version_id AS version_id, v.document_id AS document_id, concat(CAST(d.doc_id % 7 + 1 AS STRING), '.', CAST(d.doc_id % 3 AS STRING)) AS section_path
+        FROM (SELECT doc_id, doc_id % (SELECT count(*) FROM {customer}) + 1 AS governed FROM {documents} WHERE text IS NOT NULL) d JOIN (SELECT o_orderkey AS version_id, o_custkey AS document_id,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS nth, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}) v ON v.document_id = d.governed AND v.nth = d.doc_id % v.n""",
+    "questions_v": """SELECT item_id AS question_id, text AS question, CASE WHEN item_id % 5 < 4 THEN CAST(item_id % 25 AS INT) END AS branch_id,
+        make_date(CAST(1994 + item_id % 5 AS INT), CAST(item_id * 5 % 12 + 1 AS INT), 15) AS as_of FROM {benchmark}""",
     "chunk_texts_v": """SELECT doc_id AS chunk_id, text, lang, source FROM {documents} WHERE text IS NOT NULL""",
 }
 
