@@ -89,12 +89,12 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 40, digits: int
 
     Both sides are dealt into blocks, each packed into one row; every pair of blocks meets by an equality join and
     is one matrix product, of which ``k`` rows a query are kept. ``allowed(query_tags, chunk_tags, scores)`` gives a
-    mask of the pairs that count, from the columns ``tags`` of both sides as numbers. Null and zero vectors take no part.
+    mask of the pairs that count, from the columns ``tags`` of both sides as numbers. Null ids and null and zero vectors take no part.
     """
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
 
     def packed(df: DataFrame, key: str, name: str, parts: int) -> DataFrame:
-        known = df.filter(F.col("vector").isNotNull() & (norm > 0))
+        known = df.filter(F.col(key).isNotNull() & F.col("vector").isNotNull() & (norm > 0))
         block = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias(name)
         rows = known.select(block, F.struct(F.col(key).cast("long").alias("id"), F.transform("vector", lambda x: x.cast("double")).alias("v"), F.array(*[F.col(t).cast("double") for t in tags]).alias("t")).alias("row"))
         return rows.groupBy(name).agg(F.collect_list("row").alias(f"{name}_rows"))
@@ -257,7 +257,7 @@ def batch_search(questions: DataFrame, passages: DataFrame, index, question_vect
     fused = written(rrf([keyword, near], limit=k))
 
     found = written(index.postings(keys).join(fused.select("chunk_id").distinct(), "chunk_id", "left_semi"))
-    matched = found.join(keys, "term").join(fused.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_semi").groupBy("question_id", "chunk_id").agg(F.count("*").alias("m"))
+    matched = written(found.join(keys, "term").join(fused.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_semi").groupBy("question_id", "chunk_id").agg(F.count("*").alias("m")))
     pool = build_pool(fused, matched.select("question_id", "chunk_id"), how["pool"], how["extra"])
     texts = written(passages.join(F.broadcast(pool.select("chunk_id").distinct()) if how.get("small") else pool.select("chunk_id").distinct(), "chunk_id", "left_semi"))
     candidates = written(pool.join(asked.select("question_id", "question"), "question_id").join(texts, "chunk_id"))
@@ -284,17 +284,3 @@ def hydrate(candidates: DataFrame, chunks: DataFrame, versions: DataFrame, docum
     branches = document_branches.groupBy("document_id").agg(F.array_sort(F.collect_set("branch_id")).alias("branch_ids"))
     out = candidates.join(chunks, "chunk_id").join(versions, "version_id").join(documents, "document_id").join(branches, "document_id", "left")
     return out.withColumn("branch_ids", F.coalesce("branch_ids", F.array().cast("array<int>")))
-
-
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, bucket_length: float = 0.5, tables: int = 12, radius: float = 1.3) -> DataFrame:
-    """Approximate vector top-k: random-projection hashing of unit vectors, then exact cosine of what collides."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    unit = lambda df, key: df.filter("vector is not null").select(F.col(key).alias("id"), array_to_vector(F.transform("vector", lambda x: x.cast("double") / norm)).alias("unit"))
-    q, c = unit(queries, "question_id"), unit(vectors, "chunk_id")
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=11).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, radius, distCol="distance")
-    score = F.aggregate(F.zip_with(vector_to_array("datasetA.unit"), vector_to_array("datasetB.unit"), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return top_k(pairs.select(F.col("datasetA.id").alias("question_id"), F.col("datasetB.id").alias("chunk_id"), F.round(score, 6).alias("score")), k)
