@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from corvane.functions.text import stemmed_words
+from corvane.operators.metadata import detect_references, extract_metadata
+from corvane.operators.structure import chunk_documents, markdown_blocks
+from corvane.sources.scratch import written
+from corvane.streaming.budgets import decide
 
 
 def rate_windows(events: DataFrame, limit: int = 30, late: str = "10 minutes") -> DataFrame:
@@ -44,45 +48,26 @@ def new_files(files: DataFrame, late: str = "1 day") -> DataFrame:
 HITS = "user_id long, ts timestamp, accepted boolean"
 
 
-def _decide(times: list[float], limit: int, seconds: float, kept: list[float]) -> tuple[list[bool], list[float]]:
-    """Whether each hit is accepted, given the accepted hits still inside the window; rejected hits leave no trace."""
-    out = []
-    for t in times:
-        kept = [k for k in kept if t - k < seconds]
-        out.append(len(kept) < limit)
-        if out[-1]:
-            kept.append(t)
-    return out, kept
+def sliding_budget_batch(events: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
+    """(user_id, ts, accepted) of a batch table, as ``budgets.sliding_budget`` gives it for a stream.
 
-
-def sliding_budget(events: DataFrame, limit: int = 30, seconds: int = 60, late: str = "1 minute") -> DataFrame:
-    """(user_id, ts, accepted): at most ``limit`` accepted hits of a user in any ``seconds``.
-
-    The state of a user is the list of accepted hits inside the window, ``limit`` numbers at most; it times out
-    once the watermark passes the window. Hits are taken in the order of time inside each batch.
+    Hits are sorted by user and time inside partitions and folded as they come; of a user the accepted hits inside the
+    window are held.
     """
-    rows = events.select(F.col("user_id").cast("long").alias("user_id"), "ts")
-    if not events.isStreaming:
-
-        def once(hits: pd.DataFrame) -> pd.DataFrame:
-            hits = hits.sort_values("ts", kind="stable")
-            return hits.assign(accepted=_decide([t.timestamp() for t in hits["ts"]], limit, seconds, [])[0])
 
-        return rows.groupBy("user_id").applyInPandas(once, HITS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, kept = None, []
+        for batch in batches:
+            answers = []
+            for own, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if own != user:
+                    user, kept = own, []
+                (ok,), kept = decide([at], limit, seconds * 1_000_000, kept)
+                answers.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(answers, pa.bool_())], names=["user_id", "ts", "accepted"])
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hits = pd.concat(parts).sort_values("ts", kind="stable")
-        kept = list(state.get[0]) if state.exists else []
-        accepted, kept = _decide([t.timestamp() for t in hits["ts"]], limit, seconds, kept)
-        state.update((kept,))
-        last = int((hits["ts"].iloc[-1].timestamp() + seconds) * 1000)
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
-        yield hits.assign(accepted=accepted)[["user_id", "ts", "accepted"]]
-
-    return rows.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, HITS, "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("ts").cast("timestamp").alias("ts")).filter("user_id is not null and ts is not null")
+    return rows.withColumn("at", F.unix_micros("ts")).repartition("user_id").sortWithinPartitions("user_id", "at").mapInArrow(run, HITS)
 
 
 def ingest(source: DataFrame, prepare: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], fail: Callable[[DataFrame, int], None], checkpoint: str):
@@ -99,13 +84,67 @@ def ingest(source: DataFrame, prepare: Callable[[DataFrame], DataFrame], write:
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now; every batch's result replaces or adds to a Parquet table."""
-    spark: SparkSession = stream.sparkSession
+def run_appended(stream: DataFrame, path: str) -> DataFrame:
+    """Run an append-mode stream over all that is there now; each batch is a folder, so one that runs again replaces itself."""
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/table/batch={batch_id}")
+
+    stream.writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{path}/table")
+
+
+def run_upserted(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Run an update-mode stream over all that is there now into a table with one row for each value of ``keys``.
+
+    Each batch writes the rows that it changed, and nothing else, as its own folder; :func:`latest` reads the newest row
+    of each key. So Spark may drop a window's state once the watermark has passed it, and nothing is rewritten.
+    """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/table" if mode == "complete" else f"{path}/table/batch={batch_id}")
+        rows.write.mode("overwrite").parquet(f"{path}/table/batch={batch_id}")
+
+    stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return latest(stream.sparkSession, path, keys)
+
+
+def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key of a table of :func:`run_upserted`."""
+    rows = spark.read.parquet(f"{path}/table")
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("row"))
+    return newest.select(*keys, "row.*")
+
 
-    stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{path}/table")
-    return out.drop("batch") if "batch" in out.columns else out
+def ingest_corpus(source: DataFrame, path: str, known: DataFrame) -> StreamingQuery:
+    """Start the incremental ingest of texts (doc_id, text): chunks, metadata, suggestions and failures of each batch.
+
+    A batch writes one folder in each of ``chunks``, ``metadata``, ``suggestions`` (amendments of the documents in
+    ``known(doc_code)`` that its texts announce) and ``failures`` (texts without content), and last its row of
+    ``manifest``. Readers take the batches that the manifest names (:func:`ingested`), so one that failed on the way
+    leaves no trace, and one that runs again replaces what it wrote.
+    """
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        rows = written(rows)
+        empty = F.col("text").isNull() | (F.trim("text") == "")
+        docs = rows.filter(~empty)
+        read = extract_metadata(docs)
+        tables = {
+            "failures": rows.filter(empty).select("doc_id", F.lit("no content").alias("error")),
+            "chunks": chunk_documents(markdown_blocks(docs)),
+            "metadata": read,
+            "suggestions": detect_references(docs.join(read.select("doc_id", F.col("doc_code").alias("self_code")), "doc_id"), known),
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
+        counts = rows.agg(F.count("*").alias("n_texts"), F.count_if(empty).alias("n_failed"))
+        counts.withColumn("ended", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/manifest/batch={batch_id}")
+
+    return source.select("doc_id", "text").writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def ingested(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of :func:`ingest_corpus`, of whole batches only."""
+    done = spark.read.parquet(f"{path}/manifest").select("batch").distinct()
+    return spark.read.parquet(f"{path}/{name}").join(done, "batch", "left_semi").drop("batch")

@@ -23,7 +23,10 @@ def test_scores_are_exact_and_copies_are_split(spark):
     assert stored.count() == 15_000 and stored.select("chunk_id").distinct().count() == 15_000
     got = vectorindex.search(index, queries, vectors, k=10, probes=40, keep=20)
     exact = r.vector_topk(queries, vectors, k=10)
-    assert sorted(map(tuple, got.select("question_id", "chunk_id", "score", "rank").collect())) == sorted(map(tuple, exact.select("question_id", "chunk_id", "score", "rank").collect()))
+    fields = lambda df, *names: sorted(map(tuple, df.select(*names).collect()))
+    distinct = "question_id % 3 <> 0"  # a copy has thousands of equals, of which any may be found
+    assert fields(got.filter(distinct), "question_id", "chunk_id", "score", "rank") == fields(exact.filter(distinct), "question_id", "chunk_id", "score", "rank")
+    assert fields(got, "question_id", "rank", "score") == fields(exact, "question_id", "rank", "score")
     assert vectorindex.search(index, queries.limit(0), vectors).count() == 0
 
 
