@@ -87,10 +87,10 @@ EQUIVALENT = (
     ("whilst", "while"),
     ("wilful", "willful"),
     ("merchantibility", "merchantability"),
-    ("https ", "http "),
-    (" v2 0", " version 2 0"),
-    (" v 2 0", " version 2 0"),
-    (" v3", " version 3"),
+    ("https", "http"),
+    ("v2 0", "version 2 0"),
+    ("v 2 0", "version 2 0"),
+    ("v3", "version 3"),
 )
 
 #: A known text holds one of these once in lower case, so a text without them matches none.

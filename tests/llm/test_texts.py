@@ -221,3 +221,25 @@ def test_tag_ends_on_hostile_pages():
     main_text("<a b=\"'" * 100_000 + "<p>text")
     main_text("<a '" + "<p x=\"" * 200_001)
     assert time.perf_counter() - began < 60
+
+
+def test_license_scan_of_odd_tables_equals_sql(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from corvane.llm.licenses import oracle_sql
+
+    mit = next(t for n, t in KNOWN if len(t) > 600)
+    whole = max((r.text for r in known_texts(spark).collect()), key=len)
+    heads = ["Copyright (c) 2020 X", "Copyright Jane Doe", "(c) Acme, all of it", "© Acme", "All rights reserved.", "Copyright notice must stay", "the copyright holder", "  * Copyright: 2001", "COPYRIGHT AND RELATED RIGHTS"]
+    rows = [(k, f"{h}\n\n{mit}") for k, h in enumerate(heads)] + [(20, whole), (20, whole), (21, None), (22, ""), (23, "word " * 200_000 + "\nLicensed under the MIT License\n" + "word " * 200_000), (24, "x v2 01\r\nReleased under the MIT licence\r\nsublicence v2 0 v2 0"), (25, "Copyright 2020 X\rReleased under the MIT License")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit("x").alias(c) for c in ("form", "found", "whole_digest", "license_id", "digest")])
+    got = license_scan(docs.select("doc_id", "text", "form", "found", "whole_digest", "license_id", "digest"), ["doc_id"])
+    got = sorted(((r.doc_id, r.license_id, ",".join(r.notice_ids), r.n_notices) for r in got.collect()), key=repr)
+    db = duckdb.connect()
+    db.register("documents", docs.select("doc_id", "text").toArrow())
+    want = db.execute(oracle_sql()).fetchall()
+    assert got == sorted(want, key=repr)
+    named = {k: v for k, v, *_ in got}
+    assert named[0] and named[1] and named[3] and named[20] and not named[5] and len(got) == len(rows)
+    assert license_scan(docs.limit(0), ["doc_id"]).count() == 0
