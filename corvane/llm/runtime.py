@@ -59,7 +59,8 @@ def fold(doc_id, modulus: int):
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, limit: int) -> DataFrame:
     """(doc_id, text, y) of about ``limit`` labelled rows at most, chosen by a hash of the id.
 
-    Rows without id or label take no part; an id labelled twice takes the larger label.
+    Rows without id or label take no part; an id labelled twice takes the larger label. An id on many rows of ``docs``
+    is one document and gives one row, the least of its texts.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y"))
@@ -72,7 +73,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train, limi
         share = int(1_000_000 * limit / n)
         known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share)
     # at most about `limit` pairs of numbers: a fixed bound, whatever the input
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:

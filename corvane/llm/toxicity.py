@@ -24,10 +24,10 @@ from corvane.llm.runtime import labelled_sample, materialise, with_text
 # Seed words of each class, in English, German, French and Spanish.
 SEED_INSULTS = ("clown", "disgusting", "idiot", "idiota", "imbécile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 THREATS = ("beat", "burn", "destroy", "hurt", "kill", "shoot", "stab", "strangle", "töten", "tuer", "matar", "verletzen", "frapper", "golpear")
-INTENT = ("will", "gonna", "shall", "should", "must", "werde", "wird", "vais", "va", "voy", "vamos", "let's", "i'll", "we'll")
-TARGETS = ("you", "your", "you're", "yours", "he", "she", "they", "them", "him", "her", "people", "du", "dich", "ihr", "euch", "tu", "toi", "vous", "eres", "usted", "ustedes", "ellos")
+INTENT = ("will", "going", "want", "wants", "wanna", "gonna", "quiero", "veux", "möchte", "shall", "should", "must", "werde", "wird", "vais", "va", "voy", "vamos", "let's", "i'll", "we'll")
+TARGETS = ("you", "your", "you're", "yours", "yourself", "yourselves", "himself", "herself", "themselves", "dir", "te", "he", "she", "they", "them", "him", "her", "people", "du", "dich", "ihr", "euch", "tu", "toi", "vous", "eres", "usted", "ustedes", "ellos")
 NEGATIONS = ("not", "no", "never", "isn't", "aren't", "don't", "won't", "nicht", "kein", "keine", "nie", "pas", "jamais", "nunca", "jamás", "ni")
-REPORTS = ("said", "says", "called", "calls", "wrote", "quoted", "claimed", "reported", "sagte", "nannte", "dit", "écrit", "dijo", "llamó", "according")
+REPORTS = ("said", "says", "call", "called", "calls", "wrote", "quoted", "claimed", "reported", "sagte", "nannte", "dit", "écrit", "dijo", "llamó", "according")
 
 PATTERNS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "weak threat")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -35,6 +35,7 @@ _BREAK = re.compile(r"[.!?;:\n]")
 STEM_LENGTHS = (4, 5, 6, 7)
 #: At most about this many labelled rows are read to fit the lexicon and the weights.
 SAMPLE_ROWS = 20_000
+ROUNDS = 4
 
 
 @dataclass(frozen=True)
@@ -55,14 +56,26 @@ class Transducer:
         return ((self.otherwise[state], c),) if state in self.otherwise else ()
 
 
-def _window(opener: str, rewrites: dict[str, str], reach: int) -> Transducer:
-    """Rewrites classes that follow ``opener`` within ``reach`` words."""
+def _window(opener: str, rewrites: dict[str, str], reach: int, stop: str = "") -> Transducer:
+    """Rewrites classes that follow ``opener`` within ``reach`` words, and not after a ``stop`` in between."""
     arcs = {(s, opener): ((1, opener),) for s in range(reach + 1)}
     for s in range(1, reach + 1):
         arcs |= {(s, c): ((s, to),) for c, to in rewrites.items()}
+        if stop:
+            arcs[s, stop] = ((0, stop),)
     return Transducer(arcs, {s: s + 1 if 0 < s < reach else 0 for s in range(reach + 1)}, frozenset(range(reach + 1)))
 
 
+def _imperative(machine: Transducer, verb: str, threat: str, target: str) -> Transducer:
+    """``machine``, but a verb that opens a clause and has a target right after it is a threat too."""
+    shifted = {(s + 2, c): tuple((to + 2, out) for to, out in ways) for (s, c), ways in machine.arcs.items()}
+    first = {(0, c): ways for (s, c), ways in shifted.items() if s == 2}
+    # a guess: in state 1 the next word has to be the target
+    first[0, verb] = ((1, threat), *first.get((0, verb), ((2, verb),)))
+    otherwise = {s + 2: to + 2 for s, to in machine.otherwise.items()}
+    return Transducer(shifted | first | {(1, target): ((2, target),)}, otherwise | {0: otherwise[2]}, frozenset({0, *(s + 2 for s in machine.final)}))
+
+
 def _target(before: int, after: int) -> Transducer:
     """Aims insults (i, j) at a target at most ``before`` words earlier or ``after`` later, intended threats (t) at any of the clause.
 
@@ -89,9 +102,9 @@ def _target(before: int, after: int) -> Transducer:
 # Classes: I insult, V violent verb, W intent, P target, N negation, R report, o other; i and j the first and further
 # words of an insult, a an aimed one, t and T a threat without and with a target, n negated, r reported, w weakened.
 INSULT = Transducer({(0, "I"): ((1, "i"),), (1, "I"): ((1, "j"),)}, {0: 0, 1: 0}, frozenset((0, 1)))
-THREAT = _window("W", {"V": "t"}, 3)  # an intent, then a violent verb
+THREAT = _imperative(_window("W", {"V": "t"}, 6), "V", "t", "P")  # an intent, then a violent verb; or an order
 TARGET = _target(5, 3)
-NEGATE = _window("N", {"i": "n", "j": "n", "a": "n", "T": "w", "t": "w"}, 2)  # a negation just before
+NEGATE = _window("N", {"i": "n", "j": "n", "a": "n", "T": "w", "t": "w"}, 4, "P")  # a negation before, with no target between
 REPORT = _window("R", {"i": "r", "j": "r", "a": "r", "T": "w", "t": "w"}, 8)  # a report verb earlier in the clause
 CASCADE = (INSULT, THREAT, TARGET, NEGATE, REPORT)
 _EMITS = {"i": 0, "j": 0, "a": 1, "n": 2, "r": 3, "T": 4, "t": 5, "V": 5, "w": 5}
@@ -275,12 +288,12 @@ def _fit_lexicon(sample: DataFrame) -> Lexicon:
     return Lexicon(frozenset(words | set(SEED_INSULTS)), frozenset(stems))
 
 
-def _pattern_counts(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> DataFrame:
-    """``columns`` and ``counts``, an array of how often each pattern matches in ``text``."""
+def _pattern_counts(docs: DataFrame, lexicon: Lexicon, columns: list[str], weights: tuple[float, ...]) -> DataFrame:
+    """``columns`` and ``counts``, an array of how often each pattern matches in ``text`` on the best paths under ``weights``."""
     schema = docs.select(*columns).schema.add("counts", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trigger, grammar = lexicon.trigger(), Grammar()
+        trigger, grammar = lexicon.trigger(), Grammar(weights)
         for batch in batches:
             counts = [clause_patterns(t.as_py() or "", lexicon, trigger, grammar) for t in batch.column(len(columns))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(counts, pa.list_(pa.int32()))], names=[*columns, "counts"])
@@ -289,15 +302,29 @@ def _pattern_counts(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> Da
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Learn lexicon and weights from at most about ``limit`` labelled rows for which ``train(doc_id)`` holds."""
+    """Learn lexicon and weights from at most about ``limit`` labelled rows for which ``train(doc_id)`` holds.
+
+    Which path is best depends on the weights, so patterns are counted again under the weights learned from them, until
+    these stay or ``ROUNDS`` are over. Repeated rows count once in the lexicon and as often as they stand in the weights.
+    """
     sample = materialise(labelled_sample(docs, labels, "toxic", train, limit).select("text", "y"))
     lexicon = _fit_lexicon(sample)
-    rows = _pattern_counts(sample, lexicon, ["y"]).groupBy("y", "counts").count().collect()
-    if not rows or {r.y for r in rows} != {0, 1}:
-        return ToxicityModel(lexicon, PRIOR, -1.0)
-    x = np.log1p(np.array([r.counts for r in rows], float))
-    y = np.array([r.y for r in rows], float)
-    times = np.array([r["count"] for r in rows], float)
+    weights, bias = PRIOR, -1.0
+    for _ in range(ROUNDS):
+        rows = sorted((r.y, tuple(r.counts), r["count"]) for r in _pattern_counts(sample, lexicon, ["y"], weights).groupBy("y", "counts").count().collect())
+        if {y for y, _, _ in rows} != {0, 1}:
+            return ToxicityModel(lexicon, PRIOR, -1.0)
+        before, (weights, bias) = weights, _fit_weights(rows)
+        if np.allclose(weights, before, rtol=1e-6):
+            break
+    return ToxicityModel(lexicon, weights, bias)
+
+
+def _fit_weights(rows: list[tuple[int, tuple[int, ...], int]]) -> tuple[tuple[float, ...], float]:
+    """Arc weights and bias from (label, pattern counts, number of texts)."""
+    x = np.log1p(np.array([counts for _, counts, _ in rows], float))
+    y = np.array([label for label, _, _ in rows], float)
+    times = np.array([n for _, _, n in rows], float)
     times = times / times.sum()
     # logistic regression by gradient steps; a matched pattern never lowers a score
     w, b = np.ones(x.shape[1]), -2.0
@@ -316,7 +343,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, limit: int = SAMPLE_
         elif k < 5 and times[met] @ y[met] >= 0.9 * times[met].sum():
             w[k] = w[0]  # the labels do not excuse this pattern
     w[4] = max(w[4], w[5])
-    return ToxicityModel(lexicon, tuple(float(v) for v in w), float(b))
+    return tuple(float(v) for v in w), float(b)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, columns: list[str]) -> DataFrame:

@@ -27,7 +27,8 @@ def test_clauses():
     assert patterns("idiot " * 3000)[0] == 3000
     assert patterns("idiot, you are") == [0, 1, 0, 0, 0, 0]
     assert patterns("an idiot that nobody has ever seen near you") == [1, 0, 0, 0, 0, 0]
-    assert patterns("never will I hurt you") == [0, 0, 0, 0, 1, 0] and patterns("I will not hurt you") == [0, 0, 0, 0, 0, 1]
+    assert patterns("never again whatever comes will I hurt you") == [0, 0, 0, 0, 1, 0]  # a negation reaches four words
+    assert patterns("never will I hurt you") == patterns("I will not hurt you") == [0, 0, 0, 0, 0, 1]
 
 
 def test_clauses_are_read_whole():
@@ -93,3 +94,31 @@ def test_nulls_and_clashing_columns(spark):
     assert len(got) == 3 and got[0].score == got[1].score < 0.5 < got[2].score
     assert score_toxicity(docs.limit(0), model, ["doc_id"]).count() == 0
     assert fit_toxicity(docs.limit(0), docs.select("doc_id", F.lit(1).alias("toxic")).limit(0), lambda d: fold(d, 3) != 1).lexicon.words
+
+
+CLAUSES = [
+    ("I am going to kill you", "threat"), ("I want to hurt you", "threat"), ("kill yourself", "threat"), ("I will slowly and painfully kill you", "threat"), ("we will burn them all", "threat"),
+    ("I will not kill you", "weak threat"), ("he said he will kill you", "weak threat"), ("kill the process", "weak threat"), ("they shoot films", "weak threat"), ("I will beat the eggs", "weak threat"), ("kill the process if you like", "weak threat"),
+    ("you are an idiot", "aimed insult"), ("what an idiot you are", "aimed insult"), ("you are not smart you idiot", "aimed insult"), ("don't you see, idiot", "aimed insult"),
+    ("you are not an idiot", "negated insult"), ("you are not at all an idiot", "negated insult"), ("never an idiot", "negated insult"), ("du bist kein idiot", "negated insult"),
+    ("No one would ever call you an idiot", "reported insult"), ("she called him an idiot", "reported insult"), ("he wrote that the mayor is a moron", "reported insult"),
+    ("idiot", "insult"), ("a pathetic film of an hour", "insult"),
+]
+
+
+def test_patterns_of_clauses():
+    from corvane.llm.toxicity import PATTERNS, SEED_INSULTS, Grammar, Lexicon, clause_patterns
+
+    lexicon = Lexicon(frozenset(SEED_INSULTS), frozenset())
+    for text, want in CLAUSES:
+        counts = clause_patterns(text, lexicon, lexicon.trigger(), Grammar())
+        assert {PATTERNS[k] for k, n in enumerate(counts) if n} == {want}, (text, counts)
+
+
+def test_an_id_on_many_rows_is_one_labelled_row(spark):
+    from corvane.llm.runtime import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "other"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    got = sorted(map(tuple, labelled_sample(docs, labels, "toxic", lambda c: c > 0, 100).collect()))
+    assert got == [(1, "text 0", 1), (2, "other", 0)]
