@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import words as W
 from corvane.functions.text import abbreviations_in, markers, numbers, sentences, stem, stemmed_words, strip_markers
 from corvane.operators.conflicts import quantities
+from corvane.operators.scoring import Scorer
 
 
 def passages(context: DataFrame) -> DataFrame:
@@ -163,14 +164,21 @@ def query_concepts(questions: DataFrame, terms: DataFrame) -> DataFrame:
     return made.select("question_id", "concepts", words.alias("words"), numbers(F.col("question")).alias("numbers"), "keys", F.col("question").rlike(_ASKS_WHY).alias("asks_why"), F.col("question").rlike(_ASKS_DATA).alias("asks_data"))
 
 
-def scored_units(questions: DataFrame, context: DataFrame, terms: DataFrame, lead: int = 3) -> DataFrame:
+def _probe(question: Column) -> Column:
+    """A question with what its abbreviations mean, as a relevance model reads it."""
+    known = F.array_join(F.transform(abbreviations_in(question), lambda g: F.concat(g["term"], F.lit(" = "), g["meaning"])), "; ")
+    return F.when(known == "", question).otherwise(F.concat(question, F.lit(" ("), known, F.lit(")")))
+
+
+def scored_units(questions: DataFrame, context: DataFrame, terms: DataFrame, lead: int = 3, scorer: Scorer | None = None) -> DataFrame:
     """Units of every passage of a question with ``lexical`` and ``score``, the passage's columns and the question's concepts.
 
     ``considered`` marks the first ``lead`` passages and later ones that hold a key term, found once a passage.
 
     Lexical: the share of concepts in the unit, heading and title, 0.8 for a shared number, 0.6 of the share of key
     terms and half the passage's re-rank score. The score adds 0.3 where a passage is the branch's own, and takes 0.35
-    off for headings that give reasons and for document headers, unless the question asks for those.
+    off for headings that give reasons and for document headers, unless the question asks for those; and, given a
+    ``scorer``, 1.5 times its score of the question with its expansions and ``heading: unit``.
     """
     given = context.columns
     optional = {"section_path": F.lit(""), "branch_specific": F.lit(False), "doc_code": F.lit(""), "effective_from": F.lit(None).cast("date")}
@@ -183,10 +191,14 @@ def scored_units(questions: DataFrame, context: DataFrame, terms: DataFrame, lea
     both = both.withColumn("us", us).withColumn("own_numbers", numbers(F.col("unit"))).withColumn("key_hits", _matched(F.col("keys"), F.col("us")))
     lexical = _matched(F.col("concepts"), F.col("us")) / F.greatest(F.size("concepts"), F.lit(1)) + 0.8 * F.arrays_overlap("numbers", "own_numbers").cast("int") + F.when(F.size("keys") > 0, 0.6 * F.col("key_hits") / F.size("keys")).otherwise(0.0) + 0.5 * F.col("rerank")
     prior = 0.3 * F.col("branch_specific").cast("int") - 0.35 * (F.trim("heading").rlike(_REASONS) & ~F.col("asks_why")).cast("int") - 0.35 * ((F.col("section_path") == "0") & ~F.col("asks_data")).cast("int")
-    return both.withColumn("lexical", F.round(lexical, 6)).withColumn("score", F.round(lexical + prior, 6))
+    semantic = F.lit(0.0)
+    if scorer is not None:
+        both = both.join(questions.select("question_id", _probe(F.col("question")).alias("probe")), "question_id")
+        semantic = 1.5 * scorer(F.col("probe"), F.concat_ws(": ", "heading", "unit"))
+    return both.withColumn("lexical", F.round(lexical, 6)).withColumn("score", F.round(lexical + prior + semantic, 6))
 
 
-def extractive_answers(questions: DataFrame, context: DataFrame, terms: DataFrame, conflicts: DataFrame | None = None, least: float = 0.34, lead: int = 3) -> DataFrame:
+def extractive_answers(questions: DataFrame, context: DataFrame, terms: DataFrame, conflicts: DataFrame | None = None, least: float = 0.34, lead: int = 3, scorer: Scorer | None = None) -> DataFrame:
     """(question_id, answer, not_found, quick_values): the units that best answer each question, quoted with their marker.
 
     ``questions``: question_id, question; ``context``: question_id, chunk_id, place, title, heading, text, rerank, and
@@ -197,7 +209,7 @@ def extractive_answers(questions: DataFrame, context: DataFrame, terms: DataFram
     tables that cover more of the question. ``conflicts`` (question_id, marker_a, marker_b) adds what the other side
     says and which is newer. ``quick_values``: up to four (label, value, source) of the quoted cells and quantities.
     """
-    every = scored_units(questions, context, terms, lead)
+    every = scored_units(questions, context, terms, lead, scorer)
     usable = every.filter(F.col("considered") & ((F.size("keys") == 0) | (F.col("key_hits") > 0)))
     along, all_of = Window.partitionBy("question_id").orderBy(F.desc("score"), "place", "ord"), Window.partitionBy("question_id")
     usable = usable.withColumn("hit", F.arrays_overlap("numbers", "own_numbers"))

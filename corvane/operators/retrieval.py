@@ -42,9 +42,19 @@ def key_terms(terms: DataFrame, stats: DataFrame, n: int, lexicon: list[str], ma
     return known.withColumn("any", any_entity).filter(F.when(F.col("any"), F.col("entity")).otherwise(rare)).select("question_id", "term")
 
 
-def uncovered_entities(terms: DataFrame, stats: DataFrame, lexicon: list[str]) -> DataFrame:
-    """(question_id, term): lexicon entities of a question that no passage holds."""
-    return terms.filter(F.col("term").isin(lexicon)).join(stats.filter("df > 0"), "term", "left_anti")
+def uncovered_entities(terms: DataFrame, stats: DataFrame, lexicon: list[str], expansions: DataFrame | None = None) -> DataFrame:
+    """(question_id, term): lexicon entities of a question that no passage holds.
+
+    ``expansions(question_id, expansions)`` are the abbreviations and brands of a question with their meanings: an entity
+    is covered too where a passage holds a word of what it is short for.
+    """
+    known = stats.filter("df > 0").select("term")
+    missing = terms.filter(F.col("term").isin(lexicon)).join(known, "term", "left_anti").select("question_id", "term")
+    if expansions is None:
+        return missing
+    each = expansions.select("question_id", F.explode("expansions").alias("x")).select("question_id", stemmed_words(F.col("x.term")).alias("shorts"), F.explode(stemmed_words(F.col("x.meaning"))).alias("term"))
+    covered = each.join(known, "term", "left_semi").select("question_id", F.explode("shorts").alias("term")).distinct()
+    return missing.join(covered, ["question_id", "term"], "left_anti")
 
 
 def postings(passages: DataFrame, terms: DataFrame | None = None, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
@@ -152,21 +162,21 @@ def lexical_score(question: Column, passage: Column) -> Column:
     return F.when(F.size(q) > 0, F.round(F.size(F.array_intersect(q, stemmed_words(passage))) / F.size(q), 4)).otherwise(0.0)
 
 
-def maxp(pool: DataFrame, windows: DataFrame, keep: int = 2, chunk_chars: int = 600) -> DataFrame:
+def maxp(pool: DataFrame, windows: DataFrame, keep: int = 2, chunk_chars: int = 600, scorer=lexical_score) -> DataFrame:
     """(question_id, chunk_id, rerank, best_window): the best of ``keep`` windows and of the whole view.
 
     ``pool``: question_id, question, chunk_id, title, text; ``windows``: chunk_id, pos, window. Windows are
     kept by the number of question words in them, earlier ones first. The whole view never names a window:
-    the first kept one stands for it.
+    the first kept one stands for it. ``scorer`` may be a relevance model, see ``scoring.pair_scorer``.
     """
     overlap = F.size(F.array_intersect(content_words(F.col("question")), content_words(F.col("window"))))
     each = pool.join(windows, "chunk_id").withColumn("overlap", overlap)
     order = Window.partitionBy("question_id", "chunk_id").orderBy(F.desc("overlap"), "pos")
     kept = each.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
-    kept = kept.withColumn("score", lexical_score(F.col("question"), F.col("window")))
+    kept = kept.withColumn("score", scorer(F.col("question"), F.col("window")))
     best = kept.groupBy("question_id", "chunk_id").agg(F.max("score").alias("window_score"), F.max_by("pos", F.struct("score", -F.col("place"))).alias("top"), F.min_by("pos", "place").alias("first"))
     view = F.concat_ws("\n", "title", F.substring("text", 1, chunk_chars))
-    whole = pool.select("question_id", "chunk_id", lexical_score(F.col("question"), view).alias("whole"))
+    whole = pool.select("question_id", "chunk_id", scorer(F.col("question"), view).alias("whole"))
     both = whole.join(best, ["question_id", "chunk_id"], "left")
     score = F.greatest("whole", F.coalesce("window_score", F.lit(0.0)))
     return both.select("question_id", "chunk_id", score.alias("rerank"), F.when(F.col("window_score") >= F.col("whole"), F.col("top")).otherwise(F.col("first")).alias("best_window"))
