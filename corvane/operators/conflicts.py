@@ -100,20 +100,47 @@ def newer_side(conflicts: DataFrame, effective: DataFrame, cited: DataFrame) ->
     return both.withColumn("newer", newer).drop("from_a", "from_b")
 
 
-def query_conflicts(context: DataFrame, stored: DataFrame, found: DataFrame, least: float = 0.35) -> DataFrame:
+def _open_touching(context: DataFrame, stored: DataFrame, least: float) -> DataFrame:
+    """(question_id, a, b, conflict) of open stored pairs with a side that is relevant to the question; two equality joins, not one by OR."""
+    keep = context.filter(F.col("rerank") >= least).select("question_id", "chunk_id")
+    number = F.col("conflict_id") if "conflict_id" in stored.columns else F.struct("chunk_a", "chunk_b")
+    known = stored.filter("status = 'open'").select(F.col("chunk_a").alias("a"), F.col("chunk_b").alias("b"), number.alias("conflict"))
+    sides = [keep.join(known, keep["chunk_id"] == known[side]).select("question_id", "a", "b", "conflict") for side in ("a", "b")]
+    return sides[0].unionByName(sides[1]).distinct()
+
+
+def conflict_partners(context: DataFrame, stored: DataFrame, eligible: DataFrame, least: float = 0.35) -> DataFrame:
+    """(question_id, chunk_id, rerank): the other sides of open stored conflicts that a question's context lacks.
+
+    Only ``eligible`` chunks come in: (chunk_id), or (question_id, chunk_id) where each question has its own. A side takes
+    the re-rank score of the one that brings it, by the first conflict of several.
+    """
+    pairs = _open_touching(context, stored, least)
+    each = pairs.select("question_id", "conflict", F.col("a").alias("chunk_id"), F.col("b").alias("other")).unionByName(pairs.select("question_id", "conflict", F.col("b").alias("chunk_id"), F.col("a").alias("other")))
+    there = context.select("question_id", F.col("chunk_id").alias("other"), "rerank")
+    lacking = each.join(context.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti").join(there, ["question_id", "other"])
+    allowed = lacking.join(eligible.select(*[c for c in ("question_id", "chunk_id") if c in eligible.columns]).distinct(), [c for c in ("question_id", "chunk_id") if c in eligible.columns], "left_semi")
+    return allowed.groupBy("question_id", "chunk_id").agg(F.min_by("rerank", "conflict").alias("rerank"))
+
+
+def query_conflicts(context: DataFrame, stored: DataFrame, found: DataFrame, least: float = 0.35, partners: DataFrame | None = None) -> DataFrame:
     """(question_id, a, b, origin): open stored conflicts of the context, and new ones inside it.
 
-    ``context``: question_id, chunk_id, document_id, network_wide, rerank. Pairs that were settled before
-    are skipped.
+    ``context``: question_id, chunk_id, document_id, network_wide, rerank and, if known, effective_from. A stored conflict
+    counts if one side is relevant and both are in the context or among its ``partners`` (:func:`conflict_partners`). Pairs
+    that were settled before are skipped. Of a new pair the side with the older effective date is ``a``.
     """
+    known = context.select("question_id", "chunk_id")
+    if partners is not None:
+        known = known.unionByName(partners.select("question_id", "chunk_id"))
+    side = lambda name: known.distinct().withColumnRenamed("chunk_id", name)
+    kept = _open_touching(context, stored, least).join(side("a"), ["question_id", "a"], "left_semi").join(side("b"), ["question_id", "b"], "left_semi").select("question_id", "a", "b")
     good = context.filter(F.col("rerank") >= least)
-    keep = good.select("question_id", "chunk_id")
-    known = stored.filter("status = 'open'")
-    left = keep.join(known, keep["chunk_id"] == known["chunk_a"]).select("question_id", F.col("chunk_a").alias("a"), F.col("chunk_b").alias("b"))
-    right = keep.join(known, keep["chunk_id"] == known["chunk_b"]).select("question_id", F.col("chunk_a").alias("a"), F.col("chunk_b").alias("b"))
-    x = good.select("question_id", F.col("chunk_id").alias("a"), F.col("document_id").alias("doc_a"), "network_wide")
-    y = good.select("question_id", F.col("chunk_id").alias("b"), F.col("document_id").alias("doc_b"), "network_wide")
-    inside = x.join(y, ["question_id", "network_wide"]).filter("a < b and doc_a <> doc_b").select("question_id", "a", "b")
-    fresh = inside.join(new_pairs(inside, stored), ["a", "b"], "left_semi")
+    dated = F.col("effective_from") if "effective_from" in context.columns else F.lit(None).cast("date")
+    x = good.select("question_id", F.col("chunk_id").alias("a"), F.col("document_id").alias("doc_a"), dated.alias("from_a"), "network_wide")
+    y = good.select("question_id", F.col("chunk_id").alias("b"), F.col("document_id").alias("doc_b"), dated.alias("from_b"), "network_wide")
+    inside = x.join(y, ["question_id", "network_wide"]).filter("a < b and doc_a <> doc_b").select("question_id", "a", "b", F.coalesce(F.col("from_b") < F.col("from_a"), F.lit(False)).alias("turned"))
+    fresh = inside.join(new_pairs(inside.select("a", "b").distinct(), stored), ["a", "b"], "left_semi")
     tested = fresh.join(conflict_pairs(fresh.select("a", "b").distinct(), found), ["a", "b"], "left_semi")
-    return left.unionByName(right).distinct().withColumn("origin", F.lit("stored")).unionByName(tested.select("question_id", "a", "b").withColumn("origin", F.lit("new")))
+    older, newer = F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b"))
+    return kept.distinct().withColumn("origin", F.lit("stored")).unionByName(tested.select("question_id", older.alias("a"), newer.alias("b"), F.lit("new").alias("origin")))

@@ -69,3 +69,33 @@ def test_a_relevance_model_orders_units_and_windows(spark):
     assert (best.rerank, best.best_window) == (0.9, 1)
     failing = pair_scorer(lambda qs, ts: 1 / 0)
     assert [x[0] for x in pool.select(failing(F.col("question"), F.col("text"))).collect()] == [0.0]
+
+
+def test_stored_conflicts_bring_in_their_other_side(spark):
+    from corvane.operators import conflicts
+
+    rows = [(1, 10, 1, True, 0.9, "2025-01-01"), (1, 20, 2, True, 0.8, "2024-01-01"), (1, 30, 3, True, 0.1, "2024-06-01"), (2, 20, 2, True, 0.5, "2024-01-01"), (1, 50, 5, False, 0.7, "2024-01-01")]
+    context = spark.createDataFrame(rows, "question_id long, chunk_id long, document_id long, network_wide boolean, rerank double, day string").withColumn("effective_from", F.to_date("day"))
+    stored = spark.createDataFrame([(1, 10, 99, "open"), (2, 98, 20, "open"), (3, 20, 97, "dismissed"), (4, 30, 96, "open"), (5, 20, 99, "open"), (6, 95, 94, "open")], "conflict_id long, chunk_a long, chunk_b long, status string")
+    eligible = spark.createDataFrame([(99,), (96,), (97,), (95,)], "chunk_id long")  # 98 is not
+    partners = conflicts.conflict_partners(context, stored, eligible).cache()
+    assert sorted(map(tuple, partners.collect())) == [(1, 99, 0.9), (2, 99, 0.5)]
+    texts = spark.createDataFrame([(10, "Infuse heparin at 12 units/kg per hour."), (20, "Infuse heparin at 18 units/kg per hour."), (30, "x"), (50, "Infuse heparin at 20 units/kg per hour.")], "chunk_id long, text string")
+    found = conflicts.query_conflicts(context, stored, conflicts.quantities(texts), partners=partners)
+    got = sorted(map(tuple, found.collect()))
+    assert [g for g in got if g[3] == "stored"] == [(1, 10, 99, "stored"), (1, 20, 99, "stored"), (2, 20, 99, "stored")]
+    assert [g for g in got if g[3] == "new"] == [(1, 20, 10, "new")]  # the older date first; not across the network mark
+    alone = conflicts.query_conflicts(context, stored, conflicts.quantities(texts))
+    assert not [g for g in alone.collect() if g.origin == "stored"]
+
+
+def test_plain_blocks_by_hand(spark):
+    from corvane.operators import structure
+
+    text = "1.2 Dosing\nGive once daily.\nThen rest.\n\n- item one\n  goes on\n(a) item two\nWARD RULES\n  a lone indent\nNot a heading, with a comma.\nSection 4 Scope"
+    got = structure.plain_blocks(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("block_no").collect()
+    assert [(b.type, b.text) for b in got] == [
+        ("heading", "1.2 Dosing"), ("paragraph", "Give once daily.\nThen rest."), ("item", "- item one\n  goes on"), ("item", "(a) item two"),
+        ("heading", "WARD RULES"), ("paragraph", "  a lone indent\nNot a heading, with a comma."), ("heading", "Section 4 Scope"),
+    ]
+    assert all(text[b.char_start : b.char_end] == b.text for b in got)
