@@ -303,3 +303,40 @@ def eligible_at(scoped: DataFrame, points: DataFrame, days: int = 128) -> DataFr
     inside = met.filter((F.col("valid_from") <= F.col("as_of")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("as_of")))).select("branch_id", "as_of", "chunk_id")
     named = points.select("point_id", F.col("branch_id").alias("b"), F.col("as_of").alias("d"))
     return inside.join(named, F.col("branch_id").eqNullSafe(F.col("b")) & (F.col("as_of") == F.col("d"))).select("point_id", "chunk_id")
+
+
+def clause_outline(chunks: DataFrame) -> DataFrame:
+    """(version_id, outline): the clauses of each version in order, without the chunks of single table rows, one row a version."""
+    shown = ~(F.coalesce("is_table", F.lit(False)) & F.contains("heading", F.lit(" — row "))) if {"is_table", "heading"} <= set(chunks.columns) else F.lit(True)
+    fields = [c for c in ("ordinal", "chunk_id", "section_path", "heading", "is_table", "page_start") if c in chunks.columns]
+    return chunks.filter(F.coalesce(shown, F.lit(True))).groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("outline"))
+
+
+def clause_view(chunks: DataFrame, versions: DataFrame, links: DataFrame, documents: DataFrame, as_of) -> DataFrame:
+    """What a reader of each clause is told: its place, what supersedes it, what its version amends, and which version is newer.
+
+    Result: (chunk_id, version_id, document_id, doc_code, is_current, previous_id, next_id, superseded_by, amends, newer_version).
+    ``superseded_by``: (effective_from, link_id, doc_code, version_label, version_id, section_path) of the active links that hide
+    the clause, oldest first; ``amends``: (doc_code, section_path) of the confirmed links of its version; ``newer_version``:
+    the current version of its document where that is another, or null. The outline is a table of its own
+    (:func:`clause_outline`), so it is not repeated with every clause.
+    """
+    codes = documents.select("document_id", "doc_code")
+    own = with_document(chunks, versions)
+    source = versions.select(F.col("version_id").alias("source_version_id"), F.col("document_id").alias("source_document_id"), F.col("version_label").alias("source_label"))
+    named = active_links(links, versions, as_of).join(source, "source_version_id").join(codes.withColumnRenamed("document_id", "source_document_id"), "source_document_id")
+    note = F.struct("effective_from", "link_id", "doc_code", F.col("source_label").alias("version_label"), F.col("source_version_id").alias("version_id"), F.col("target_section_path").alias("section_path"))
+    into = named.select(F.col("target_document_id").alias("document_id"), "target_section_path", note.alias("note"))
+    hit = own.select("chunk_id", "document_id", "paths").join(into, "document_id").filter(F.exists("paths", lambda p: section_matches(F.col("target_section_path"), p)))
+    hiding = hit.groupBy("chunk_id").agg(F.array_sort(F.collect_list("note")).alias("superseded_by"))
+    out = links.filter("confirmed").join(codes.withColumnRenamed("document_id", "target_document_id"), "target_document_id")
+    amended = out.groupBy(F.col("source_version_id").alias("version_id")).agg(F.array_sort(F.collect_list(F.struct("doc_code", F.col("target_section_path").alias("section_path")))).alias("amends"))
+    now = current_versions(versions, as_of).select("document_id", F.struct("version_id", "version_label", "effective_from").alias("current"))
+    full = own.select("chunk_id", "version_id", "document_id").join(codes, "document_id").join(clause_neighbours(chunks), "chunk_id").join(hiding, "chunk_id", "left").join(amended, "version_id", "left").join(now, "document_id", "left")
+    same = F.coalesce(F.col("current.version_id") == F.col("version_id"), F.lit(False))
+    return full.select(
+        "chunk_id", "version_id", "document_id", "doc_code", same.alias("is_current"), "previous_id", "next_id",
+        F.coalesce("superseded_by", F.expr("filter(array(cast(null as struct<effective_from:date,link_id:bigint,doc_code:string,version_label:string,version_id:bigint,section_path:string>)), x -> x is not null)")).alias("superseded_by"),
+        F.coalesce("amends", F.expr("filter(array(cast(null as struct<doc_code:string,section_path:string>)), x -> x is not null)")).alias("amends"),
+        F.when(~same, F.col("current")).alias("newer_version"),
+    )

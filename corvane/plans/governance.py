@@ -126,6 +126,29 @@ def b11(spark, sf):
     return g.clause_neighbours(table(spark, sf, "chunks_v"))
 
 
+@query(
+    "b11_clause_view",
+    f"""{BASE}, hiding AS (SELECT chunk_id, string_agg(l.link_id || ':' || s.version_label || ':' || coalesce(l.target_section_path, ''), ',' ORDER BY l.effective_from, l.link_id) AS superseded_by
+            FROM (SELECT c.*, v.document_id FROM chunks_v c JOIN versions_v v USING (version_id)) c JOIN active_v l ON l.target_document_id = c.document_id AND {MATCH} JOIN versions_v s ON s.version_id = l.source_version_id GROUP BY 1),
+        amended AS (SELECT source_version_id AS version_id, string_agg(doc_code || coalesce(' §' || target_section_path, ''), '; ' ORDER BY doc_code, target_section_path NULLS FIRST) AS amends FROM links_v JOIN documents_v ON document_id = target_document_id WHERE confirmed GROUP BY 1),
+        near AS (SELECT chunk_id, version_id, lag(chunk_id) OVER o AS previous_id, lead(chunk_id) OVER o AS next_id FROM chunks_v WINDOW o AS (PARTITION BY version_id ORDER BY ordinal))
+        SELECT chunk_id, doc_code, previous_id, next_id, coalesce(w.version_id = v.version_id, false) AS is_current, CASE WHEN w.version_id <> v.version_id THEN w.version_id END AS newer_id, coalesce(superseded_by, '') AS superseded_by, coalesce(amends, '') AS amends
+        FROM near n JOIN versions_v v USING (version_id) JOIN documents_v d ON d.document_id = v.document_id LEFT JOIN current_v w ON w.document_id = v.document_id LEFT JOIN hiding USING (chunk_id) LEFT JOIN amended ON amended.version_id = v.version_id""",
+)
+def b11_view(spark, sf):
+    """Every clause with its neighbours, what supersedes it, what its version amends and the newer version."""
+    full = g.clause_view(*views(spark, sf, "chunks_v", "versions_v", "links_v", "documents_v"), AS_OF)
+    section = lambda x, sign: F.coalesce(F.concat(F.lit(sign), x["section_path"]), F.lit(""))
+    by = F.array_join(F.transform("superseded_by", lambda x: F.concat(x["link_id"].cast("string"), F.lit(":"), x["version_label"], F.lit(":"), F.coalesce(x["section_path"], F.lit("")))), ",")
+    amends = F.array_join(F.transform("amends", lambda x: F.concat(x["doc_code"], section(x, " §"))), "; ")
+    return full.select("chunk_id", "doc_code", "previous_id", "next_id", "is_current", F.col("newer_version.version_id").alias("newer_id"), by.alias("superseded_by"), amends.alias("amends"))
+
+
+@query("b11_clause_outline", f"WITH {duck('chunks_v')} SELECT version_id, string_agg(section_path, ',' ORDER BY ordinal) AS outline FROM chunks_v GROUP BY 1")
+def b11_outline(spark, sf):
+    return g.clause_outline(table(spark, sf, "chunks_v")).select("version_id", F.array_join(F.transform("outline", lambda x: x["section_path"]), ",").alias("outline"))
+
+
 @query(
     "b12_catalogue",
     f"""{BASE} SELECT d.document_id, doc_code, CAST(coalesce(n_versions, 0) AS BIGINT) AS n_versions, CAST(coalesce(n_drafts, 0) AS BIGINT) AS n_drafts, CAST(coalesce(f.n_chunks, 0) AS BIGINT) AS n_chunks, next_review, newest_label,
