@@ -22,6 +22,26 @@ def totals(queries: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
+#: Size of a latency sketch: 99 of 100 quantiles lie within RANK_ERROR of their rank, however many sketches are merged.
+SKETCH_SIZE, RANK_ERROR = 800, 0.01
+
+
+def latency_sketches(queries: DataFrame) -> DataFrame:
+    """(day, n, sketch): a quantile sketch of the latencies of each day, of a few KB, whatever their number.
+
+    Sketches of days, of batches of one day or of other tables merge (:func:`sketched_percentiles`), so percentiles of any
+    window need no second look at the log. Null latencies are left out.
+    """
+    known = queries.filter("latency_ms is not null").select(F.to_date("created_at").alias("day"), F.col("latency_ms").cast("double").alias("latency"))
+    return known.groupBy("day").agg(F.count("*").alias("n"), F.kll_sketch_agg_double("latency", F.lit(SKETCH_SIZE)).alias("sketch"))
+
+
+def sketched_percentiles(sketches: DataFrame, by: list[str], ranks: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """(by, n, p50, p95, ...): percentiles of merged sketches (day, n, sketch), each within RANK_ERROR of its rank."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_SIZE)).alias("sketch"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(r).cast("double")).alias(f"p{round(100 * r)}") for r in ranks])
+
+
 def top_questions(queries: DataFrame, limit: int = 10) -> DataFrame:
     """The most frequent questions regardless of case."""
     return queries.groupBy(F.lower("question").alias("question")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "question").limit(limit)

@@ -218,14 +218,35 @@ def escalation_contacts(requests: DataFrame, contacts: DataFrame, limit: int = 4
     in the department, local, by priority, by id. Nothing is offered out of scope or for clarification.
     """
     r = requests.filter(~F.col("reason").isin("out_of_scope", "clarify")).select("request_id", F.col("branch_id").alias("r_branch"), "reason", F.col("department_id").alias("r_department"))
-    c = contacts.select("contact_id", "branch_id", "department_id", "escalation_for", "priority")
-    wide = c.filter("branch_id is null")  # a handful of people, whatever the number of requests
-    both = r.join(c, r["r_branch"] == c["branch_id"]).unionByName(r.crossJoin(wide))
+    # contacts of one branch, reason and department are in one order for every request: the first ones stand for all
+    alike = Window.partitionBy("branch_id", "escalation_for", "department_id").orderBy("priority", "contact_id")
+    first = contacts.select("contact_id", "branch_id", "department_id", "escalation_for", "priority").withColumn("n", F.row_number().over(alike)).filter(F.col("n") <= limit)
+    # requests of one branch, reason and department get the same contacts: they are ranked once a kind
+    kinds = r.select("r_branch", "reason", "r_department").distinct()
+    looks = kinds.withColumn("look_branch", F.explode(F.array_distinct(F.array("r_branch", F.lit(None).cast("int"))))).withColumn("look_for", F.explode(F.array("reason", F.lit(""))))
+    both = looks.join(first, looks["look_branch"].eqNullSafe(first["branch_id"]) & (looks["look_for"] == first["escalation_for"]))
     named = F.col("escalation_for") == F.col("reason")
     in_department = F.coalesce(F.col("department_id") == F.col("r_department"), F.lit(False))
-    ok = both.filter((named | (F.col("escalation_for") == "")) & (F.col("department_id").isNull() | in_department | (F.col("reason") == "high_risk")))
-    order = Window.partitionBy("request_id").orderBy(F.desc(named), F.desc(in_department), F.desc(F.col("branch_id").isNotNull()), "priority", "contact_id")
-    return ok.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("request_id", "contact_id", "place")
+    ok = both.filter(F.col("department_id").isNull() | in_department | (F.col("reason") == "high_risk"))
+    order = Window.partitionBy("r_branch", "reason", "r_department").orderBy(F.desc(named), F.desc(in_department), F.desc(F.col("branch_id").isNotNull()), "priority", "contact_id")
+    ranked = ok.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select(F.col("r_branch").alias("k_branch"), F.col("reason").alias("k_reason"), F.col("r_department").alias("k_department"), "contact_id", "place")
+    of = F.col("r_branch").eqNullSafe(F.col("k_branch")) & (F.col("reason") == F.col("k_reason")) & F.col("r_department").eqNullSafe(F.col("k_department"))
+    return r.join(ranked, of).select("request_id", "contact_id", "place")
+
+
+def section_match_counts(paths: DataFrame, links: DataFrame) -> DataFrame:
+    """(link_id, n): how many of ``paths(section_path)`` each link's target matches, as :func:`section_matches` says.
+
+    Each path stands under itself and under all of its starts that end before ``.``, ``#`` or ``(``, so targets meet it
+    by equality; a link without a target takes the number of all paths.
+    """
+    path = F.col("section_path")
+    cuts = F.filter(F.sequence(F.lit(1), F.length(path)), lambda i: F.substring(path, i, F.lit(1)).isin(".", "#", "("))
+    starts = F.array_distinct(F.concat(F.array(path), F.transform(cuts, lambda i: F.substring(path, F.lit(1), i - 1))))
+    spread = paths.filter("section_path is not null and section_path <> ''").select(F.explode(starts).alias("target_section_path"), "section_path")
+    met = links.filter("target_section_path is not null").join(spread, "target_section_path").groupBy("link_id").agg(F.count("*").alias("n"))
+    every = links.filter("target_section_path is null").select("link_id").crossJoin(F.broadcast(paths.agg(F.count("*").alias("n"))))  # one row
+    return met.unionByName(every.filter("n > 0"))
 
 
 def contact_list(contacts: DataFrame, branch_id: int) -> DataFrame:

@@ -24,6 +24,13 @@ def l01(spark, sf):
     return a.totals(*views(spark, sf, "query_logs_v", "answer_logs_v"))
 
 
+@query("l01_sketched_percentiles")
+def l01_sketched(spark, sf):
+    """Latency percentiles of weeks, from sketches of days."""
+    days = a.latency_sketches(table(spark, sf, "query_logs_v"))
+    return a.sketched_percentiles(days.withColumn("week", F.date_trunc("week", "day")), ["week"])
+
+
 @query("l02_routes_and_reasons", f"{LOGS} SELECT route, abstain_reason, count(*) AS n FROM query_logs_v JOIN answer_logs_v USING (query_id) GROUP BY 1, 2")
 def l02(spark, sf):
     q, r = views(spark, sf, "query_logs_v", "answer_logs_v")

@@ -48,7 +48,7 @@ def b02(spark, sf):
 def b03(spark, sf):
     chunks, links = views(spark, sf, "chunks_v", "links_v")
     paths = chunks.select("section_path").distinct()
-    return paths.join(links, g.section_matches(F.col("target_section_path"), F.col("section_path"))).groupBy("link_id").agg(F.count("*").alias("n"))
+    return g.section_match_counts(paths, links)
 
 
 @query("b04_superseded_chunks", f"{BASE} SELECT chunk_id FROM hidden_v")

@@ -55,3 +55,33 @@ def test_nearest_rank_at_other_partition_counts(spark):
     want = {(g, float(sorted(range(g, 100_000, 3))[round(0.95 * (len(range(g, 100_000, 3)) - 1))])) for g in range(3)}
     for parts in (3, 50):
         assert {tuple(r) for r in evaluation.nearest_rank(rows.repartition(parts), "g", "v", 0.95, "p").collect()} == want
+
+
+def test_merged_latency_sketches_keep_their_rank(spark):
+    import random
+
+    from corvane.operators import analytics
+
+    rng = random.Random(7)
+    rows = [(k, f"2026-01-{1 + k % 20:02d} 10:00:00", None if k % 50 == 0 else rng.lognormvariate(5, 1.2)) for k in range(60_000)]
+    logs = spark.createDataFrame(rows, "query_id long, at string, latency_ms double").select("query_id", F.to_timestamp("at").alias("created_at"), "latency_ms")
+    days = analytics.latency_sketches(logs.filter("query_id % 2 = 0")).unionByName(analytics.latency_sketches(logs.filter("query_id % 2 = 1")))
+    got = analytics.sketched_percentiles(days, []).first()
+    exact = sorted(r[2] for r in rows if r[2] is not None)
+    assert got.n == len(exact)
+    for rank, value in ((0.5, got.p50), (0.95, got.p95), (0.99, got.p99)):
+        assert abs(sum(x <= value for x in exact) / len(exact) - rank) <= analytics.RANK_ERROR
+    assert analytics.sketched_percentiles(analytics.latency_sketches(logs.limit(0)), ["day"]).count() == 0
+
+
+def test_sections_counted_by_starts_of_paths(spark):
+    import random
+
+    from corvane.operators import governance as g
+
+    rng = random.Random(8)
+    path = lambda: "".join(rng.choice(["1", "2", "12", ".", "#", "(", "a)"]) for _ in range(rng.randrange(1, 6)))
+    paths = spark.createDataFrame([(p,) for p in {path() for _ in range(150)}], "section_path string")
+    links = spark.createDataFrame([(k, rng.choice([None, path(), path()])) for k in range(120)], "link_id long, target_section_path string")
+    want = paths.join(links, g.section_matches(F.col("target_section_path"), F.col("section_path"))).groupBy("link_id").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, g.section_match_counts(paths, links).collect())) == sorted(map(tuple, want.collect()))
