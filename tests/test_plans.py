@@ -42,12 +42,12 @@ def test_no_cartesian_product_over_chunks(spark):
 
 
 #: Queries with the blocked matrix product of the vector search, the one step of theirs in Arrow tasks.
-VECTOR = ("h06_vector_topk", "h06_index_recall", "h07_rank_fusion", "h09_lexical_rerank")
+VECTOR = ("h06_vector_topk", "h06_lsh_recall", "h06_index_recall", "h07_rank_fusion", "h09_lexical_rerank")
 
 
 def test_native_queries_run_no_python(spark):
     for name in sorted(registry.QUERIES):
-        if name[:2] in ("b0", "b1", "b2", "h0", "m0") and name != "h06_index_recall":
+        if name[:2] in ("b0", "b1", "b2", "h0", "m0") and name not in ("h06_lsh_recall", "h06_index_recall"):
             python = "ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroups" + ("" if name in VECTOR else "|MapInArrow")
             assert not re.search(python, plan(registry.QUERIES[name](spark, SF))), name
 
