@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +98,19 @@ def test_a_question_sees_its_own_branch_and_day_only(spark, branch):
     got = r.batch_search(asked, texts, index, asked.select("question_id", F.array(F.lit(1.0), F.lit(1.0)).alias("vector")), vectors, scoped, facts, keys).collect()
     assert {x.chunk_id for x in got} == ({1} if branch is None else {1, 4})
     assert all(x.rerank == 1.0 and x.key_boost == 0.25 and x.final == 1.27 and x.in_context for x in got)
+
+
+def test_hashed_search_gives_what_a_join_of_buckets_gives(spark):
+    """Zero and null vectors take no part, and only colliding pairs inside the radius count."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.linalg import Vectors
+
+    rng = np.random.default_rng(5)
+    rows = [(n, rng.normal(size=8).tolist()) for n in range(60)]
+    vectors = spark.createDataFrame([*rows, (90, [0.0] * 8), (91, None)], "chunk_id long, vector array<double>")
+    asked = vectors.filter("chunk_id % 10 = 0").withColumnRenamed("chunk_id", "question_id")
+    got = {(x.question_id, x.chunk_id) for x in r.lsh_topk(asked, vectors, k=70, bucket_length=0.3, tables=2, radius=1.0).collect()}
+    unit = spark.createDataFrame([(n, Vectors.dense(np.array(v) / np.linalg.norm(v))) for n, v in rows], ["id", "unit"])
+    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=0.3, numHashTables=2, seed=11).fit(unit)
+    pairs = model.approxSimilarityJoin(unit.filter("id % 10 = 0"), unit, 1.0)
+    assert got == {(x.datasetA.id, x.datasetB.id) for x in pairs.collect()}
