@@ -21,8 +21,8 @@ def containing_passages(items: DataFrame, documents: DataFrame, key: int = 12) -
     cut = lambda n: F.transform(starts, lambda s: F.substring(s, 1, n))
     keys = F.array_distinct(F.flatten(F.array(*map(cut, sizes)))) if sizes else F.array().cast("array<string>")
     texts = documents.filter("text is not null").select(F.col("doc_id").alias("chunk_id"), "text")
-    near = texts.select("chunk_id", F.explode(keys).alias("key")).join(asked.select("question_id", "key"), "key").select("question_id", "chunk_id").distinct()
-    hit = near.join(asked.drop("key"), "question_id").join(texts, "chunk_id").filter(F.contains("text", "item"))
+    near = written(texts.select("chunk_id", F.explode(keys).alias("key")).join(asked.select("question_id", "key"), "key").select("question_id", "chunk_id").distinct())  # of known size, so texts move only for many
+    hit = near.join(texts, "chunk_id").join(asked.drop("key"), "question_id").filter(F.contains("text", "item"))
     return hit.select("question_id", "chunk_id").distinct()
 
 
