@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import stemmed_words
 from corvane.operators import answers, conflicts, evaluation, metadata, privacy, routing, structure
-from corvane.operators import retrieval as r
 from corvane.plans.analytics import RECORD
 from corvane.plans.governance import views
 from corvane.plans.registry import query
-from corvane.plans.retrieval import KEYWORD, PASSAGES, POSTS, TERMS, gold, keyword, passages, questions
+from corvane.plans.retrieval import KEYWORD, PASSAGES, POSTS, TERMS, gold, keyword, passages, questions, rare_terms
 from corvane.plans.text import stem_sql, stems_sql
 from corvane.functions import words as W
 from corvane.sources import corpus
+from corvane.sources.scratch import written
 from corvane.sources.views import duck, table
 
 
@@ -208,15 +208,16 @@ def j04(spark, sf):
 
 
 def context_rows(spark, sf):
-    top = keyword(spark, sf).filter("rank <= 6").join(passages(spark, sf), "chunk_id")
-    return top.select("question_id", "chunk_id", F.col("rank").alias("place"), F.lit("Corpus").alias("title"), F.lit("text").alias("heading"), "text", F.col("score").alias("rerank"))
+    """The first six passages of each question with their texts, written: few rows are joined to texts that stay in place, once."""
+    top = written(keyword(spark, sf).filter("rank <= 6")).join(passages(spark, sf), "chunk_id")
+    return written(top.select("question_id", "chunk_id", F.col("rank").alias("place"), F.lit("Corpus").alias("title"), F.lit("text").alias("heading"), "text", F.col("score").alias("rerank")))
 
 
 @query("j05_query_conflicts")
 def j05(spark, sf):
     ctx = context_rows(spark, sf).withColumn("document_id", F.col("chunk_id")).withColumn("network_wide", F.lit(True))
     stored = ctx.groupBy("question_id").agg(F.min("chunk_id").alias("chunk_a"), F.max("chunk_id").alias("chunk_b")).withColumn("status", F.when(F.col("question_id") % 2 == 0, "open").otherwise("dismissed")).drop("question_id").distinct()
-    return conflicts.query_conflicts(ctx, stored, conflicts.quantities(passages(spark, sf)))
+    return conflicts.query_conflicts(ctx, stored, conflicts.quantities(ctx.select("chunk_id", "text").distinct()))
 
 
 @query("j06_newer_side", f"WITH {duck('conflicts_v', 'chunks_v', 'versions_v')} SELECT conflict_id, CAST(NULL AS BIGINT) AS newer FROM conflicts_v JOIN chunks_v a ON a.chunk_id = chunk_a JOIN chunks_v b ON b.chunk_id = chunk_b WHERE chunk_a % 3 = 0 OR chunk_b % 3 = 0")
@@ -229,8 +230,7 @@ def j06(spark, sf):
 
 @query("k04_extractive_answers")
 def k04(spark, sf):
-    terms = r.question_terms(questions(spark, sf)).join(r.term_stats(passages(spark, sf)).filter("df <= 3"), "term", "left_semi")
-    return answers.extractive_answers(questions(spark, sf), context_rows(spark, sf), terms)
+    return answers.extractive_answers(questions(spark, sf), context_rows(spark, sf), rare_terms(spark, sf))
 
 
 def drafts(spark, sf):

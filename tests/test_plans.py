@@ -55,3 +55,41 @@ def test_native_queries_run_no_python(spark):
 def test_vector_search_joins_by_blocks(spark):
     p = plan(registry.QUERIES["h06_vector_topk"](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p and "MapInArrow" in p
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    """Texts of sf0.001 count as too large to broadcast, as those of a large table are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["h09_lexical_rerank", "h14_context_cut"])
+def test_texts_of_pools_are_not_shuffled(spark, small_broadcasts, name):
+    assert "SortMergeJoin" not in plan(registry.QUERIES[name](spark, SF))
+
+
+def test_texts_of_contexts_are_joined_once(spark, small_broadcasts):
+    from corvane.plans.corpus import context_rows
+
+    p = plan(context_rows(spark, SF))
+    assert "Exchange" not in p and "Join" not in p
+
+
+def test_texts_with_items_are_not_shuffled(spark, small_broadcasts):
+    p = plan(retrieval.gold(spark, SF))
+    assert "SortMergeJoin" not in p
+
+
+@pytest.mark.parametrize("name", ["h03_key_terms", "h04_uncovered_entities"])
+def test_statistics_of_question_terms_come_from_the_index(spark, name):
+    p = plan(registry.QUERIES[name](spark, SF))
+    assert "/postings" in p and "regexp_extract_all(lower(text" not in p
+
+
+def test_index_shuffles_postings_once(spark):
+    from corvane.operators.inverted import posting_blocks
+
+    df = posting_blocks(retrieval.passages(spark, SF), 32)
+    assert plan(df).split("== Physical Plan ==")[1].split("\n\n")[0].count("Exchange") == 1
