@@ -54,3 +54,34 @@ def test_clashing_columns(spark):
     plain = v.select("vec_id", "z")
     order = lambda df: sorted(map(tuple, df.collect()))
     assert order(exact_top_k(v, v.filter("vec_id % 10 = 0"), 3)) == order(exact_top_k(plain, plain.filter("vec_id % 10 = 0"), 3))
+
+
+def test_groups_of_queries_equal_brute_force(monkeypatch):
+    from corvane.llm import maxscore
+
+    monkeypatch.setattr(maxscore, "PAIRS", 3000)
+    rng = np.random.default_rng(5)
+    for n, d, spread, kind in ((3, 4, 5, np.float32), (400, 40, 90, np.float32), (700, 24, 1, np.float64), (300, 20, 2**28, np.int64)):
+        ids, v = rng.permutation(n * 3)[:n], rng.integers(-spread, spread + 1, (n, d)).astype(kind)
+        ids[1] = ids[0]  # a repeated id is no candidate of its own query
+        shard = Shard(ids, v)
+        exact = v.astype(np.int64)
+        for theta in (-np.inf, float(spread)):
+            got = {i: [] for i in range(n)}
+            for of, at, scores in shard.groups(ids, v, 5, np.full(n, theta)):
+                for i, a, s in zip(of.tolist(), shard.ids[at].tolist(), scores.tolist(), strict=True):
+                    got[i].append((a, int(s)))
+            for i in range(n):
+                assert got[i] == [(a, s) for a, s in brute(ids.tolist(), exact, ids[i], exact[i], 5) if s >= theta]
+
+
+def test_a_query_block_is_shipped_a_bounded_number_of_times(spark, monkeypatch):
+    from corvane.llm import maxscore
+
+    monkeypatch.setattr(maxscore, "SHARD", 2)
+    monkeypatch.setattr(maxscore, "PARTS", 8)
+    v = spark.createDataFrame([(i, [i % 11 - 5, i % 7 - 3]) for i in range(400)], "vec_id long, z array<long>")
+    shipped, searched = [], maxscore._searched
+    monkeypatch.setattr(maxscore, "_searched", lambda left, right, k: shipped.append(right.count()) or searched(left, right, k))
+    assert exact_top_k(v, v.filter("vec_id % 50 = 0"), 5).count() == 40
+    assert max(shipped) <= 8  # not one for every two vectors
