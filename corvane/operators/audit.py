@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.sources.scratch import AT, in_order, part_of, place_of
+from corvane.sources.scratch import AT, PLACE_BITS, fresh_path, in_order, part_of, place_of
 
 GENESIS = "0" * 64
+#: Events of a piece of the log, about; one task sorts and chains a chain's share of a piece.
+PIECE = 400_000
 
 
 #: JSON escapes of the characters that a string must not hold as they are.
@@ -82,13 +86,15 @@ def verify_chains(events: DataFrame, chain_col: str) -> DataFrame:
 def append_chain(events: DataFrame, chain_col: str, last_hashes: DataFrame | None = None) -> DataFrame:
     """Events with prev_hash and hash, chained per ``chain_col`` in order of seq, from each chain's last hash.
 
-    A chain is serial by nature: its events are read in order by one task, batch by batch, and one hash is carried on,
-    so a chain of any length takes the memory of a batch. Chains are worked on side by side.
+    A chain is serial by nature, its memory is not: the log is written in order, in pieces of about ``PIECE`` events, and
+    each round chains the next piece of every chain, from the hash that the round before left. Chains are worked on
+    side by side; a log of short chains takes one round.
     """
     ready = events.withColumn("record", canonical_record())
     ready = ready.withColumn("seed", F.lit(GENESIS)) if last_hashes is None else ready.join(last_hashes.select(chain_col, F.col("hash").alias("seed")), chain_col, "left").fillna({"seed": GENESIS})
     kept = [c for c in ready.columns if c not in ("record", "seed")]
-    schema = ready.select(*kept).schema.add("prev_hash", "string").add("hash", "string")
+    ordered = in_order(ready, chain_col, "seq", parts=-(-events.count() // PIECE) or 1)
+    schema = ordered.select(*kept, AT).schema.add("prev_hash", "string").add("hash", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, last, begun = None, "", False
@@ -101,7 +107,41 @@ def append_chain(events: DataFrame, chain_col: str, last_hashes: DataFrame | Non
                 before.append(last)
                 last = hashlib.sha256((last + record).encode()).hexdigest()
                 after.append(last)
-            arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*kept, "prev_hash", "hash"])
-
-    return ready.repartition(chain_col).sortWithinPartitions(chain_col, "seq").mapInArrow(run, schema)
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in (*kept, AT)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*kept, AT, "prev_hash", "hash"])
+
+    chained = lambda rows: rows.repartition(chain_col).sortWithinPartitions(chain_col, AT).mapInArrow(run, schema)
+    rounds = _continued(ordered, chain_col)
+    if not rounds:
+        return chained(ordered).drop(AT)
+    spark, path = events.sparkSession, fresh_path(events.sparkSession)
+    held = lambda heads: F.broadcast(spark.createDataFrame(heads, ordered.select(F.lit(0).alias("head_part"), F.col(chain_col).alias("head")).schema))
+    of_head = (part_of() == F.col("head_part")) & F.col(chain_col).eqNullSafe(F.col("head"))
+    chained(ordered.join(held([head for heads in rounds for head in heads]), of_head, "left_anti")).write.parquet(f"{path}/0")
+    for n, heads in enumerate(rounds, 1):
+        done = spark.read.schema(schema).parquet(f"{path}/{n - 1}")
+        chains = held(heads).select("head").distinct()
+        last = done.join(F.broadcast(chains), F.col(chain_col).eqNullSafe(F.col("head"))).groupBy("head").agg(F.max_by("hash", AT).alias("seed"))
+        spans = [F.col(AT).between(part << PLACE_BITS, ((part + 1) << PLACE_BITS) - 1) for part, _ in heads]  # only these files are read
+        rows = ordered.filter(reduce(or_, spans)).join(held(heads), of_head, "left_semi").drop("seed")
+        chained(rows.join(F.broadcast(last), F.col(chain_col).eqNullSafe(F.col("head")), "left").drop("head")).write.parquet(f"{path}/{n}")
+    return spark.read.schema(schema).parquet(*(f"{path}/{n}" for n in range(len(rounds) + 1))).drop(AT)
+
+
+def _continued(ordered: DataFrame, chain_col: str) -> list[list[tuple]]:
+    """Parts of ``ordered`` whose first chain goes on from the part before, with that chain: those that go on once, twice and so on.
+
+    The driver sees one small row for each part.
+    """
+    ends = ordered.groupBy(part_of().alias("part")).agg(F.min_by(F.struct(chain_col), AT).alias("first"), F.max_by(F.struct(chain_col), AT).alias("last")).collect()
+    rounds: dict[int, list[tuple]] = {}
+    before, level = None, 0
+    for end in sorted(ends, key=lambda end: end["part"]):
+        first = end["first"][0]
+        if before is not None and before["last"][0] == first:
+            level = (level if before["first"][0] == first else 0) + 1
+            rounds.setdefault(level, []).append((end["part"], first))
+        else:
+            level = 0
+        before = end
+    return [rounds[level] for level in sorted(rounds)]

@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +88,22 @@ def test_sections_counted_by_starts_of_paths(spark):
     links = spark.createDataFrame([(k, rng.choice([None, path(), path()])) for k in range(120)], "link_id long, target_section_path string")
     want = paths.join(links, g.section_matches(F.col("target_section_path"), F.col("section_path"))).groupBy("link_id").agg(F.count("*").alias("n"))
     assert sorted(map(tuple, g.section_match_counts(paths, links).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_chains_longer_than_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(audit, "PIECE", 300)
+    sizes = {"a": 40, "b": 1500, "c": 1, "d": 700, None: 350, "e": 20}
+    names = [name for name, n in sizes.items() for _ in range(n)]
+    random.Random(3).shuffle(names)
+    rows = [(name, seq, "x", seq % 7, None, "y", None) for seq, name in enumerate(names)]
+    events = spark.createDataFrame(rows, "log string, seq long, action string, actor_user_id long, entity_id string, entity_type string, payload string").withColumn("created_at", F.timestamp_seconds("seq")).repartition(5)
+    seeds = spark.createDataFrame([("b", "f" * 64)], "log string, hash string")
+    records = {r["seq"]: r["record"] for r in events.select("seq", audit.canonical_record().alias("record")).collect()}
+    for known, begin in ((None, {}), (seeds, {"b": "f" * 64})):
+        got = audit.append_chain(events, "log", known).collect()
+        assert sorted(r["seq"] for r in got) == list(range(len(rows)))
+        last = {name: begin.get(name, audit.GENESIS) for name in sizes}
+        for r in sorted(got, key=lambda r: r["seq"]):
+            assert r["prev_hash"] == last[r["log"]]
+            last[r["log"]] = hashlib.sha256((r["prev_hash"] + records[r["seq"]]).encode()).hexdigest()
+            assert r["hash"] == last[r["log"]]
