@@ -31,7 +31,8 @@ class SlidingBudget(StatefulProcessor):
     """Hits wait in a list until the watermark passes them, then are decided in the order of their times.
 
     So a late hit, as long as it is not dropped, counts where it belongs, whatever batch brings it. The other list holds
-    accepted hits inside the window, ``limit`` numbers at most. A timer stands at each waiting time; a last one
+    accepted hits inside the window, ``limit`` numbers at most. A timer stands at the first waiting time that each batch
+    brings, and at the first that is left when one expires, so it comes no later than any waiting hit is due; a last one
     clears what is accepted once the window is over, so an idle user has no state.
     """
 
@@ -46,24 +47,25 @@ class SlidingBudget(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         hits = [r.at for r in rows]
         self.waiting.appendList([(t,) for t in hits])
-        for t in set(hits):
-            self.handle.registerTimer(t // 1000 + 1)
+        self.handle.registerTimer(min(hits) // 1000 + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [x[0] for x in self.waiting.get()] if self.waiting.exists() else []
+        waiting = [x[0] for x in self.waiting.get()]
         due = sorted(t for t in waiting if t < until)
-        kept = [x[0] for x in self.accepted.get()] if self.accepted.exists() else []
-        answers, kept = decide(due, self.limit, self.window, kept)
+        before = [x[0] for x in self.accepted.get()]
+        answers, kept = decide(due, self.limit, self.window, before)
         if due:
             left = [t for t in waiting if t >= until]
             self.waiting.put([(t,) for t in left]) if left else self.waiting.clear()
+            if left:
+                self.handle.registerTimer(min(left) // 1000 + 1)
         kept = [t for t in kept if t + self.window > until]
         if kept:
             self.accepted.put([(t,) for t in kept])
             self.handle.registerTimer((max(kept) + self.window) // 1000 + 1)
-        else:
+        elif before:
             self.accepted.clear()
         for t, ok in zip(due, answers, strict=True):
             yield Row(user_id=key[0], at=t, accepted=ok)

@@ -106,3 +106,31 @@ def test_ingest_leaves_no_trace_of_a_batch_that_failed(spark, tmp_path):
     jobs.ingest_corpus(feed.stream(), path, known).awaitTermination()
     assert {r.doc_id for r in jobs.ingested(spark, path, "chunks").collect()} == {1, 4}
     assert spark.read.parquet(f"{path}/manifest").agg(F.sum("n_texts"), F.sum("n_failed")).first()[:] == (4, 2)
+
+
+def test_a_user_has_one_timer_a_batch():
+    from types import SimpleNamespace
+
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+        clear = lambda self: self.rows.clear()
+        appendList = lambda self, rows: self.rows.extend(rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+    timers, budget = set(), budgets.SlidingBudget(limit=1, seconds=10)
+    budget.init(SimpleNamespace(getListState=lambda name, schema: Held(), registerTimer=timers.add))
+    out = []
+    for first in (0, 50):
+        list(budget.handleInputRows((1,), iter([SimpleNamespace(at=(first + i) * 1_000_000) for i in range(50)]), None))
+        assert len(timers) <= 2  # not one for each hit
+        for until in (first * 1000 + 20_500, first * 1000 + 60_500):
+            for t in sorted(t for t in timers if t < until):
+                timers.discard(t)
+                out += budget.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda at=until: at), None)
+    assert [(r.at // 1_000_000, r.accepted) for r in out] == [(i, i % 10 == 0) for i in range(100)]
