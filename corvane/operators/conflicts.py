@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corvane.functions import words as W
 from corvane.functions.text import normal_number, normal_unit, stem
 from corvane.operators.retrieval import vector_topk
+from corvane.sources.scratch import written
 
 # A quantity with its comparator, bounds and unit, and what counts as a word beside it.
 _QUANTITY = re.compile(rf"(?<![\w.])([<>≥≤]=?\s*)?(\d{{1,3}}(?:,\d{{3}})+|\d+(?:\.\d+)?)(?:\s*(?:–|-|to)\s*(\d+(?:\.\d+)?))?\s*({W.UNITS})?(?![\w])", re.IGNORECASE)
@@ -42,7 +43,8 @@ def quantities(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "tex
     text = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\[S\d+\]", "")
     source = chunks.select(F.col(id_col).cast("long").alias("chunk_id"), text.alias("text"))
     spans = source.mapInPandas(run, "chunk_id long, pos int, end int, comparator string, low string, high string, unit string, raw string, near array<string>")
-    stops, generic = F.array(*map(F.lit, W.STOPWORDS)), F.transform(F.array(*map(F.lit, W.GENERIC_CONTEXT)), stem)
+    generic = chunks.sparkSession.range(1).select(F.transform(F.array(*map(F.lit, W.GENERIC_CONTEXT)), stem)).first()[0]  # once, not for each row
+    stops, generic = F.array(*map(F.lit, W.STOPWORDS)), F.array(*map(F.lit, generic))
     lower = F.filter(F.transform("near", F.lower), lambda w: (F.length(w) > 2) & ~F.array_contains(stops, w))
     value = F.concat_ws("-", normal_number(F.col("low")), normal_number(F.col("high")))
     context = F.array_sort(F.array_except(F.array_distinct(F.transform(lower, stem)), generic))
@@ -56,12 +58,14 @@ def conflict_pairs(pairs: DataFrame, found: DataFrame, min_overlap: int = 2) ->
     other's value with that unit; the first pair of quantities with the largest overlap stands for the pair.
     """
     usable = found.filter(~F.col("unit").isin("", "beds", "times"))
-    side = lambda s: usable.select(F.col("chunk_id").alias(s), F.col("pos").alias(f"pos_{s}"), F.col("value").alias(f"value_{s}"), "unit", F.col("context").alias(f"context_{s}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "unit"]).filter("value_a <> value_b")
-    both = both.withColumn("overlap", F.size(F.array_intersect("context_a", "context_b"))).filter(F.col("overlap") >= min_overlap)
-    has = usable.select("chunk_id", "unit", "value").distinct()
-    both = both.join(has.select(F.col("chunk_id").alias("a"), "unit", F.col("value").alias("value_b")), ["a", "unit", "value_b"], "left_anti")
-    both = both.join(has.select(F.col("chunk_id").alias("b"), "unit", F.col("value").alias("value_a")), ["b", "unit", "value_a"], "left_anti")
+    grouped = usable.groupBy("chunk_id", "unit").agg(F.collect_list(F.struct("pos", "value", "context")).alias("list"), F.collect_set("value").alias("values"))
+    listed = written(grouped)  # texts are searched once, whatever is joined to what they hold
+    side = lambda s: listed.select(F.col("chunk_id").alias(s), "unit", F.col("list").alias(f"list_{s}"), F.col("values").alias(f"values_{s}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), ["b", "unit"])
+    lacking = lambda s, other: F.explode(F.filter(f"list_{s}", lambda x: ~F.array_contains(F.col(f"values_{other}"), x["value"]))).alias(f"of_{s}")
+    both = both.select("a", "b", "unit", lacking("a", "b"), "list_b", "values_a").select("a", "b", "unit", "of_a", lacking("b", "a"))
+    met = both.withColumn("overlap", F.size(F.array_intersect("of_a.context", "of_b.context"))).filter(F.col("overlap") >= min_overlap)
+    both = met.select("a", "b", "unit", "overlap", *(F.col(f"of_{s}")[name].alias(f"{name}_{s}") for s in ("a", "b") for name in ("pos", "value")))
     order = Window.partitionBy("a", "b").orderBy(F.desc("overlap"), "pos_a", "pos_b")
     best = both.withColumn("place", F.row_number().over(order)).filter("place = 1")
     confidence = F.round(F.least(F.lit(0.95), 0.6 + 0.07 * F.col("overlap")), 4)

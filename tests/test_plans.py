@@ -93,3 +93,12 @@ def test_index_shuffles_postings_once(spark):
 
     df = posting_blocks(retrieval.passages(spark, SF), 32)
     assert plan(df).split("== Physical Plan ==")[1].split("\n\n")[0].count("Exchange") == 1
+
+
+def test_texts_are_searched_once_for_conflicts(spark):
+    from corvane.operators import conflicts
+
+    texts = spark.createDataFrame([(1, "Repeat the heparin aptt check every 6 hours on the ward"), (2, "Repeat the heparin aptt check every 8 hours on the ward")], "chunk_id long, text string")
+    found = conflicts.conflict_pairs(spark.createDataFrame([(1, 2)], "a long, b long"), conflicts.quantities(texts))
+    assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.a, r.b, r.value_a, r.value_b) for r in found.collect()] == [(1, 2, "6", "8")]
