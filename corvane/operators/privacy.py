@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources.scratch import written
+
 # Patterns (fixed values): entity, expression, score, group, whether it may be a name.
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mstr|Master|Dr|Shri|Shree|Sri|Smt|Kumari|Kum|Baby|Sh)"
 _NAME = r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}"
@@ -26,6 +28,41 @@ PATTERNS = (
     ("PERSON", rf"\b(?:[Pp]atient|[Pp]t\.?|[Nn]ame)(?:\s+(?:named|called|name\s*is|is)|\s*:)?\s+({_NAME})", 0.85, 1, True),
     ("PERSON", r"\b(?:to|for|give|gave|with|on|about|of)\s+([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]{2,})?)\b", 0.6, 1, True),
 )
+_RUNS, _ODD = re.compile(r"\d+"), ("\u0130", "\u0131", "\u017f", "\u212a")  # letters beyond ASCII that (?i) takes for i, s and k
+_LABEL = re.compile(r"no(?:" + "|".join(rf"(?<={x}no)|(?<={x}\sno)" for x in ("ip", "ipd", "op", "opd", "cr", "hosp", "hospital", "reg", "registration")) + ")|id(?:" + "|".join(rf"(?<={x}id)|(?<={x}\sid)" for x in ("hosp", "hospital", "patient")) + ")")
+_WORDS = [re.compile(rf"{w}(?<!\w{w})") for w in ("patient", "Patient", "pt", "Pt", "name", "Name")]
+_SHORT = re.compile(r"Sh[.\s]")
+_TITLES = ("Mr", "Ms", "Miss", "Master", "Dr", "Shr", "Sri", "Smt", "Kum", "Baby")
+_AFTER = re.compile(r"[A-Z](?<=[orehntf\s]\s[A-Z])[a-z]{2}")
+
+
+def _digits(text: str) -> int:
+    """Length of the longest run of digits."""
+    if not any(d in text for d in "0123456789") and text.isascii():
+        return 0
+    return max(map(len, _RUNS.findall(text)), default=0)
+
+
+def _labelled(text: str) -> bool:
+    low = text.lower()
+    return any(w in low for w in ("uhid", "mrn", "ticket")) or any(c in text for c in _ODD) or _LABEL.search(low) is not None
+
+
+#: For each pattern what any text with a match holds, found faster than the match: (text, longest run of digits) -> whether to search it.
+_NEEDS = (
+    lambda text, run: _labelled(text),
+    lambda text, run: run >= 6,
+    lambda text, run: run >= 4,
+    lambda text, run: "@" in text,
+    lambda text, run: run >= 4,
+    lambda text, run: run >= 5,
+    lambda text, run: run >= 6,
+    lambda text, run: "@" in text,
+    lambda text, run: run >= 1,
+    lambda text, run: any(t in text for t in _TITLES) or _SHORT.search(text) is not None,
+    lambda text, run: any(w.search(text) for w in _WORDS),
+    lambda text, run: _AFTER.search(text) is not None,
+)
 SPANS = "doc_id long, entity string, start int, end int, score double, name_like boolean, value string"
 
 
@@ -33,13 +70,15 @@ def detect(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` -> one row per pattern match, with character offsets."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [(e, re.compile(p), s, g, n) for e, p, s, g, n in PATTERNS]
+        compiled = [(e, re.compile(p), s, g, n, needs) for (e, p, s, g, n), needs in zip(PATTERNS, _NEEDS, strict=True)]
         for rows in batches:
             out = [
                 (doc, e, m.start(g), m.end(g), s, n, m[g])
                 for doc, text in zip(rows["doc_id"], rows["text"], strict=True)
                 if text
-                for e, p, s, g, n in compiled
+                for run in (_digits(text),)
+                for e, p, s, g, n, needs in compiled
+                if needs(text, run)
                 for m in p.finditer(text)
             ]
             yield pd.DataFrame(out, columns=["doc_id", "entity", "start", "end", "score", "name_like", "value"])
@@ -72,7 +111,7 @@ def merge_spans(spans: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """(doc_id, redacted, entities, changed): spans replaced by ``<ENTITY>``; the values found are not kept."""
-    spans = detect(docs)
+    spans = written(detect(docs))  # texts are searched once; spans are read as sure ones and as names
     spans = merge_spans(guard_names(spans, vocabulary) if vocabulary is not None else spans.select("doc_id", "entity", "start", "end", "score"))
     listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity"))).alias("spans"), F.array_sort(F.collect_set("entity")).alias("entities"))
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(listed, "doc_id", "left")

@@ -102,3 +102,33 @@ def test_texts_are_searched_once_for_conflicts(spark):
     found = conflicts.conflict_pairs(spark.createDataFrame([(1, 2)], "a long, b long"), conflicts.quantities(texts))
     assert "InPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.a, r.b, r.value_a, r.value_b) for r in found.collect()] == [(1, 2, "6", "8")]
+
+
+def test_patterns_are_left_out_only_where_they_cannot_match():
+    import random
+    import re
+
+    from corvane.operators import privacy
+
+    rng = random.Random(8)
+    labels = ["UHID", "mrn", "IPNo", "IPD No.", "opd\tNO", "CR No", "HospID", "Hospital No", "Reg No", "Registration no.", "Patient ID", "patİent id", "Hoſp No", "bed head ticKet", "Bed Head Ticket", "DOB", "d.o.b.", "born on"]
+    names = ["Mr", "Mrs.", "Mstr", "Dr", "Sh.", "Sh", "Shree", "Kumari", "patient", "Pt.", "pt", "name is", "Name:", "kept", "to", "for", "gave", "about", "of\n"]
+    values = ["A1234/x", "ABC123456", "12 3456 7890 1234", "12345678901234", "x.yz@abdm", "2345 6789 0123", "+91 98765 43210", "040-1234567", "a@b.org", "1/2/1990", "Asha Rao", "ASHA", "١٢٣٤٥٦٧", "plain", "Xyé"]
+    compiled, hits = [re.compile(p[1]) for p in privacy.PATTERNS], [0] * len(privacy.PATTERNS)
+    for _ in range(20_000):
+        text = "".join(rng.choice(rng.choice((labels, names, values))) + rng.choice((" ", "  ", "\n", "", ": ", ". ")) for _ in range(rng.randint(1, 4)))
+        run = privacy._digits(text)
+        for n, (needs, pattern) in enumerate(zip(privacy._NEEDS, compiled, strict=True)):
+            if pattern.search(text):
+                hits[n] += 1
+                assert needs(text, run), (n, text)
+    assert min(hits) > 0
+
+
+def test_texts_are_searched_once_for_redaction(spark):
+    from corvane.operators import privacy
+
+    docs = spark.createDataFrame([(1, "Call Asha Rao or write to asha@example.org"), (2, None), (3, "nothing here")], "doc_id long, text string")
+    done = privacy.redact(docs, privacy.corpus_vocabulary(docs.select("text").filter("doc_id > 1")))
+    assert "InPandas" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r.changed for r in done.collect()} == {1: True, 2: False, 3: False}
