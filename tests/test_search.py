@@ -114,3 +114,22 @@ def test_hashed_search_gives_what_a_join_of_buckets_gives(spark):
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=0.3, numHashTables=2, seed=11).fit(unit)
     pairs = model.approxSimilarityJoin(unit.filter("id % 10 = 0"), unit, 1.0)
     assert got == {(x.datasetA.id, x.datasetB.id) for x in pairs.collect()}
+
+
+def test_tasks_of_the_index_take_bounded_shares(spark, tmp_path, monkeypatch):
+    from corvane.operators import inverted, retrieval
+
+    monkeypatch.setattr(inverted, "TASK_POSTINGS", 20)
+    monkeypatch.setattr(inverted, "TASK_PAIRS", 50)
+    passages = spark.createDataFrame([(n * 97, f"heparin dose{n % 7} ward{n % 3} aptt check of the pump {'heparin ' * (n % 5)}") for n in range(120)], "chunk_id long, text string")
+    blocks = inverted.posting_blocks(passages, 4)
+    assert blocks.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism  # as many as the postings need
+    terms = spark.createDataFrame([(q, t) for q in range(6) for t in ("heparin", "ward1", f"dose{q}", "pump")], "question_id long, term string")
+    index = inverted.InvertedIndex(spark, str(tmp_path / "index"), 4).add(passages)
+    parts = []
+    deal = type(terms).repartition
+    monkeypatch.setattr(type(terms), "repartition", lambda df, n, *by: parts.append(n) or deal(df, n, *by))
+    got = index.keyword_topk(terms, 10)
+    assert max(p for p in parts if isinstance(p, int)) > 2
+    rows = lambda df: sorted(tuple(r) for r in df.select("question_id", "chunk_id", "score", "rank").collect())
+    assert rows(got) == rows(retrieval.keyword_topk(terms, passages, 10))
